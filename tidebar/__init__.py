@@ -1 +1,11 @@
-"""Multi-timeframe bar analytics on Spark."""
+"""Multi-timeframe bar analytics on Spark.
+
+Functions that run inside tasks travel by value, so executors need no installed
+copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
