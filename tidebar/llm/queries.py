@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .packing import op5_pack_sequences
+from .quality import op6_quality_scores
 from .sharding import op10_kd_shards
+from .toxicity import op8_toxicity_scores
 
 QUERIES = {
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_quality_scores": op6_quality_scores,
+    "op8_toxicity_scores": op8_toxicity_scores,
     "op10_kd_shards": op10_kd_shards,
 }
 
