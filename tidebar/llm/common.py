@@ -83,11 +83,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # small-star: every node keeps one link to its least neighbour, the others link to that one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct("m", F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).filter("a <> b").distinct()
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("b", "a")).alias("b")).filter("a <> b")
         e = settle(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("b").alias("d")).first()
-        roots_clean = now["n"] == now["d"]
-        if roots_clean and (now["n"], now["h"]) == before:
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = (now["n"], now["h"])
+        before = now
     return e.select(F.col("b").alias("id"), F.col("a").alias("component"))
