@@ -52,26 +52,64 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
+        self.word_end = np.array(ends, dtype=bool)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Encode new words.
+
+        Words of letters, with or without one comma or full stop, are encoded
+        many at a time: their ids are told apart by the tokens that end a word.
+        """
+        plain: tuple[list[str], list[str]] = ([], [])
+        other = []
+        for w in words:
+            core, ends = (w[:-1], 1) if w[-1] in ",." else (w, 0)
+            if core.isalpha() and len(core.lower()) == len(core):
+                plain[ends].append(w)
+            else:
+                other.append(w)
+        for more, group in enumerate(plain):
+            parts = [group[k : k + 200] for k in range(0, len(group), 200)]
+            for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype="<u4")
+                cuts = (4 * (np.flatnonzero(self.word_end[ids])[more :: more + 1] + 1)).tolist()
+                if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
+                    other.extend(part)
+                    continue
+                raw = ids.tobytes()
+                self.young.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[word] = np.array(got.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        missing = []
-        for word in set().union(*chunks) - young.keys():
-            if (known := old.get(word)) is not None:
-                young[word] = known
-            else:
-                missing.append(word)
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(young.__getitem__, words)) for words in chunks]
+        found, holes, missing = [], [], set()
+        for t in texts:
+            words = (t or "").replace("\n", " ").split(" ")
+            got = list(map(young.get, words))
+            k = -1
+            for _ in range(got.count(None)):
+                k = got.index(None, k + 1)
+                w = words[k]
+                if (known := old.get(w)) is not None:
+                    young[w] = got[k] = known
+                else:
+                    holes.append((got, k, w))
+                    missing.add(w)
+            found.append(got)
+        self.learn(list(missing))
+        for got, k, w in holes:
+            got[k] = young[w]
+        return [b"".join(got) for got in found]
 
 
 _PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
