@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op5_pack_sequences
 from .quality import op6_quality_scores
 from .sharding import op10_kd_shards
 from .toxicity import op8_toxicity_scores
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_scores": op6_quality_scores,
     "op8_toxicity_scores": op8_toxicity_scores,
     "op10_kd_shards": op10_kd_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+}

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
 
@@ -32,12 +33,25 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return its reader."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidebar-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # this write's shuffle files go when it ends
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     for scope in _SCOPES:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsettle(df: DataFrame) -> None:
+    """Delete the settled table that ``df`` reads, when nothing else will."""
+    drop(df.sparkSession, [f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]])
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing will read again."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
