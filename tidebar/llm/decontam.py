@@ -30,6 +30,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,18 +171,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(items.count() / INDEX_ITEMS))
     found = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        index = Index([(r["item_id"], r["text"]) for r in part.collect()], threshold)  # about INDEX_ITEMS rows
-        out = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+    for shared in indexes(benchmark, threshold):
+        out = texts.mapInArrow(_search(shared), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
         found = out if found is None else found.unionByName(out)
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; filtered where they are read."""
+    for shared in indexes(benchmark, threshold):
+        docs = docs.filter(~_leaky(shared)(F.col("text").cast("string")))
+    return docs
+
+
+def _leaky(shared):
+    @F.pandas_udf("boolean")
+    def leaky(text: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([bool(index.search(words_of(t))) for t in text], dtype=bool)
+
+    return leaky
+
+
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> list:
+    """Broadcast indexes of the items, at most about INDEX_ITEMS in each."""
+    spark = benchmark.sparkSession
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, math.ceil(items.count() / INDEX_ITEMS))
+    parts = (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect() for k in range(blocks))
+    return [spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], threshold)) for part in parts]
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

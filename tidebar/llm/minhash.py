@@ -157,6 +157,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest id.
+
+    Rows that repeat an id are one document; rows with a null doc_id all stay.
+    """
+    kept = settle(near_duplicates(docs, similarity).filter("kept").select("doc_id").distinct())
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

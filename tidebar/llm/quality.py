@@ -195,5 +195,24 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts good; it is fitted on the labelled ones among them.
+
+    Scored where they are read: no text is shuffled for it.
+    """
+    y = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    n = y.count()
+    share = min(1.0, 2 * MAX_LABELLED / max(1, n))
+    ids = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share).select("doc_id").distinct()
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # 2 * MAX_LABELLED ids at most
+    model = fit(settle(labelled(settle(measure(some)), y, "quality")))
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in text]).reshape(len(text), -1)) if len(text) else [])
+
+    return docs.filter(score(F.col("text").cast("string")) >= 0.5)
+
+
 def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

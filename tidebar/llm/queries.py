@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_tool_links
+from .decontam import op3_benchmark_leaks
+from .embeddings import OP4_SQL, op4_embedding_near_dedup
+from .licenses import op2_license_scan
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op5_pack_sequences
 from .quality import op6_quality_scores
+from .repeats import op9_remove_repeats
 from .sharding import op10_kd_shards
 from .toxicity import op8_toxicity_scores
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality_scores": op6_quality_scores,
+    "op7_chat_tool_links": op7_chat_tool_links,
     "op8_toxicity_scores": op8_toxicity_scores,
+    "op9_remove_repeats": op9_remove_repeats,
     "op10_kd_shards": op10_kd_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op4_embedding_near_dedup": OP4_SQL,
 }
