@@ -14,8 +14,6 @@ from ..functions.nulls import pmax, pmin, yes
 from . import frames as f
 from .kernel import Series
 
-c, o, h, low, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
-
 
 def vma_weight(n: int) -> Column:
     """Weight of the adaptive mean: 2/(n+1) times the share by which ups and downs differ."""
@@ -28,7 +26,7 @@ def needs_wyckoff(fast: int, **_) -> list[Series]:
 
 
 def wyckoff_stage(df: DataFrame, out: str, fast: int, inter: int, slow: int) -> DataFrame:
-    vma = F.col(f"vma_{fast}")
+    c, vma = F.col("close"), F.col(f"vma_{fast}")
     df = df.withColumns({"_f": f.vwma(fast), "_i": f.vwma(inter), "_s": f.vwma(slow), "_v1": f.lag(vma)})
     accel = yes(c > vma) & yes(F.col("_f") > F.col("_i")) & yes(F.col("_i") > F.col("_s"))
     decel = yes(c < vma) & yes(F.col("_f") < F.col("_i")) & yes(F.col("_i") < F.col("_s"))
@@ -38,6 +36,7 @@ def wyckoff_stage(df: DataFrame, out: str, fast: int, inter: int, slow: int) ->
 
 def exh_abs_price_action(df: DataFrame, out: str, floor=33.0, ceiling=67.0, lookback=126, scan=2, check=1, wick=0.5, strict=False, z=0) -> DataFrame:
     """Exhaustion and absorption: +-1 pin bars, +-2 engulfing bars; z = 1 asks the next bar to confirm."""
+    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     body, span = F.abs(c - o), h - low
     df = df.withColumns({"_mx": pmax(o, c), "_mn": pmin(o, c), "_cb": F.when(span == 0, 0.0).otherwise(F.pow(body * 100.0, F.try_divide(body, span))), "_hh": f.rmax("high", scan), "_ll": f.rmin("low", scan)})
     lags = {f"_{n}{k}": f.lag(n if n[0] != "_" else F.col(n), k) for n in ("_mx", "_mn") for k in (1, 2, 3)}
@@ -182,7 +181,7 @@ def keltner(length: int, factor: float) -> tuple[Column, Column]:
 
 def ttm_squeeze_pro(df: DataFrame, out: str, length: int = 20, strict: bool = True, z: int = 0) -> DataFrame:
     lower, upper = f.bollinger("close", length)
-    df = df.withColumns({"_lb": lower, "_ub": upper, "_delta": c - (f.donchian(length) + f.sma("close", length)) / 2})
+    df = df.withColumns({"_lb": lower, "_ub": upper, "_delta": F.col("close") - (f.donchian(length) + f.sma("close", length)) / 2})
     dot = F.lit(False)
     for factor in (1.0, 1.5, 2.0):
         lo, hi = keltner(length, factor)

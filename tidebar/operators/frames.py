@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["symbol"]
-BY_TIME = Window.partitionBy(*KEY).orderBy("ts")
-WHOLE = Window.partitionBy(*KEY)
+
+
+def by_time():
+    return Window.partitionBy(*KEY).orderBy("ts")
+
+
+def whole():
+    return Window.partitionBy(*KEY)
 
 
 def last_n(n: int):
-    return BY_TIME.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def col(c: Column | str) -> Column:
@@ -36,7 +42,7 @@ def rsum(c, n: int) -> Column:
 
 def sma_adaptive(c, length: int, floor: int = 4) -> Column:
     """Mean of up to ``length`` bars, from max(floor, half of min(length, bars of the symbol)) on."""
-    bars = F.count(F.lit(1)).over(WHOLE)
+    bars = F.count(F.lit(1)).over(whole())
     least = F.greatest(F.lit(floor), F.floor(F.least(F.lit(length), bars) / 2))
     return F.when((F.count(col(c)).over(last_n(length)) >= least) & (bars >= floor), F.avg(col(c)).over(last_n(length)))
 
@@ -84,7 +90,7 @@ def vwma(n: int) -> Column:
 
 
 def lag(c, k: int = 1) -> Column:
-    return F.lag(col(c), k).over(BY_TIME) if k else col(c)
+    return F.lag(col(c), k).over(by_time()) if k else col(c)
 
 
 def diff(c) -> Column:
@@ -106,7 +112,7 @@ def slope_n(c, n: int) -> Column:
 
 
 def ffill(c) -> Column:
-    return F.last(col(c), ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(c), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def true_range() -> Column:
@@ -116,14 +122,14 @@ def true_range() -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(BY_TIME))
+    return df.withColumn("rn", F.row_number().over(by_time()))
 
 
 def latest(df: DataFrame) -> DataFrame:
     """Last bar of each symbol."""
-    return df.withColumn("_r", F.row_number().over(WHOLE.orderBy(F.desc("ts")))).filter("_r = 1").drop("_r")
+    return df.withColumn("_r", F.row_number().over(whole().orderBy(F.desc("ts")))).filter("_r = 1").drop("_r")
 
 
 def tail_bars(df: DataFrame, n: int) -> DataFrame:
     """Last n bars of each symbol."""
-    return df.withColumn("_r", F.row_number().over(WHOLE.orderBy(F.desc("ts")))).filter(F.col("_r") <= n).drop("_r")
+    return df.withColumn("_r", F.row_number().over(whole().orderBy(F.desc("ts")))).filter(F.col("_r") <= n).drop("_r")

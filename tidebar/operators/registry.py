@@ -52,7 +52,7 @@ def validate(instances: list[Instance]) -> None:
 
 def prepared(df: DataFrame, series: list[Series]) -> DataFrame:
     """Bars with numbers and counts, the sources of ``series``, and the series."""
-    base = df.withColumns({"rn": F.row_number().over(f.BY_TIME), "bars": F.count(F.lit(1)).over(f.WHOLE), "_up": f.up("close"), "_down": f.down("close"), "tr": f.true_range()})
+    base = df.withColumns({"rn": F.row_number().over(f.by_time()), "bars": F.count(F.lit(1)).over(f.whole()), "_up": f.up("close"), "_down": f.down("close"), "tr": f.true_range()})
     weights = {s.by: k.vma_weight(s.n) for s in series if s.kind == "vma"}
     shifted = {s.source: f.lag("close", int(s.source[6:])) for s in series if s.source.startswith("close_")}
     base = base.withColumns(weights | shifted) if weights | shifted else base

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import yes
 from ..functions.session import is_extended_4h_bucket
-from .frames import BY_TIME, ffill, tail_bars
+from .frames import ffill, tail_bars
 from .resample import BAR, fold_bars
 
 PRICES = ["open", "high", "low", "close"]

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import yes
 
-ZERO = F.lit(0.0)
-
 
 def _c(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
 
 
 def _points(conditions: list[Column]) -> Column:
-    return sum((F.when(c, 1.0).otherwise(0.0) for c in conditions), ZERO)
+    return sum((F.when(c, 1.0).otherwise(0.0) for c in conditions), F.lit(0.0))
 
 
 def _blocks(df: DataFrame, exh: str) -> tuple[Column, Column]:
@@ -60,7 +58,7 @@ def stocks_shortlist(df: DataFrame, exh: str, sigvol: str) -> Column:
 
 def etf_score(*columns: Column) -> Column:
     """Greatest of the scores with NULL as 0; NULL where all are."""
-    return F.when(F.coalesce(*columns).isNotNull(), F.greatest(*[F.coalesce(c, ZERO) for c in columns]))
+    return F.when(F.coalesce(*columns).isNotNull(), F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in columns]))
 
 
 def _etf_side(df: DataFrame, side: str) -> Column:
@@ -125,7 +123,7 @@ def tf_pattern(lower: str, middle: str, upper: str) -> str:
 def score_combo(combo: DataFrame, evaluator, exh: str = "lower_exh_abs_pa_prior_bar", sigvol: str = "lower_sig_vol_prior_bar") -> DataFrame:
     """Add signal, signal_side and both scores; with no evaluator none, 0 and 0 and no side."""
     if evaluator is None:
-        return combo.withColumns({"signal": F.lit("none"), "mtf_long_score": ZERO, "mtf_short_score": ZERO})
+        return combo.withColumns({"signal": F.lit("none"), "mtf_long_score": F.lit(0.0), "mtf_short_score": F.lit(0.0)})
     out = combo.withColumn("_r", evaluator(combo, exh, sigvol))
     return out.withColumns({"signal": F.col("_r.signal"), "signal_side": F.col("_r.signal"), "mtf_long_score": F.col("_r.long"), "mtf_short_score": F.col("_r.short")}).drop("_r")
 

@@ -170,7 +170,7 @@ def _series(s, d, wanted: list[Series]) -> DataFrame:
 
 def recursive(name: str, wanted: list[Series], columns: dict, sql_columns: str, src: str = "rs"):
     def run(s, d):
-        return r6(_series(s, d, wanted).select("symbol", "ts", *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]), *columns)
+        return r6(_series(s, d, wanted).select("symbol", "ts", *[F.expr(c).alias(n) for n, c in columns.items()]), *columns)
 
     query(name, o.sql(f"SELECT symbol, ts, {sql_columns} FROM {src}", src))(run)
 
@@ -180,7 +180,7 @@ recursive("wilder", [Series("w", "wilder", "close", 14)], {"v": "w"}, "round(w14
 recursive("atr", [Series("a", "wilder", "tr", 14)], {"v": "a"}, "round(a14, 6) AS v")
 recursive("macdv", k.needs_macdv(), {"m": "macdv", "s": "macdv_signal"}, "round(m, 6) AS m, round(s, 6) AS s", "mv")
 recursive("vma", k.needs_wyckoff(7), {"v": "vma_7"}, "round(vma, 6) AS v")
-recursive("keltner", k.needs_squeeze(20), {"lower": F.col("ema_close_20") - 1.5 * F.col("atr_20"), "upper": F.col("ema_close_20") + 1.5 * F.col("atr_20")}, "round(e20 - 1.5 * a20, 6) AS lower, round(e20 + 1.5 * a20, 6) AS upper")
+recursive("keltner", k.needs_squeeze(20), {"lower": "ema_close_20 - 1.5 * atr_20", "upper": "ema_close_20 + 1.5 * atr_20"}, "round(e20 - 1.5 * a20, 6) AS lower, round(e20 + 1.5 * a20, 6) AS upper")
 
 
 @query("rsi", o.sql("SELECT symbol, ts, round(CASE WHEN l14 = 0 THEN 100.0 ELSE 100 - 100 / (1 + g14 / l14) END, 6) AS v FROM rs", "rs"))
