@@ -133,11 +133,13 @@ def matched_windows(group: np.ndarray, symbols: np.ndarray, length: int) -> np.n
             low, high = last[ends] + 1, here[ends]
             level = np.frexp((high - low + 1).astype(np.float64))[1] - 1  # of the greatest power of two within the range
             tall, most = since, np.empty(len(ends), dtype=np.int32)
-            for power in range(int(level.max()) + 1):
+            top = int(level.max())
+            for power in range(top + 1):
                 at = level == power
                 if at.any():
                     most[at] = np.maximum(tall[low[at]], tall[high[at] - (1 << power) + 1])
-                tall = np.maximum(tall[: len(tall) - (1 << power)], tall[1 << power :])
+                if power < top:
+                    tall = np.maximum(tall[: len(tall) - (1 << power)], tall[1 << power :])
             fresh[1:][ends] = most
         order, since = order[to], fresh
         start = j + 1 - length
