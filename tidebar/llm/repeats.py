@@ -279,32 +279,30 @@ def _digest(batches):
 
 def _clean(batches):
     for batch in batches:
-        ids = batch.column(0)
-        for k in range(0, len(ids), 1000):
+        rest = batch.column(2)
+        for k in range(0, len(rest), 1000):
             out = []
-            for text, spans in zip(batch.column(1).slice(k, 1000).to_pylist(), batch.column(2).slice(k, 1000).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).slice(k, 1000).to_pylist(), batch.column(1).slice(k, 1000).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 # a character of which a byte is removed goes as a whole
                 out.append(_kept(raw, merged(spans, len(raw))).decode("utf-8", "ignore") if spans else text)
-            yield pa.RecordBatch.from_arrays([ids.slice(k, 1000), *[batch.column(c).slice(k, 1000) for c in range(3, batch.num_columns)], pa.array(out, pa.string())], names=["doc_id", *batch.schema.names[3:], "text"])
-
-
-def _with_spans(docs: DataFrame, length: int, more: list[str]) -> DataFrame:
-    keyed = _keyed(docs) if not more else docs.select("*", *[c.alias(n) for n, c in (("doc", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))), ("h", F.hash(F.col("text").cast("string"))))])
-    return keyed.join(repeated_spans(docs, length), ["doc", "h"], "left").select("doc_id", "text", "spans", *more)
+            yield pa.RecordBatch.from_arrays([rest.slice(k, 1000), pa.array(out, pa.string())], names=["rest", "text"])
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
-    return _with_spans(docs, length, []).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spanned = _keyed(docs).join(repeated_spans(docs, length), ["doc", "h"], "left").select("doc_id", "text", "spans")
+    return spanned.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of text; all rows and other columns stay."""
-    more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *more]) + ", text string"
-    return _with_spans(docs, length, more).mapInArrow(_clean, schema).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc"), F.hash(text).alias("h"))
+    spanned = keyed.join(repeated_spans(docs, length), ["doc", "h"], "left").select("text", "spans", "rest")
+    cut = spanned.mapInArrow(_clean, f"rest {dict(spanned.dtypes)['rest']}, text string")
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
