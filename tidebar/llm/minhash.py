@@ -12,10 +12,12 @@ The halves also prune: a document meets nobody unless one of its halves in
 multiplied out into table keys.
 
 Candidates are verified on full shingle sets: first every bucket member with
-the bucket's smallest document, then, where a bucket still spans several
-components, the members outside its smallest component with all members of
-other components, each pair in its first common table only.  Documents with
-equal sets are one node throughout; copies are never expanded into pairs.
+the bucket's smallest document; then, where a bucket still spans several
+components, the members outside its smallest component with one member of that
+component, another one in every bucket; last, what is still apart and can be
+similar at all, with all members of other components, each pair in its first
+common table only.  Documents with equal sets are one node throughout; copies
+are never expanded into pairs.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a
 null doc_id links with nothing, its component_id is null and kept is false;
@@ -97,7 +99,7 @@ def _shared(reps: DataFrame, side: str) -> DataFrame:
     """Per node the halves of one collection that another node has too: (doc_id, fp1, side)."""
     out = reps.select("doc_id", "fp1", F.explode(side).alias("h"))
     multi = out.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("h")
-    return out.join(multi, "h", "left_semi").groupBy("doc_id", "fp1").agg(F.collect_list("h").alias(side))  # BANDS of them at most
+    return out.join(multi, "h", "left_semi").groupBy("doc_id", "fp1").agg(F.sort_array(F.collect_set("h")).alias(side))  # BANDS of them at most
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -109,6 +111,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.select("x", "y", common.alias("c"), (F.size("ux") + F.size("uy")).alias("s")).filter(F.col("c") * 100 >= (F.col("s") - F.col("c")) * similarity).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _apart(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that span several components of ``links``: (ka, kb, doc_id, fp1, c, main), main the least component."""
+    named = keyed.join(settle(components(links)).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("ka", "kb", "doc_id", "fp1", F.coalesce("component", "doc_id").alias("c"))
+    named = settle(named)
+    mixed = named.groupBy("ka", "kb").agg(F.min("c").alias("main"), F.max("c").alias("top")).filter("main <> top").select("ka", "kb", "main")
+    return settle(named.join(settle(mixed), ["ka", "kb"]))
+
+
+def _across(apart: DataFrame, both: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (x, fx, y, fy) of different components that meet in a bucket and can be similar.
+
+    Shingles that no other of these documents has are in no intersection: with
+    s shingles left of n, two documents share at most min(s) of n + n - min(s).
+    """
+    who = apart.select("doc_id", "fp1").distinct()
+    own = sets.join(who, ["doc_id", "fp1"], "left_semi").select("doc_id", "fp1", F.size("u").alias("n"), "u")
+    each = own.select("doc_id", "fp1", F.explode("u").alias("g"))
+    twice = each.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
+    left = each.join(twice, "g", "left_semi").groupBy("doc_id", "fp1").agg(F.count(F.lit(1)).alias("s"))
+    can = own.drop("u").join(left, ["doc_id", "fp1"]).filter(F.col("s") * 100 >= F.col("n") * similarity)
+    rows = settle(apart.join(settle(can), ["doc_id", "fp1"]).join(both.select("doc_id", "fp1", "a", "b"), ["doc_id", "fp1"]))
+    keep = ("doc_id", "fp1", "c", "a", "b", "n", "s")
+    outside = rows.filter("c <> main").select("ka", "kb", "main", *[F.col(k).alias(f"o_{k}") for k in keep])
+    inside = rows.select("ka", "kb", *[F.col(k).alias(f"i_{k}") for k in keep])
+    met = outside.join(inside, ["ka", "kb"]).filter(
+        f"o_c <> i_c and (i_c = main or o_c < i_c) and 100 * least(o_s, i_s) >= {similarity} * (o_n + i_n - least(o_s, i_s))"
+        " and element_at(array_intersect(o_a, i_a), 1) = ka and element_at(array_intersect(o_b, i_b), 1) = kb"
+    )
+    return met.select(F.col("o_doc_id").alias("x"), F.col("o_fp1").alias("fx"), F.col("i_doc_id").alias("y"), F.col("i_fp1").alias("fy"))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -132,20 +165,17 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     stars = keyed.filter("doc_id <> lead.doc_id").select(F.col("lead.doc_id").alias("x"), F.col("lead.fp1").alias("fx"), F.col("doc_id").alias("y"), F.col("fp1").alias("fy")).distinct()
     links = settle(_verified(stars, sets, similarity))
 
-    # what the stars left apart: buckets that span several components
-    grouped = components(links)
-    named = keyed.join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("ka", "kb", "doc_id", "fp1", "c")
-    named = settle(named)
-    mixed = named.groupBy("ka", "kb").agg(F.min("c").alias("main"), F.max("c").alias("top")).filter("main <> top").select("ka", "kb", "main")
-    apart = named.join(mixed, ["ka", "kb"]).join(both.select("doc_id", "fp1", "a", "b"), ["doc_id", "fp1"])
-    apart = settle(apart)
-    outside = apart.filter("c <> main").select("ka", "kb", "main", *[F.col(k).alias(f"o_{k}") for k in ("doc_id", "fp1", "c", "a", "b")])
-    inside = apart.select("ka", "kb", *[F.col(k).alias(f"i_{k}") for k in ("doc_id", "fp1", "c", "a", "b")])
-    met = outside.join(inside, ["ka", "kb"]).filter(
-        "o_c <> i_c and (i_c = main or o_c < i_c) and element_at(array_intersect(array_sort(o_a), array_sort(i_a)), 1) = ka and element_at(array_intersect(array_sort(o_b), array_sort(i_b)), 1) = kb"
-    )
-    rest = met.select(F.col("o_doc_id").alias("x"), F.col("o_fp1").alias("fx"), F.col("i_doc_id").alias("y"), F.col("i_fp1").alias("fy"))
-    links = links.unionByName(_verified(rest, sets, similarity))
+    # what the stars left apart: first a few members of the main component that differ from bucket to bucket ...
+    apart = _apart(keyed, links)
+    if not apart.isEmpty():
+        some = apart.filter(F.pmod(F.xxhash64("ka", "kb"), F.lit(4)) == 0)
+        hub = some.filter("c = main").groupBy("ka", "kb").agg(F.min_by(F.struct("doc_id", "fp1"), F.xxhash64("ka", "kb", "doc_id")).alias("hub"))
+        tries = some.filter("c <> main").join(hub, ["ka", "kb"]).select(F.col("hub.doc_id").alias("x"), F.col("hub.fp1").alias("fx"), F.col("doc_id").alias("y"), F.col("fp1").alias("fy")).distinct()
+        links = settle(links.unionByName(_verified(tries, sets, similarity)))
+        apart = _apart(keyed, links)
+    # ... then everything that still can be similar across components
+    if not apart.isEmpty():
+        links = links.unionByName(_verified(_across(apart, both, sets, similarity), sets, similarity))
 
     grouped = components(links)
     placed = nodes.join(grouped.select(F.col("id").alias("node"), "component"), "node", "left").select(*same, F.coalesce("component", "node").alias("of"))
