@@ -161,3 +161,20 @@ def op7_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.select("conv_id", "turn", "role", "text", F.when(talk, own).alias("own_id"), F.when(talk & (F.col("turn") > 0), follows).alias("follows_id"), F.when(call, "reply").alias("tool"), F.when(call, arguments).alias("arguments")),
         REPLY,
     )
+
+
+OP7_SQL = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, role IN ('user', 'assistant') AS talk, role = 'user' AS call FROM conversations),
+named AS (
+  SELECT *, CASE WHEN talk THEN CASE WHEN call THEN 'call-' ELSE 'result-' END || turn END AS own,
+    CASE WHEN talk AND turn > 0 THEN CASE WHEN call THEN 'result-' ELSE 'call-' END || (turn - 1) END AS follows FROM m
+), linked AS (SELECT n.*, p.turn AS parent_turn FROM named n LEFT JOIN named p ON p.conv_id = n.conv_id AND p.own = n.follows)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn, role,
+  CASE WHEN follows IS NULL THEN 'root' WHEN parent_turn IS NULL THEN 'orphan' ELSE 'linked' END AS status, parent_turn, CAST(NULL AS VARCHAR) AS arguments_error,
+  CAST(CASE WHEN call AND follows IS NULL THEN json_object('content', t, 'role', role, 'tool_call', json_object('arguments', json_object('prompt', t, 'turn', turn), 'id', own, 'name', 'reply'))
+    WHEN call THEN json_object('content', t, 'follows', follows, 'role', role, 'tool_call', json_object('arguments', json_object('prompt', t, 'turn', turn), 'id', own, 'name', 'reply'))
+    WHEN own IS NULL THEN json_object('content', t, 'role', role)
+    WHEN follows IS NULL THEN json_object('content', t, 'id', own, 'role', role)
+    ELSE json_object('content', t, 'follows', follows, 'id', own, 'role', role) END AS VARCHAR) AS json
+FROM linked
+"""

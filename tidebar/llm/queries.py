@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import op7_chat_tool_links
+from .chat import OP7_SQL, op7_chat_tool_links
 from .decontam import op3_benchmark_leaks
 from .embeddings import OP4_SQL, op4_embedding_near_dedup
 from .licenses import op2_license_scan
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op4_embedding_near_dedup": OP4_SQL,
+    "op7_chat_tool_links": OP7_SQL,
 }
