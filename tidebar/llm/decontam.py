@@ -146,7 +146,7 @@ class Index:
             if score >= self.threshold - 1e-12:
                 grams = _trigrams(window)
                 question, answer = (len(g & grams) / len(g) if g else 1.0 for g in self.grams[k])
-                if question >= OVERLAP and answer >= OVERLAP and (k not in best or (score, -p) > (best[k][1], -best[k][4])):
+                if question >= OVERLAP and answer >= OVERLAP and (k not in best or (round(score, 12), -p * self.stride) > (round(best[k][1], 12), -best[k][4])):
                     best[k] = (k, score, question, answer, p * self.stride)
         return list(best.values())
 
@@ -205,4 +205,28 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> list:
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.round(c, 9) for c in ("score", "question_overlap", "answer_overlap")})
+
+
+#: Every passage is scored against every item; words are runs of letters and numbers.
+OP3_SQL = r"""
+WITH items AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len(w) > 0),
+size AS (SELECT greatest(64, max(n)) AS stride, avg(n) AS mean, count(*) AS items FROM items),
+tf AS (SELECT item_id, n, word, count(*) AS tf FROM (SELECT item_id, n, unnest(w) AS word FROM items) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+raw AS (SELECT item_id, word, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS x FROM tf JOIN df USING (word), size),
+impact AS (SELECT item_id, word, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+words AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM texts),
+held AS (SELECT DISTINCT doc_id, pos // stride - back AS p, word FROM words, size, (SELECT unnest([0, 1]) AS back) WHERE pos // stride - back >= 0),
+scored AS (SELECT doc_id, p, item_id, sum(x) AS score FROM held JOIN impact USING (word) GROUP BY ALL HAVING sum(x) >= 0.6 - 1e-12),
+windows AS (SELECT s.*, t.w[CAST(p * stride + 1 AS BIGINT):CAST((p + 2) * stride AS BIGINT)] AS w FROM scored s JOIN texts t USING (doc_id), size),
+grams AS (SELECT doc_id, p, item_id, score, list_transform(range(1, greatest(2, len(w) - 1)), lambda k: array_to_string(w[k:k + 2], ' ')) AS g FROM windows),
+halves AS (SELECT item_id, w[1:cut] AS q, w[cut + 1:] AS a FROM (SELECT *, CASE WHEN n >= 6 THEN n - n // 3 ELSE n END AS cut FROM items)),
+parts AS (SELECT item_id, CASE WHEN len(q) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(q) - 1)), lambda k: array_to_string(q[k:k + 2], ' '))) END AS q,
+  CASE WHEN len(a) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(a) - 1)), lambda k: array_to_string(a[k:k + 2], ' '))) END AS a FROM halves),
+checked AS (SELECT doc_id, item_id, p, score, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, g)) / len(q) END AS qo, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, g)) / len(a) END AS ao FROM grams JOIN parts USING (item_id))
+SELECT doc_id, item_id, round(score, 9) AS score, round(qo, 9) AS question_overlap, round(ao, 9) AS answer_overlap, CAST(p * stride AS BIGINT) AS first_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 12) DESC, p) AS r FROM checked WHERE qo >= 0.6 AND ao >= 0.6), size WHERE r = 1
+"""

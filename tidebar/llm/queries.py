@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_tool_links
-from .decontam import op3_benchmark_leaks
+from .decontam import OP3_SQL, op3_benchmark_leaks
 from .embeddings import OP4_SQL, op4_embedding_near_dedup
 from .licenses import op2_license_scan
 from .minhash import OP1_SQL, op1_minhash_near_dedup
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op3_benchmark_leaks": OP3_SQL,
     "op4_embedding_near_dedup": OP4_SQL,
     "op7_chat_tool_links": OP7_SQL,
 }
