@@ -54,3 +54,27 @@ def test_pipeline_from_bars_to_scored_combo(spark, sf_dir):
     assert {r["symbol"] for r in rows} <= {"click", "view"} and rows and all(r["signal"] in ("long", "short", "none") for r in rows)
     with pytest.raises(ValueError, match="lacks"):
         src.snapshot_columns(h, ["nope"])
+
+
+def test_universe_health_alerts_and_stored_scores(spark, tmp_path):
+    one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "symbol string")
+    meta = spark.createDataFrame([("A", True, 2e9), ("B", True, 5e8), ("C", False, 3e9), ("D", True, None), ("E", True, 9e9)], "symbol string, has_options boolean, market_cap double")
+    meta = meta.withColumns({"name": F.lit("n"), "sector": F.lit("Energy"), "industry": F.lit("Oil"), "sub_industry": F.lit(None).cast("string")})
+    funds = spark.createDataFrame([("XLE", "Energy Select", 0)], "symbol string, name string, pos int")
+    chosen, fund_map = pipelines.build_universe([one("A", "B", "C"), one("A", "D", "E")], one("E"), meta, funds)
+    assert [r["symbol"] for r in chosen.collect()] == ["A"] and fund_map.first()["etf_symbol_primary"] == "XLE"
+
+    scored = spark.createDataFrame([("a", "long"), ("b", "short")], "symbol string, signal string")
+    state = spark.createDataFrame([], "alert_key string, fingerprint string, saved_at string")
+    digest, row = pipelines.run_alerts(scored, "k", state, "1")
+    assert digest.count() == 2
+    assert pipelines.run_alerts(scored, "k", state.unionByName(row), "2")[0].count() == 0
+
+    health = [tuple(r) for r in pipelines.run_health({"x": (scored, one("A", "B", "Z"))}).collect()]
+    assert health == [("x", "coverage", False, 1), ("x", "nonempty", True, 2)]
+
+    made = []
+    make = lambda: made.append(1) or scored
+    for _ in range(2):
+        assert pipelines.etf_scores(spark, str(tmp_path), "daily", make).count() == 2
+    assert made == [1]

@@ -38,6 +38,11 @@ def sort_view(df: DataFrame, signal: str = "all") -> DataFrame:
     return df.orderBy(by.desc_nulls_last(), "symbol")
 
 
+def sort_archived(df: DataFrame) -> DataFrame:
+    """By long score, then short score, both falling; symbols break ties."""
+    return df.orderBy(F.col("mtf_long_score").desc_nulls_last(), F.col("mtf_short_score").desc_nulls_last(), "symbol")
+
+
 def select_view(df: DataFrame, catalog: list[str]) -> DataFrame:
     """The catalog's columns that are there; the roles' dates follow the signal."""
     dates = [f"{r}_date" for r in ROLES if f"{r}_date" in df.columns]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import combos, scoring
+from ..operators import combos, desk, scoring
 from ..operators.frames import latest, tail_bars
 from ..operators.registry import apply_profile
 from ..operators.repair import upsert_window, valid_ohlc
 from ..operators.resample import resample_4h, resample_monthly, resample_quarterly, resample_session_daily, resample_weekly, resample_yearly
-from ..sources.bars import snapshot_columns
+from ..sources.bars import snapshot_columns, union_listings
 from . import config
 
 STEPS = {"intraday_4h": resample_4h, "daily": resample_session_daily, "weekly": resample_weekly, "monthly": resample_monthly, "quarterly": resample_quarterly, "yearly": resample_yearly}
@@ -51,3 +52,36 @@ def run_combo(snapshots: dict[str, DataFrame], cfg: config.Combo, universe: Data
 
 def etf_trends(bars: DataFrame, timeframe: str, window: int) -> DataFrame:
     return scoring.etf_trend(latest(run_timeframe(bars, "stocks", timeframe, window)))
+
+
+def etf_scores(spark: SparkSession, path: str, timeframe: str, make) -> DataFrame:
+    """The stored scores of a timeframe if there are any, else those that ``make()`` gives, stored for the next time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/timeframe={timeframe}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        make().write.mode("overwrite").parquet(folder.toString())
+    return spark.read.parquet(folder.toString())
+
+
+def build_universe(listings: list[DataFrame], exclusions: DataFrame, meta: DataFrame, etfs: DataFrame, overrides: DataFrame | None = None, min_cap: float = 1e9) -> tuple[DataFrame, DataFrame]:
+    """Listed symbols less exclusions that are eligible, and their ETF map."""
+    listed = union_listings(*listings).join(combos.small(exclusions.select("symbol").distinct()), "symbol", "left_anti")
+    chosen = combos.eligible(meta.join(listed, "symbol", "left_semi"), min_cap)
+    return chosen, combos.match_by_tokens(chosen, etfs, overrides)
+
+
+def run_health(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """A row for each check of each (combo, expected symbols), failures first."""
+    out = None
+    for name, (df, expected) in checks.items():
+        part = desk.check_nonempty(df, name).unionByName(desk.check_coverage(df, expected, name))
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("ok", "name", "check")
+
+
+def run_alerts(scored: DataFrame, alert_key: str, state: DataFrame, saved_at: str, cap: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The digest if it differs from the last state (else no rows), and the state row to append then."""
+    digest = desk.alert_digest(scored, cap)
+    now = desk.fingerprint(digest).select(F.lit(alert_key).alias("alert_key"), "fingerprint")
+    changed = desk.changed_only(now, state)
+    tagged = digest.withColumn("alert_key", F.lit(alert_key))
+    return tagged.join(F.broadcast(changed.select("alert_key")), "alert_key", "left_semi"), changed.withColumn("saved_at", F.lit(saved_at))
