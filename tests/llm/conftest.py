@@ -1,15 +1,9 @@
 import random
 
 import pytest
+from corpus_words import prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-WORDS = [a + b for a in ("ba", "ko", "ri", "tu", "ne", "sa", "mo", "li") for b in ("ran", "tel", "dis", "mok", "ver", "pil", "sun", "gor")]
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and long texts, ties, repeated rows."""

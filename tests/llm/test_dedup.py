@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import WORDS, prose
+from corpus_words import WORDS, prose
 
 from tidebar.llm import embeddings, minhash, repeats
 from tidebar.llm.common import components

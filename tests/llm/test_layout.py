@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_words import prose
 
 from tidebar.llm import chat, packing, sharding
 from tidebar.llm.common import number_within

@@ -2,7 +2,7 @@ import math
 import random
 
 import numpy as np
-from conftest import prose
+from corpus_words import prose
 
 from tidebar.llm import calibration, decontam, licenses, quality, toxicity
 
