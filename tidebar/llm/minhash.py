@@ -40,6 +40,8 @@ WIDTH = 5
 SIMILARITY = 75  # per cent
 BANDS = 14
 ROWS = 2
+#: Hash classes of the bound on intersections.
+CLASSES = 64
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
@@ -122,22 +124,27 @@ def _apart(keyed: DataFrame, links: DataFrame) -> DataFrame:
 def _across(apart: DataFrame, both: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (x, fx, y, fy) of different components that meet in a bucket and can be similar.
 
-    Shingles that no other of these documents has are in no intersection: with
-    s shingles left of n, two documents share at most min(s) of n + n - min(s).
+    Shingles that no other of these documents has are in no intersection.  The
+    others are counted by CLASSES hash classes: two documents share no more than
+    the sum of the lesser counts, which leaves little but true links to verify.
     """
     who = apart.select("doc_id", "fp1").distinct()
     own = sets.join(who, ["doc_id", "fp1"], "left_semi").select("doc_id", "fp1", F.size("u").alias("n"), "u")
     each = own.select("doc_id", "fp1", F.explode("u").alias("g"))
     twice = each.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    left = each.join(twice, "g", "left_semi").groupBy("doc_id", "fp1").agg(F.count(F.lit(1)).alias("s"))
-    can = own.drop("u").join(left, ["doc_id", "fp1"]).filter(F.col("s") * 100 >= F.col("n") * similarity)
-    rows = settle(apart.join(settle(can), ["doc_id", "fp1"]).join(both.select("doc_id", "fp1", "a", "b"), ["doc_id", "fp1"]))
-    keep = ("doc_id", "fp1", "c", "a", "b", "n", "s")
+    classes = each.join(twice, "g", "left_semi").groupBy("doc_id", "fp1", F.pmod("g", F.lit(CLASSES)).cast("int").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("m"))
+    counts = classes.groupBy("doc_id", "fp1").agg(F.sum("m").alias("s"), F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("by"))  # CLASSES entries at most
+    counts = counts.select("doc_id", "fp1", "s", F.expr(f"transform(sequence(0, {CLASSES - 1}), k -> coalesce(by[k], 0))").alias("m"))
+    can = own.drop("u").join(counts, ["doc_id", "fp1"]).filter(F.col("s") * 100 >= F.col("n") * similarity)
+    rows = apart.select("ka", "kb", "doc_id", "fp1", "c", "main").join(settle(can.join(both.select("doc_id", "fp1", "a", "b"), ["doc_id", "fp1"])), ["doc_id", "fp1"])
+    rows = settle(rows)
+    keep = ("doc_id", "fp1", "c", "a", "b", "n", "s", "m")
     outside = rows.filter("c <> main").select("ka", "kb", "main", *[F.col(k).alias(f"o_{k}") for k in keep])
     inside = rows.select("ka", "kb", *[F.col(k).alias(f"i_{k}") for k in keep])
     met = outside.join(inside, ["ka", "kb"]).filter(
-        f"o_c <> i_c and (i_c = main or o_c < i_c) and 100 * least(o_s, i_s) >= {similarity} * (o_n + i_n - least(o_s, i_s))"
+        f"o_c <> i_c and (i_c = main or o_c < i_c) and {100 + similarity} * least(o_s, i_s) >= {similarity} * (o_n + i_n)"
         " and element_at(array_intersect(o_a, i_a), 1) = ka and element_at(array_intersect(o_b, i_b), 1) = kb"
+        f" and {100 + similarity} * aggregate(zip_with(o_m, i_m, (p, q) -> least(p, q)), 0, (t, v) -> t + v) >= {similarity} * (o_n + i_n)"
     )
     return met.select(F.col("o_doc_id").alias("x"), F.col("o_fp1").alias("fx"), F.col("i_doc_id").alias("y"), F.col("i_fp1").alias("fy"))
 
