@@ -132,6 +132,19 @@ def test_leaks_against_scoring_everything(spark, no_docs, clashing):
     assert {r["doc_id"] for r in decontam.without_leaks(d, b).collect()} == {i for i, _ in docs} - {k[0] for k in want}
 
 
+def test_exact_copies_of_short_items_are_found(spark):
+    """Against a search for the item's words in a row, which knows nothing of the index."""
+    rng = random.Random(5)
+    items = [(10 * n + k, " ".join(f"w{n}x{k}x{j}" for j in range(n))) for n in range(1, 13) for k in range(3)]
+    docs = [(i, f"{prose(rng, rng.choice([0, 2, 70, 150]))} {t} {prose(rng, rng.choice([0, 1, 90]))}") for i, t in items]
+    docs += [(1000 + i, " ".join(w + " pause between words" for w in t.split())) for i, t in items if len(t.split()) in (2, 6)]
+    want = {(d, i) for d, text in docs for i, t in items if f" {t.lower()} " in " " + " ".join(decontam.words_of(text)) + " "}
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(d, b).collect()}
+    assert got == want and len(want) == len(items)
+    assert {r["doc_id"] for r in decontam.without_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_index_blocks_find_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 12) + f" rare{i}") for i in range(30)]

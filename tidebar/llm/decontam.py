@@ -16,7 +16,10 @@ pairs that pass are scored in full.  No pair at the threshold is lost.
 
 Retrieved pairs are verified: of the word trigrams of the question (the item
 but for its last third) and of the answer (that third), enough must stand in
-the passage.  Items of under six words are one question with no answer.
+the passage.  Items of under six words are one question with no answer.  A
+question or answer of one or two words is a single n-gram of that length, held
+against the passage's n-grams of the same length; ``OP3_SQL`` still holds it
+against trigrams only, so it finds no item of 1, 2, 6, 7 or 8 words.
 
 Defined cases: null or blank texts and items match nothing; repeated rows match
 each; a document that holds an item several times gives one row, of its best
@@ -57,6 +60,16 @@ def _trigrams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
 
 
+def _overlap(grams: set[tuple[str, ...]], words: list[str], cache: dict[int, set[tuple[str, ...]]]) -> float:
+    """Share of an item's n-grams that stand in a passage; ``cache`` keeps the passage's n-grams by length."""
+    if not grams:
+        return 1.0
+    n = len(next(iter(grams)))
+    if n not in cache:
+        cache[n] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+    return len(grams & cache[n]) / len(grams)
+
+
 class Index:
     """Postings of one block of items: full impacts, essential impacts and their maxima by block."""
 
@@ -144,8 +157,8 @@ class Index:
             window = words[p * self.stride : (p + 2) * self.stride]
             score = sum(self.impacts[k].get(w, 0.0) for w in set(window))
             if score >= self.threshold - 1e-12:
-                grams = _trigrams(window)
-                question, answer = (len(g & grams) / len(g) if g else 1.0 for g in self.grams[k])
+                held_grams: dict[int, set[tuple[str, ...]]] = {}
+                question, answer = (_overlap(g, window, held_grams) for g in self.grams[k])
                 if question >= OVERLAP and answer >= OVERLAP and (k not in best or (round(score, 12), -p * self.stride) > (round(best[k][1], 12), -best[k][4])):
                     best[k] = (k, score, question, answer, p * self.stride)
         return list(best.values())
