@@ -53,6 +53,25 @@ def test_scores_odd_cases(spark, odd_docs, no_docs, clashing):
         assert score(no_docs, labels).count() == 0
 
 
+def test_without_usable_labels_quality_is_one_half_and_keeps_all(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.unionByName(spark.createDataFrame([(i, f"a clean text of number {i}", "en", None, None) for i in range(100, 200)], odd_docs.schema))
+    held, calibrates = F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
+    y = docs.filter("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    cases = {
+        "no labels": y.limit(0),
+        "null labels": y.withColumn("quality", F.lit(None).cast("int")),
+        "labels of other documents": y.withColumn("doc_id", F.col("doc_id") + 100_000),
+        "held-out labels": y.filter(held),
+        "labels that only calibrate": y.filter(~held & calibrates),
+    }
+    assert cases["held-out labels"].count() and cases["labels that only calibrate"].count()
+    for name, labels in cases.items():
+        assert {(r["score"], r["predicted"]) for r in quality.score_quality(docs, labels).collect()} == {(0.5, 1)}, name
+        assert quality.good_documents(docs, labels).count() == docs.count(), name
+
+
 def test_folding_and_matching():
     m = toxicity.Matcher([("idiot", True, 5.0), ("vequ", False, 4.0)], exceptions=("idiot board",))
     for text in ("you IDIOT!", "1d10t", "іdіоt", "ｉｄｉｏｔ", "id!ot", "x idi0t."):

@@ -11,7 +11,8 @@ at most ``MAX_LABELLED`` of them, chosen by a hash of the id.
 
 Defined cases: a null text is measured as an empty one; a null doc_id is scored
 and counts as not held out; rows without labels are only scored; with no usable
-label every score is 0.5; repeated rows are scored each.
+label every score is exactly 0.5, which the filtering stage keeps; repeated rows
+are scored each.
 """
 
 from __future__ import annotations
@@ -111,6 +112,7 @@ class Model:
         self.directions = rng.normal(0, 1 / math.sqrt(d), (d, features))
         self.phases = rng.uniform(0, 2 * math.pi, features)
         self.weights = np.zeros(features + 1)
+        self.fitted = False
         self.knots = np.array([LOW, HIGH]), np.array([0.5, 0.5])
 
     def lift(self, x: np.ndarray) -> np.ndarray:
@@ -121,6 +123,8 @@ class Model:
         return self.lift(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.full(len(x), 0.5)
         return calibrated(self.raw(x), self.knots, LOW, HIGH)
 
 
@@ -166,6 +170,7 @@ def fit(train: DataFrame) -> Model:
 
     gram = _summed(train.filter(~calibrates).mapInPandas(equations, "i int, v double")).reshape(width, width + 1)
     model.weights = np.linalg.solve(gram[:, :-1] + RIDGE * n / width * np.eye(width), gram[:, -1])
+    model.fitted = True
 
     def raw(batches):
         for pdf in batches:
