@@ -194,3 +194,24 @@ def test_licenses(spark, no_docs):
     from pyspark.sql import functions as F
 
     assert licenses.scan(no_docs.withColumn("path", F.lit("x"))).count() == 0
+
+
+def test_whole_licence_files_and_the_root_folder(spark):
+    rng = random.Random(6)
+    texts = dict(licenses.full_texts())
+    files = [(i, texts[n].replace("<year> <copyright holders>", "2020 A. Body"), f"p/{n}/LICENSE") for i, n in enumerate(texts)]
+    files += [(100 + i, "print(1)", f"p/{n}/src/main.py") for i, n in enumerate(texts)]
+    files += [(200, texts["MIT"], "LICENSE"), (201, "print(2)", "q/r/s.py"), (202, "print(3)", "setup.py"), (203, "no path", None)]
+    files += [(300 + i, prose(rng, 200), f"prose/{i}") for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, text string, path string").repartition(3)).collect()}
+    for i, n in enumerate(texts):
+        assert (got[i]["licence"], got[i]["basis"], got[i]["is_licence_file"]) == (n, "statement", True), n
+        assert (got[100 + i]["licence"], got[100 + i]["inherited_from"]) == (n, f"p/{n}"), n
+    assert got[200]["is_licence_file"] and got[203]["licence"] is None
+    assert all((got[i]["licence"], got[i]["basis"], got[i]["inherited_from"]) == ("MIT", "inherited", "") for i in (201, 202, *range(300, 330)))
+
+
+def test_templates_need_no_fixed_words(spark):
+    files = spark.createDataFrame([(1, "Available under CC BY-SA 4.0", "a/x"), (2, "zork glub frob", "b/x"), (3, "plain prose of some kind", "c/x")], "doc_id long, text string, path string")
+    assert {r["doc_id"]: r["licence"] for r in licenses.scan(files).collect()} == {1: "CC-BY-SA-4.0", 2: None, 3: None}
+    assert {r["doc_id"]: r["licence"] for r in licenses.scan(files, [("Zork", "Zork glub frob.")]).collect()} == {1: None, 2: "Zork", 3: None}
