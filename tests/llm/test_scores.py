@@ -215,3 +215,18 @@ def test_templates_need_no_fixed_words(spark):
     files = spark.createDataFrame([(1, "Available under CC BY-SA 4.0", "a/x"), (2, "zork glub frob", "b/x"), (3, "plain prose of some kind", "c/x")], "doc_id long, text string, path string")
     assert {r["doc_id"]: r["licence"] for r in licenses.scan(files).collect()} == {1: "CC-BY-SA-4.0", 2: None, 3: None}
     assert {r["doc_id"]: r["licence"] for r in licenses.scan(files, [("Zork", "Zork glub frob.")]).collect()} == {1: None, 2: "Zork", 3: None}
+
+
+def brute_cosine(texts, wording, line):
+    parts = [licenses._terms(p) for t in texts for p in licenses._SENTENCE.split(t)]
+    idf = lambda t: math.log(1 + len(parts) / (1 + sum(t in p for p in parts)))
+    a, b = ({t: x.count(t) * idf(t) for t in x} for x in (licenses._terms(line), licenses._terms(wording)))
+    return sum(w * b.get(t, 0.0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+
+def test_all_statements_count_in_the_cosine(spark):
+    line = "This is the work that is licensed under the MIT License."
+    texts = [line, *(f"this is the road under the hill of work number {i}\nand the {i}" for i in range(40))]
+    out = licenses.scan(spark.createDataFrame([(i, t, f"d{i}/x") for i, t in enumerate(texts)], "doc_id long, text string, path string")).filter("doc_id = 0").first()
+    want = max(brute_cosine(texts, t, line) for _, t in licenses.TEMPLATES)
+    assert want > 0.5 and abs(out["cosine"] - want) < 1e-8
