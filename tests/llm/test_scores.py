@@ -173,6 +173,19 @@ def test_index_blocks_find_the_same(spark, monkeypatch):
     assert {(i, i) for i in range(30)} <= {(r["doc_id"], r["item_id"]) for r in got}
 
 
+def test_index_blocks_change_no_result(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [(i, prose(rng, rng.choice([6, 12, 40, 90])) + f" rare{i}") for i in range(12)] + [(None, "an item that has no name of its own")]
+    docs = [(i, prose(rng, 30) + " " + " ".join(t.split()[: rng.choice([100, 100, 32])])) for i, (_, t) in enumerate(items)] + [(99, prose(rng, 50))]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["first_word"]) for r in decontam.contamination(d, b).collect())
+    kept = lambda: {r["doc_id"] for r in decontam.without_leaks(d, b).collect()}
+    want, left = rows(), kept()
+    assert 99 in left and 12 not in left and len(want) > 8
+    monkeypatch.setattr(decontam, "INDEX_ITEMS", 5)
+    assert rows() == want and kept() == left
+
+
 def test_licenses(spark, no_docs):
     files = [
         (1, "Released under the MIT License.", "r/a/LICENSE"),

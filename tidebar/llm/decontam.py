@@ -1,10 +1,12 @@
 """Benchmark decontamination: BM25 over test items with block-max pruning.
 
 The test items are the index, the training passages the queries.  Items are
-taken in blocks of at most ``INDEX_ITEMS``, which bounds the index that is
-broadcast; every block meets every passage.  A passage is a window of words
-twice as wide as its stride, and the stride is no shorter than the longest item
-of the block, so every item fits into some passage.
+taken in blocks of about ``INDEX_ITEMS`` items and ``INDEX_WORDS`` words at
+most, which bounds the index that is broadcast; every block meets every passage.
+Counts, mean length and stride are those of all items, so blocks change no
+result, and a block is released before the next is built.  A passage is a window
+of words twice as wide as its stride, and the stride is no shorter than the
+longest item, so every item fits into some passage.
 
 Scores are BM25 of the passage's distinct words, as a share of what the item
 scores against itself; all pairs at or above ``THRESHOLD`` are retrieved.  As in
@@ -23,7 +25,8 @@ against trigrams only, so it finds no item of 1, 2, 6, 7 or 8 words.
 
 Defined cases: null or blank texts and items match nothing; repeated rows match
 each; a document that holds an item several times gives one row, of its best
-passage; empty tables give no rows.
+passage; empty tables give no rows; an item without an id gives no pair, as
+nothing names it, but the filtering stage drops the documents that hold it.
 """
 
 from __future__ import annotations
@@ -39,8 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .scratch import settle, unsettle
 
 INDEX_ITEMS = 50_000
+INDEX_WORDS = 1_000_000
+#: Items are dealt over so many buckets, which blocks are made of.
+BUCKETS = 65_536
 THRESHOLD = 0.6
 OVERLAP = 0.6
 #: Share of an item's own score that its essential words make up at least.
@@ -71,23 +78,24 @@ def _overlap(grams: set[tuple[str, ...]], words: list[str], cache: dict[int, set
 
 
 class Index:
-    """Postings of one block of items: full impacts, essential impacts and their maxima by block."""
+    """Postings of one block of items: full impacts, essential impacts and their maxima by block.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    ``corpus``: number of all items, their mean length, the stride, and in how many each word of the block stands.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, corpus: tuple[int, float, int, dict[str, int]] | None = None):
         items = [(i, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _ in items]
         self.threshold = threshold
         lengths = [len(w) for _, w in items]
-        self.stride = max([STRIDE, *lengths])
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(w for _, ws in items for w in set(ws))
         n = len(items)
+        total, mean, self.stride, df = corpus or (n, sum(lengths) / max(1, n), max([STRIDE, *lengths]), Counter(w for _, ws in items for w in set(ws)))
         self.impacts: list[dict[str, float]] = []
         postings: dict[str, list[tuple[int, float]]] = {}
         self.need = np.zeros(n)
         for k, (_, ws) in enumerate(items):
             norm = K1 * (1 - B + B * len(ws) / mean)
-            impact = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(ws).items()}
+            impact = {w: math.log1p((total - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(ws).items()}
             own = sum(impact.values())
             impact = {w: x / own for w, x in impact.items()}
             self.impacts.append(impact)
@@ -186,16 +194,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for shared in indexes(benchmark, threshold):
+    for shared, last in indexes(benchmark.filter("item_id is not null"), threshold):
         out = texts.mapInArrow(_search(shared), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+        if not last:
+            out = settle(out)
+            shared.destroy()
         found = out if found is None else found.unionByName(out)
     return found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; filtered where they are read."""
-    for shared in indexes(benchmark, threshold):
+    """The rows of ``docs`` that hold no benchmark item; filtered where they are read, and settled between blocks."""
+    before = None
+    for shared, last in indexes(benchmark, threshold):
         docs = docs.filter(~_leaky(shared)(F.col("text").cast("string")))
+        if not last:
+            docs = settle(docs)
+            shared.destroy()
+            if before is not None:
+                unsettle(before)
+            before = docs
     return docs
 
 
@@ -208,13 +226,33 @@ def _leaky(shared):
     return leaky
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> list:
-    """Broadcast indexes of the items, at most about INDEX_ITEMS in each."""
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD):
+    """(broadcast index, is it the last) of one block after the other; one at least."""
     spark = benchmark.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(items.count() / INDEX_ITEMS))
-    parts = (items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect() for k in range(blocks))
-    return [spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], threshold)) for part in parts]
+
+    @F.pandas_udf("array<string>")
+    def split(text: pd.Series) -> pd.Series:
+        return pd.Series([words_of(t) for t in text], dtype=object)
+
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    items = items.withColumn("words", split("text")).filter(F.size("words") > 0).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).cast("int"))
+    items = settle(items.repartitionByRange("bucket").sortWithinPartitions("bucket"))  # a block's filter skips the files of others
+    sizes = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest")).orderBy("bucket").collect()  # BUCKETS rows at most
+    df = settle(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    total = sum(r["items"] for r in sizes)
+    mean = sum(r["words"] for r in sizes) / max(1, total)
+    stride = max([STRIDE, *(r["longest"] for r in sizes)])
+    blocks: list[list[int]] = []  # first and last bucket, items, words
+    for r in sizes:
+        if not blocks or blocks[-1][2] + r["items"] > INDEX_ITEMS or blocks[-1][3] + r["words"] > INDEX_WORDS:
+            blocks.append([r["bucket"], r["bucket"], 0, 0])
+        blocks[-1] = [blocks[-1][0], r["bucket"], blocks[-1][2] + r["items"], blocks[-1][3] + r["words"]]
+    blocks = blocks or [[0, 0, 0, 0]]
+    for k, (lo, hi, _, _) in enumerate(blocks):
+        part = items.filter(F.col("bucket").between(lo, hi))
+        counts = {r["word"]: r["df"] for r in part.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()}
+        rows = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()]
+        yield spark.sparkContext.broadcast(Index(rows, threshold, (total, mean, stride, counts))), k == len(blocks) - 1
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
