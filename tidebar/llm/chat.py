@@ -15,7 +15,8 @@ and each message is serialised as canonical JSON: sorted keys, no spaces.
 
 Defined cases: null identifiers link nothing; of several messages with one
 identifier the smallest (turn, content hash) is meant, and the others are marked;
-a result without its call is an orphan; arguments that are no JSON object fail;
+a result without its call is an orphan; arguments that are no JSON object fail
+and are written as they stand, those of unknown tools too;
 null text is an empty one; repeated rows stay; a null conv_id keeps its rows,
 unlinked.
 """
@@ -23,6 +24,7 @@ unlinked.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,8 @@ def check_arguments(raw: str | None, schema: dict | None) -> str:
     if schema is None:
         return "unknown tool"
     try:
-        found = json.loads(raw or "")
-    except ValueError:
+        found = json.loads(raw or "", parse_constant=_refused)
+    except (ValueError, RecursionError):
         return "no JSON"
     if not isinstance(found, dict):
         return "no object"
@@ -58,8 +60,25 @@ def check_arguments(raw: str | None, schema: dict | None) -> str:
     return ""
 
 
+def _refused(constant: str):
+    raise ValueError(constant)  # NaN and the infinities are no JSON
+
+
+def parsed(raw: str | None):
+    """Arguments as JSON where they are a JSON object, else as they stand."""
+    try:
+        found = json.loads(raw or "null", parse_constant=_refused)
+    except (ValueError, RecursionError):
+        return raw
+    return found if isinstance(found, dict) or found is None else raw
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces; lone surrogates, which no text can hold, stay escaped."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -110,7 +129,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             wrong = None if name is None else check_arguments(args, known.get(name))
             row = {"role": r, "content": t or ""}
             if name is not None:
-                row["tool_call"] = {"id": o, "name": name, "arguments": args if wrong in ("no JSON", "no object") else json.loads(args) if args else None}
+                row["tool_call"] = {"id": o, "name": name, "arguments": parsed(args)}
             elif o is not None:
                 row["id"] = o
             if f is not None:
