@@ -88,15 +88,15 @@ def _blocks(size: int):
 
         partition, key, held, count, number = TaskContext.get().partitionId(), None, [], 0, 0
         names = ["block", "label", "d", "lo", "hi", "ids", "weights", "vectors"]
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         rows = []
         for batch in batches:
-            labels, dims = batch.column("label").to_numpy(), batch.column("d").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(labels) != 0) | (np.diff(dims) != 0)) + 1).tolist(), len(labels)]
+            labels, dims = batch.column("label").to_numpy(zero_copy_only=False), batch.column("d").to_numpy()
+            cuts = [0, *(np.flatnonzero((labels[1:] != labels[:-1]) | (np.diff(dims) != 0)) + 1).tolist(), len(labels)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                now = (int(labels[a]), int(dims[a]))
+                now = (labels[a], int(dims[a]))
                 while a < b:
                     if held and (now != key or count >= size):
                         rows.append(pack((f"{partition}-{number}", key), held))
@@ -174,15 +174,15 @@ def _compare(similarity: float):
 def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     v = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     marks = [F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"), F.size("v").alias("d")]
     rows = settle(rows.select("vec_id", "label", "v", F.coalesce(fine, F.lit(False)).alias("fine"), *marks))
     same = ["label", "k1", "k2", "d"]
     reps = settle(rows.filter("fine").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
-    ordered = reps.select("rep", "label", "n", "v", "d").mapInArrow(_project, "rep long, label long, n long, v array<double>, d int, p0 double")
+    ordered = reps.select("rep", "label", "n", "v", "d").mapInArrow(_project, "rep long, label string, n long, v array<double>, d int, p0 double")
     ordered = settle(ordered).repartitionByRange("label", "d", "p0").sortWithinPartitions("label", "d", "p0")
-    blocks = settle(ordered.mapInArrow(_blocks(block), "block string, label long, d int, lo double, hi double, ids array<long>, weights array<long>, vectors binary"))
+    blocks = settle(ordered.mapInArrow(_blocks(block), "block string, label string, d int, lo double, hi double, ids array<long>, weights array<long>, vectors binary"))
 
     # ranges of blocks that come within seven deviations; a label's blocks are rows / BLOCK
     reach = 7 * math.sqrt(max(2 - 2 * similarity, 1e-12))
