@@ -21,8 +21,9 @@ are never expanded into pairs.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a
 null doc_id links with nothing, its component_id is null and kept is false;
-rows that repeat an id share a component; an empty table gives no rows;
-further columns of the input are ignored.
+rows that repeat an id share a component, with whatever any of their texts is
+linked to; an empty table gives no rows; further columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -175,15 +176,21 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # what the stars left apart: first a few members of the main component that differ from bucket to bucket ...
     apart = _apart(keyed, links)
     if not apart.isEmpty():
-        some = apart.filter(F.pmod(F.xxhash64("ka", "kb"), F.lit(4)) == 0)
-        hub = some.filter("c = main").groupBy("ka", "kb").agg(F.min_by(F.struct("doc_id", "fp1"), F.xxhash64("ka", "kb", "doc_id")).alias("hub"))
-        tries = some.filter("c <> main").join(hub, ["ka", "kb"]).select(F.col("hub.doc_id").alias("x"), F.col("hub.fp1").alias("fx"), F.col("doc_id").alias("y"), F.col("fp1").alias("fy")).distinct()
+        quarter = apart.filter(F.pmod(F.xxhash64("ka", "kb"), F.lit(4)) == 0)
+        hub = quarter.filter("c = main").groupBy("ka", "kb").agg(F.min_by(F.struct("doc_id", "fp1"), F.xxhash64("ka", "kb", "doc_id")).alias("hub"))
+        tries = quarter.filter("c <> main").join(hub, ["ka", "kb"]).select(F.col("hub.doc_id").alias("x"), F.col("hub.fp1").alias("fx"), F.col("doc_id").alias("y"), F.col("fp1").alias("fy")).distinct()
         links = settle(links.unionByName(_verified(tries, sets, similarity)))
         apart = _apart(keyed, links)
     # ... then everything that still can be similar across components
     if not apart.isEmpty():
         links = links.unionByName(_verified(_across(apart, both, sets, similarity), sets, similarity))
 
+    # an id with several sets ties them, and whatever else has one of them
+    several = settle(some.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).filter("lo <> hi").select("doc_id"))
+    if not several.isEmpty():
+        named = some.join(several, "doc_id", "left_semi").select("doc_id", *same).distinct().join(nodes, same).select("doc_id", "node")
+        links = links.unionByName(named.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+
     grouped = components(links)
     placed = nodes.join(grouped.select(F.col("id").alias("node"), "component"), "node", "left").select(*same, F.coalesce("component", "node").alias("of"))
     return (
@@ -197,11 +204,25 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest id.
 
-    Rows that repeat an id are one document; rows with a null doc_id all stay.
+    Different texts under one id are documents of their own (and come before
+    others in their group); rows equal in id and text are one document, of which
+    the row of the least hash stays.  Rows with a null doc_id all stay.
     """
-    kept = settle(near_duplicates(docs, similarity).filter("kept").select("doc_id").distinct())
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    number = F.col("doc_id").cast("long")
+    own = docs.select(number.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    many = settle(own.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if many.isEmpty():
+        kept = settle(near_duplicates(own, similarity).filter("kept").select("doc_id"))
+        return docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # negative keys stand for (id, text)
+    key = -1 - F.shiftrightunsigned(F.xxhash64(number, F.col("text").cast("string")), 1)
+    rows = docs.select(number.alias("key"), key.alias("other"), row.alias("row"))
+    alone = rows.join(many, F.col("key") == many["doc_id"], "left_anti").select("key", "row")
+    shared = rows.join(many, F.col("key") == many["doc_id"], "left_semi").groupBy(F.col("other").alias("key")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    each = settle(alone.unionByName(shared))
+    kept = settle(near_duplicates(each.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), similarity).filter("kept").select(F.col("doc_id").alias("key")))
+    return each.join(kept, "key", "left_semi").unionByName(each.filter("key is null")).select("row.*")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
