@@ -93,13 +93,13 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Rows to learn from: (doc_id, x, y), none of them held out."""
+    """Rows to learn from: (doc_id, x, y), none of them held out; of several texts of one id that of the least statistics."""
     y = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     y = y.filter(~held_out())
     n = y.count()
     if n > MAX_LABELLED:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * MAX_LABELLED // n)
-    return stats.join(y, "doc_id").dropDuplicates(["doc_id"])
+    return stats.join(y, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y"))
 
 
 class Model:
