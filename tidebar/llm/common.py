@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of this package's classes so that executors need no copy of the package."""
+    return spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+
+def unpacked(shared: Broadcast):
+    """What ``carried`` has sent; unpacked once in each worker."""
+    held = shared.value
+    if isinstance(held[0], bytes):
+        held[0] = cloudpickle.loads(held[0])
+    return held[0]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows whose labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1

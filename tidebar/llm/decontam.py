@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table, unpacked
 from .scratch import settle, unsettle
 
 INDEX_ITEMS = 50_000
@@ -174,7 +174,7 @@ class Index:
 
 def _search(shared):
     def run(batches):
-        index = shared.value
+        index = unpacked(shared)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 1000):
@@ -220,7 +220,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def _leaky(shared):
     @F.pandas_udf("boolean")
     def leaky(text: pd.Series) -> pd.Series:
-        index = shared.value
+        index = unpacked(shared)
         return pd.Series([bool(index.search(words_of(t))) for t in text], dtype=bool)
 
     return leaky
@@ -252,7 +252,7 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD):
         part = items.filter(F.col("bucket").between(lo, hi))
         counts = {r["word"]: r["df"] for r in part.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()}
         rows = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()]
-        yield spark.sparkContext.broadcast(Index(rows, threshold, (total, mean, stride, counts))), k == len(blocks) - 1
+        yield carried(spark, Index(rows, threshold, (total, mean, stride, counts))), k == len(blocks) - 1
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

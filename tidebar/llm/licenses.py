@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table, unpacked
 from .scratch import settle
 
 SIMILARITY = 0.5
@@ -135,7 +135,7 @@ def _find(shared):
     """Rows (doc_id, path, h, words, whole, terms) of statements and whole texts that may reach the threshold."""
 
     def run(batches):
-        part, whole = shared.value
+        part, whole = unpacked(shared)
         for batch in batches:
             for k in range(0, len(batch), 1000):
                 some = batch.slice(k, 1000)
@@ -183,7 +183,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     least = weight(common[-1]["df"]) if len(common) == COMMON else weight(0)
     bounds = Bound([t for _, t, whole in known if not whole], weights, least, similarity), Bound([t for _, t, whole in known if whole], weights, least, WHOLE_SIMILARITY)
 
-    found = files.select("doc_id", "path", F.xxhash64("text").alias("h"), "text").mapInArrow(_find(spark.sparkContext.broadcast(bounds)), "doc_id long, path string, h long, words int, whole boolean, terms array<string>")
+    found = files.select("doc_id", "path", F.xxhash64("text").alias("h"), "text").mapInArrow(_find(carried(spark, bounds)), "doc_id long, path string, h long, words int, whole boolean, terms array<string>")
     marked = settle(found.withColumn("k1", F.xxhash64("whole", "terms")).withColumn("k2", F.hash("whole", "terms")))
     bags = settle(marked.groupBy("k1", "k2").agg(F.first("whole").alias("whole"), F.first("terms").alias("terms")))
     held = bags.select(F.explode("terms").alias("term")).distinct().unionByName(vocabulary).distinct()
