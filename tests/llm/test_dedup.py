@@ -82,7 +82,23 @@ def test_minhash_odd_cases(spark, odd_docs, no_docs, clashing):
     assert {r["component_id"] for r in out if r["doc_id"] in (5, 6, 7, 9)} == {5}
     assert all(r["component_id"] is None and not r["kept"] for r in out if r["doc_id"] is None)
     assert minhash.near_duplicates(no_docs).count() == 0
-    assert sorted(r["doc_id"] or 0 for r in minhash.one_of_each(clashing(odd_docs)).collect()) == [0, 0, 1, 2, 3, 4, 5, 8, 10, 11]
+    assert sorted(r["doc_id"] or 0 for r in minhash.one_of_each(clashing(odd_docs)).collect()) == [0, 0, 1, 2, 3, 4, 8, 8, 9, 10, 11]  # (9, 9) is one document, and first in its group
+
+
+def test_minhash_ids_that_repeat(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(3, a), (7, a), (7, b), (9, b + " more"), (11, prose(rng, 50)), (12, None), (12, prose(rng, 40))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(3, 3, True), (7, 3, False), (9, 3, False), (11, 11, True), (12, 12, True)}
+
+
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(4)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, c), (4, c + " more"), (None, c), (None, c)]
+    out = [tuple(r) for r in minhash.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (1, b), (3, c), (None, c), (None, c)], key=str)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -112,6 +128,24 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_repeats_over_many_ranges(spark):
+    """Hot contexts and anchors lie across the ends of many small ranges."""
+    rng = random.Random(8)
+    line, passage = prose(rng, 7), prose(rng, 60)
+    texts = [prose(rng, 8) + line + prose(rng, 8) for _ in range(120)] + [prose(rng, 3) + passage + prose(rng, 3) for _ in range(60)] + [prose(rng, 40)] * 50 + [passage + prose(rng, 5) + passage]
+    texts += [t[:-1] + "#" for t in texts[:60]]
+    rng.shuffle(texts)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeat_digest(spark.createDataFrame(list(enumerate(texts)), DOCS), 100).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [out[i] for i in range(len(texts))] == brute_repeats(texts, 100)
+
+
 def repeat_corpus(seed):
     rng = random.Random(seed)
     shared = [prose(rng, 40) for _ in range(4)]
@@ -184,5 +218,8 @@ def test_vectors_odd_cases(spark):
     assert (8, 2, 7, False) in out and out.count((7, 2, 7, True)) == 2 and (None, 0, None, False) in out
     assert all((i, 0, i, True) in out for i in (1, 2, 3, 4, 5, 6, 9, 10))
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    named = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [1.0, 0.0], "y")], "vec_id long, embedding array<double>, label string")
+    clash = named.withColumns({c: named["label"] for c in ("v", "d", "rep", "n", "fine", "k1", "block")})
+    assert sorted(tuple(r) for r in embeddings.near_vectors(clash).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
     width, need = embeddings.calibration(0.98)
     assert 0 < need <= embeddings.PROJECTIONS and width > 0

@@ -57,6 +57,22 @@ def test_packing_round_trip(spark, odd_docs, no_docs, clashing):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_word_cache_on_odd_strings(monkeypatch):
+    """Words put together against the tokenizer on whole texts, with a cache that overflows."""
+    from tokenizers import Tokenizer
+
+    t, cache = Tokenizer.from_file(packing.default_tokenizer()), packing.WordCache(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3000)
+    rng = random.Random(11)
+    pool = [*"abcXYZéÉßİıΣσς'’.,-<>|#&_ \n\t\x85\u00a0\u0338\u0301\u0307\u200b中文字12½²ⅫǅŉﬁΑ=", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "word", "the", *prose(rng, 50).split()]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 30))) for _ in range(100)]
+        ids, bounds = cache.encode(texts)
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds.tolist())] == want
+    assert len(cache.codes) < 6000
+
+
 def test_packing_leaves_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sizes = packing.pack(docs).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
@@ -125,6 +141,34 @@ def test_tool_links(spark):
     assert chat.format_chats(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_odd_arguments_are_written_as_they_stand(spark):
+    deep = "[" * 100_000
+    args = ["no json", '{"x": "\\ud800"}', "[1]", None, "", '{"x": NaN}', deep, "y" * 200_000]
+    rows = [(1, k, "assistant", "t", None, None, tool, a, 0) for k, (tool, a) in enumerate((tool, a) for tool in ("nobody", "add") for a in args)]
+    clash = spark.createDataFrame(rows, MESSAGES).withColumnsRenamed({"extra": "key"})
+    out = {r["turn"]: r for r in chat.format_chats(clash, SCHEMAS).collect()}
+    assert len(out) == len(rows)
+    for k, a in enumerate(args):
+        for turn in (k, k + len(args)):
+            got = json.loads(out[turn]["json"])["tool_call"]["arguments"]
+            assert got == (json.loads(a) if k == 1 else a or None)
+        assert out[k]["arguments_error"] == "unknown tool"
+    assert [out[k + len(args)]["arguments_error"] for k in range(len(args))] == ["no JSON", "x is no integer", "no object", "no JSON", "no JSON", "no JSON", "no JSON", "no JSON"]
+
+
+def test_values_for_executors_need_no_package():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidebar.llm import decontam, licenses
+
+    for value in (decontam.Index([(1, "some words of an item")]), licenses.Bound(["a b"], {"a": 1.0, "b": 2.0}, 1.0, 0.5)):
+        done = subprocess.run([sys.executable, "-c", "import pickle, sys; print(type(pickle.loads(sys.stdin.buffer.read())).__name__)"], input=cloudpickle.dumps(value), cwd="/", env={}, capture_output=True)
+        assert done.stdout.decode().strip() == type(value).__name__, done.stderr
+
+
 @pytest.mark.parametrize("n", [1, 40, 300])
 def test_long_reversed_chain(spark, n):
     """Every message follows the one after it: the order turns round."""
