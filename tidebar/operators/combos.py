@@ -1,4 +1,8 @@
-"""Joining snapshots of three timeframes into combos, and ETF context."""
+"""Joining snapshots of three timeframes into combos, and ETF context.
+
+No side is broadcast by hint: Spark does so where its statistics, or those of
+the running query, show that a side is small.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_symbol, tokenize
 
-#: A side of a join is broadcast by hint only under this many rows, which is checked.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; the check reads BROADCAST_ROWS + 1 rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def with_role(df: DataFrame, role: str) -> DataFrame:
     return df.select("symbol", *[F.col(c).alias(f"{role}_{'date' if c == 'ts' else c}") for c in df.columns if c != "symbol"])
 
@@ -27,7 +22,7 @@ def build_combo(lower: DataFrame, middle: DataFrame, upper: DataFrame) -> DataFr
 
 def restrict(df: DataFrame, universe: DataFrame) -> DataFrame:
     """Only symbols of the universe; an empty universe does not restrict."""
-    return df if universe.isEmpty() else df.join(small(universe.select("symbol").distinct()), "symbol", "left_semi")
+    return df if universe.isEmpty() else df.join(universe.select("symbol").distinct(), "symbol", "left_semi")
 
 
 def symbols_for(universes: dict[str, DataFrame], exclusions: DataFrame, shortlists: tuple[str, ...] = ("shortlist_stocks", "shortlist_futures")) -> DataFrame:
@@ -38,7 +33,7 @@ def symbols_for(universes: dict[str, DataFrame], exclusions: DataFrame, shortlis
         tagged = part if tagged is None else tagged.unionByName(part)
     known = tagged.filter("symbol <> ''").groupBy("symbol").agg(F.bool_or("short").alias("short"))
     out = exclusions.select(norm_symbol(F.col("symbol")).alias("symbol"))
-    return known.filter("short").select("symbol").unionByName(known.filter("not short").select("symbol").join(small(out.distinct()), "symbol", "left_anti"))
+    return known.filter("short").select("symbol").unionByName(known.filter("not short").select("symbol").join(out.distinct(), "symbol", "left_anti"))
 
 
 def eligible(meta: DataFrame, min_cap: float = 1e9) -> DataFrame:
@@ -54,7 +49,7 @@ def match_by_tokens(stocks: DataFrame, etfs: DataFrame, overrides: DataFrame | N
     """
     stocks = stocks.filter("sector is not null and industry is not null")
     funds = etfs.select(F.col("symbol").alias("etf"), F.col("name").alias("etf_name"), "pos", tokenize(F.col("name")).alias("ft")).filter(F.size("ft") > 0)
-    by_token = small(funds.select("etf", "etf_name", "pos", F.size("ft").alias("nf"), F.explode("ft").alias("token")))
+    by_token = funds.select("etf", "etf_name", "pos", F.size("ft").alias("nf"), F.explode("ft").alias("token"))
 
     def best(column: str) -> DataFrame:
         texts = stocks.select(column).distinct().withColumn("t", tokenize(F.col(column)))
@@ -72,7 +67,7 @@ def match_by_tokens(stocks: DataFrame, etfs: DataFrame, overrides: DataFrame | N
     out = out.withColumns({"s": second, "etf_match_source": F.lit("fuzzy"), "etf_override_notes": F.lit(None).cast("string")})
     if overrides is not None:
         o = overrides.select("symbol", F.col("etf_symbol_primary").alias("op"), F.col("etf_symbol_secondary").alias("os"), F.col("notes").alias("on"))
-        out = out.join(small(o), "symbol", "left").withColumns({
+        out = out.join(o, "symbol", "left").withColumns({
             "p": F.coalesce("op", "p"), "s": F.when(F.col("op").isNotNull(), F.col("os")).otherwise(F.col("s")),
             "etf_match_source": F.when(F.col("op").isNotNull(), "override").otherwise(F.col("etf_match_source")), "etf_override_notes": F.col("on"),
         })
@@ -86,10 +81,10 @@ def attach_etf(combo: DataFrame, etf_map: DataFrame, lower: DataFrame, middle: D
     """ETF scores of both ranks and both lower timeframes; the middle ones also under plain names."""
     if universe != "options_eligible":
         return combo
-    out = combo.join(small(etf_map.select("symbol", "etf_symbol_primary", "etf_symbol_secondary")), "symbol", "left")
+    out = combo.join(etf_map.select("symbol", "etf_symbol_primary", "etf_symbol_secondary"), "symbol", "left")
     for rank in ("primary", "secondary"):
         for tf, scores in (("lower", lower), ("middle", middle)):
             side = scores.select(F.col("etf_symbol").alias("_e"), F.col("etf_long_score").alias(f"etf_{tf}_{rank}_long_score"), F.col("etf_short_score").alias(f"etf_{tf}_{rank}_short_score"))
-            out = out.join(small(side), F.col(f"etf_symbol_{rank}") == F.col("_e"), "left").drop("_e")
+            out = out.join(side, F.col(f"etf_symbol_{rank}") == F.col("_e"), "left").drop("_e")
         out = out.withColumns({f"etf_{rank}_{s}_score": F.col(f"etf_middle_{rank}_{s}_score") for s in ("long", "short")})
     return out

@@ -195,5 +195,15 @@ def ttm_squeeze_pro(df: DataFrame, out: str, length: int = 20, strict: bool = Tr
     return df.withColumn(out, F.when(F.col("bars") >= length, code)).drop("_lb", "_ub", "_delta", "_dot", "_dp", "_d0", "_d1", "_d2", "_sq")
 
 
+def needs_rsi(n: int = 14) -> list[Series]:
+    return [Series(f"gain_{n}", "wilder", "_gain", n), Series(f"loss_{n}", "wilder", "_loss", n)]
+
+
+def rsi(n: int = 14) -> Column:
+    """Wilder's index from the means of ``needs_rsi``; the first difference counts as 0, and 100 where nothing was lost."""
+    gain, loss = F.col(f"gain_{n}"), F.col(f"loss_{n}")
+    return F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+
+
 def entry_signal(trend: str, regime: str, trend_min: float, max_vol: float = 0.0) -> Column:
     return (yes(F.col(trend) >= trend_min) & yes(F.col(regime) <= max_vol)).cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_value, norm_symbol, score_summary
@@ -103,8 +103,13 @@ def combo_asof(df: DataFrame) -> DataFrame:
 
 
 def signals_of_interest(df: DataFrame) -> DataFrame:
-    side = F.lower(F.trim(F.coalesce("signal_side", "signal"))) if "signal_side" in df.columns else F.lower(F.trim("signal"))
-    return df.withColumns({"symbol": norm_symbol(F.col("symbol")), "signal": side}).filter(F.col("signal").isin(SIGNALS) & (F.col("symbol") != ""))
+    """Rows whose signal is one of ``SIGNALS``, whatever its case and blanks, with their symbols in capitals."""
+    return df.withColumns({"symbol": norm_symbol(F.col("symbol")), "signal": F.lower(F.trim("signal"))}).filter(F.col("signal").isin(SIGNALS) & (F.col("symbol") != ""))
+
+
+def _side(df: DataFrame) -> Column:
+    """The trimmed side of a signal; empty where there is none."""
+    return F.trim(F.coalesce("signal_side", F.lit(""))) if "signal_side" in df.columns else F.lit("")
 
 
 def alert_digest(df: DataFrame, cap: int = 40) -> DataFrame:
@@ -112,8 +117,6 @@ def alert_digest(df: DataFrame, cap: int = 40) -> DataFrame:
 
     Numbered per signal before they are gathered, so that only the capped ones are.
     """
-    from pyspark.sql import Window
-
     distinct = signals_of_interest(df).select("signal", "symbol").distinct()
     ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy("signal").orderBy("symbol")))
     top = ranked.filter(F.col("r") <= cap).groupBy("signal").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("symbols"))
@@ -121,10 +124,31 @@ def alert_digest(df: DataFrame, cap: int = 40) -> DataFrame:
     return top.join(n, "signal").withColumn("overflow", F.greatest(F.col("n") - cap, F.lit(0)))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted "signal:symbols" parts of a digest."""
-    part = F.concat_ws(":", "signal", "symbols")
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), "|").cast("binary"), 256).alias("fingerprint"))
+def alert_rows(df: DataFrame, cap: int = 75) -> DataFrame:
+    """The long form: for each signal its first ``cap`` rows in order of symbols, with side and scores, and how many are over."""
+    known = signals_of_interest(with_combo_defaults(df.withColumn("_side", F.nullif(_side(df), F.lit(""))))).select("signal", "symbol", F.col("_side").alias("side"), F.col("mtf_long_score").cast("double").alias("long"), F.col("mtf_short_score").cast("double").alias("short"))
+    w = Window.partitionBy("signal")
+    ranked = known.withColumns({"place": F.row_number().over(w.orderBy("symbol", "side", "long", "short")), "n": F.count(F.lit(1)).over(w)})
+    return ranked.filter(F.col("place") <= cap).withColumn("overflow", F.greatest(F.col("n") - cap, F.lit(0)))
+
+
+def fingerprint(df: DataFrame, signals: list[str] = SIGNALS) -> DataFrame:
+    """SHA-256 over "signal:symbols" of scored rows, signals in the given order, all their symbols sorted, none left out.
+
+    What is hashed is as long as the alert's symbols together, which the universe bounds.
+    """
+    distinct = signals_of_interest(df).filter(F.col("signal").isin(signals)).select("signal", "symbol").distinct()
+    groups = distinct.groupBy("signal").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("symbols"))
+    part = F.struct(F.array_position(F.lit(signals), F.col("signal")).alias("at"), F.concat_ws(":", "signal", "symbols").alias("part"))
+    parts = F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"])
+    return groups.agg(F.sha2(F.array_join(parts, "|").cast("binary"), 256).alias("fingerprint"))
+
+
+def fingerprint_rows(df: DataFrame) -> DataFrame:
+    """The other fingerprint: all sorted (symbol, signal, side) triples as JSON without blanks."""
+    rows = signals_of_interest(df).select(F.struct("symbol", "signal", F.lower(_side(df)).alias("side")).alias("t"))
+    triple = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.to_json(F.array(t["symbol"], t["signal"], t["side"])))
+    return rows.agg(F.concat(F.lit("["), F.array_join(triple, ","), F.lit("]")).alias("fingerprint"))
 
 
 def changed_only(digests: DataFrame, state: DataFrame) -> DataFrame:

@@ -28,35 +28,38 @@ def is_bad(max_range: float) -> Column:
 
 
 def repair_ticks(df: DataFrame, max_range: float = 0.08) -> DataFrame:
-    """Bad bars take the last good close and volume 0; with no good bar before, they stay. Adds ``repaired``."""
-    good = df.withColumn("_bad", is_bad(max_range)).withColumn("_good", F.when(~F.col("_bad"), F.col("close"))).withColumn("_last", ffill("_good"))
-    mend = F.col("_bad") & F.col("_last").isNotNull()
+    """Bad bars take the last good close and volume 0; with no good bar before, they stay. Adds ``bad`` and ``repaired``."""
+    good = coerce_numeric(df).withColumn("bad", is_bad(max_range)).withColumn("_good", F.when(~F.col("bad"), F.col("close"))).withColumn("_last", ffill("_good"))
+    mend = F.col("bad") & F.col("_last").isNotNull()
     out = good.withColumn("repaired", mend)
     out = out.withColumns({c: F.when(mend, F.col("_last")).otherwise(F.col(c)) for c in [*PRICES, "adj_close"]} | {"volume": F.when(mend, F.lit(0.0)).otherwise(F.col("volume"))})
-    return out.drop("_bad", "_good", "_last")
+    return out.drop("_good", "_last")
 
 
 def repair_telemetry(repaired: DataFrame, source: str) -> DataFrame:
-    return repaired.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars_total"), F.sum(F.col("repaired").cast("int")).alias("bars_repaired")).withColumn("source", F.lit(source))
+    """Bars and bad bars, mended or not, of the symbols that have bad ones."""
+    counts = repaired.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars_total"), F.sum(F.col("bad").cast("int")).alias("bars_repaired"))
+    return counts.filter("bars_repaired > 0").withColumn("source", F.lit(source))
 
 
 def fill_grid(df: DataFrame, step: str = "4 HOURS", valid=is_extended_4h_bucket) -> DataFrame:
-    """Bars on every calendar point of the grid; made-up bars carry the close and have no volume."""
+    """Bars on every calendar point of the grid.
+
+    Points without any price carry the last close, of whatever bar, and have no
+    volume; bars that lack some prices only, and points before the first close,
+    are dropped.
+    """
     ends = df.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     grid = ends.select("symbol", F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step}"))).alias("ts")).filter(valid(F.col("ts")))
-    out = grid.join(df, ["symbol", "ts"], "left").withColumn("_c", ffill("close"))
-    out = out.withColumns({c: F.coalesce(c, "_c") for c in [*PRICES, "adj_close"]} | {"volume": F.coalesce("volume", F.lit(0.0))})
-    return out.filter("close is not null").select(*BAR)
+    out = grid.join(df, ["symbol", "ts"], "left").withColumn("_c", ffill("close")).withColumn("_empty", F.coalesce(*PRICES).isNull())
+    out = out.withColumns({c: F.when(F.col("_empty"), F.col("_c")).otherwise(F.col(c)) for c in [*PRICES, "adj_close"]} | {"volume": F.when(F.col("_empty"), F.lit(0.0)).otherwise(F.coalesce("volume", F.lit(0.0)))})
+    return valid_ohlc(out).select(*BAR)
 
 
 def valid_ohlc(df: DataFrame) -> DataFrame:
     return df.dropna(how="any", subset=PRICES)
 
 
-def drop_empty_bars(df: DataFrame) -> DataFrame:
-    return df.filter("volume > 0 and close is not null")
-
-
 def dedupe_last(df: DataFrame, order: str) -> DataFrame:
     """For each (symbol, ts) the row that comes last by ``order``."""
     w = Window.partitionBy("symbol", "ts").orderBy(F.desc(order))
@@ -90,17 +93,25 @@ def patch_partial(bars: DataFrame, ticks: DataFrame, now: datetime, hours: int =
     """Bring the forming bar of each symbol up to date.
 
     Ticks (fine bars) of the current bucket make the bar and overwrite it; else
-    an existing bar stays; else a stub carries the last close, of the bars or
-    else of earlier ticks (``stub="null"``: has no prices).  Where ``gate`` is
-    false nothing is added.
+    an existing bar stays; else a stub carries the last close there is, of the
+    bars or else of ticks before the bucket.  Symbols without any tick stay as
+    they are, and so does everything where ``gate`` (which may use symbol and
+    ts, the start of the bucket) is not true.
+
+    With ``stub="null"`` there are no ticks to look at: every symbol that has
+    bars but none in the current bucket gets a bar of NULLs.
     """
     start = F.lit(bucket_start(now, hours)).cast("timestamp_ntz")
     end = start + F.expr(f"INTERVAL {hours} HOURS")
-    made = fold_bars(ticks.filter((F.col("ts") >= start) & (F.col("ts") < end)), start).select(*BAR, F.lit(2).alias("_p"))
-    before = bars.filter(F.col("ts") < start).select("symbol", "close", F.struct(F.lit(1).alias("own"), "ts").alias("at"))
-    before = before.unionByName(ticks.filter(F.col("ts") < start).select("symbol", "close", F.struct(F.lit(0).alias("own"), "ts").alias("at")))
-    c = F.col("c") if stub == "carry" else F.lit(None).cast("double")
-    carried = before.groupBy("symbol").agg(F.max_by("close", "at").alias("c")).select("symbol", start.alias("ts"), *[c.alias(x) for x in [*PRICES, "adj_close"]], F.lit(0.0).alias("volume"), F.lit(0).alias("_p"))
-    extra = made.unionByName(carried)
-    extra = extra if gate is None else extra.filter(gate)
+    none = F.lit(None).cast("double")
+    if stub == "null":
+        extra = bars.select("symbol").distinct().select("symbol", start.alias("ts"), *[none.alias(x) for x in BAR[2:]], F.lit(0).alias("_p"))
+    else:
+        made = fold_bars(ticks.filter((F.col("ts") >= start) & (F.col("ts") < end)), start).select(*BAR, F.lit(2).alias("_p"))
+        closes = bars.select("symbol", "close", F.struct(F.lit(1).alias("own"), "ts").alias("at"), F.lit(False).alias("tick"))
+        early = F.when(F.col("ts") < start, F.col("close"))
+        closes = closes.unionByName(ticks.select("symbol", early.alias("close"), F.struct(F.lit(0).alias("own"), "ts").alias("at"), F.lit(True).alias("tick")))
+        last = closes.groupBy("symbol").agg(F.max_by("close", F.when(F.col("close").isNotNull(), F.col("at"))).alias("c"), F.bool_or("tick").alias("t")).filter("t and c is not null")
+        extra = made.unionByName(last.select("symbol", start.alias("ts"), *[F.col("c").alias(x) for x in [*PRICES, "adj_close"]], F.lit(0.0).alias("volume"), F.lit(0).alias("_p")))
+    extra = extra if gate is None else extra.filter(yes(gate))
     return dedupe_last(bars.select(*BAR, F.lit(1).alias("_p")).unionByName(extra), "_p").drop("_p")

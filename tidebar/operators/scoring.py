@@ -129,11 +129,14 @@ def score_combo(combo: DataFrame, evaluator, exh: str = "lower_exh_abs_pa_prior_
 
 
 def etf_trend(snapshot: DataFrame, volume_column: str = "significant_volume") -> DataFrame:
-    """(etf_symbol, etf_long_score, etf_short_score), the first row of each symbol.
+    """(etf_symbol, etf_long_score, etf_short_score), the first row of each symbol by ``pos``, or by the scores where there is none.
 
-    ``volume_column`` is absent from snapshots by default, so its point is off.
+    ``volume_column`` is absent from snapshots by default, so its point is off;
+    it gives a point to both sides where it is exactly 1.
     """
     stage, guard, volume = _c(snapshot, "wyckoff_stage"), _c(snapshot, "macdv_guard"), _c(snapshot, volume_column)
-    loud = F.when(yes(volume > 0), 1.0).otherwise(0.0)
+    loud = F.when(yes(volume == 1.0), 1.0).otherwise(0.0)
     side = lambda s: F.when(yes(stage == 2 * s), 4.0).otherwise(0.0) + F.when(yes(guard == 2 * s), 2.0).otherwise(0.0) + loud
-    return snapshot.select(F.col("symbol").alias("etf_symbol"), side(1).alias("etf_long_score"), side(-1).alias("etf_short_score")).dropDuplicates(["etf_symbol"])
+    pos = F.col("pos") if "pos" in snapshot.columns else F.lit(0)
+    scored = snapshot.select(F.col("symbol").alias("etf_symbol"), F.struct(pos.alias("pos"), side(1).alias("etf_long_score"), side(-1).alias("etf_short_score")).alias("r"))
+    return scored.groupBy("etf_symbol").agg(F.min("r").alias("r")).select("etf_symbol", "r.etf_long_score", "r.etf_short_score")

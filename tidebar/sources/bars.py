@@ -17,8 +17,14 @@ DAYS_PER_BAR = {"daily": 1.5, "weekly": 7.0}
 LONG_LOOKBACK_DAYS = 19_000
 
 
-def read_bars(spark: SparkSession, path: str, namespace: str, timeframe: str, symbols: list[str] | None = None, since: datetime | None = None) -> DataFrame:
-    """Bars of one namespace and timeframe; both prune partitions, the rest reaches the Parquet scan."""
+def read_bars(spark: SparkSession, path: str, namespace: str, timeframe: str, symbols: list[str] | None = None, since: datetime | None = None, window: int | None = None, asof: datetime | None = None) -> DataFrame:
+    """Bars of one namespace and timeframe; both prune partitions, the rest reaches the Parquet scan.
+
+    With ``window`` only what must be read to hold so many bars up to ``asof`` (now, if not given).
+    """
+    if window is not None:
+        start = lookback_start(timeframe, window, asof or datetime.now(timezone.utc).replace(tzinfo=None))
+        since = start if since is None else max(since, start)
     df = spark.read.schema(SCHEMA).parquet(path).filter((F.col("namespace") == namespace) & (F.col("timeframe") == timeframe))
     df = df.filter(F.col("symbol").isin(symbols)) if symbols else df
     return df.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz")) if since else df
@@ -70,7 +76,11 @@ def read_universe(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_etfs(spark: SparkSession, path: str) -> DataFrame:
-    return symbol_dim(spark.read.csv(path, header=True)).select("symbol").distinct().orderBy("symbol")
+    """ETFs in the order of their file: symbol as it stands, name, pos; the first row of a symbol holds."""
+    df = spark.read.csv(path, header=True)
+    name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
+    rows = df.filter("symbol is not null").select("symbol", F.struct(F.monotonically_increasing_id().alias("pos"), name.alias("name")).alias("r"))
+    return rows.groupBy("symbol").agg(F.min("r").alias("r")).select("symbol", "r.name", "r.pos")
 
 
 def read_listing(spark: SparkSession, path: str, column: str = "Symbol") -> DataFrame:
@@ -95,14 +105,14 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conform_bars(df: DataFrame) -> DataFrame:
-    """Vendor columns, whatever their case and spaces, as bars; missing ones are NULL, others go."""
+    """Vendor columns, whatever their case and spaces, as bars; missing ones and what cannot be read are NULL, others go."""
     plain = {c.lower().replace(" ", "_"): c for c in df.columns}
     kinds = {"symbol": "string", "ts": "timestamp_ntz"}
     aliases = {"ts": ("ts", "date", "datetime", "timestamp")}
 
     def pick(name: str) -> Column:
         found = next((plain[a] for a in aliases.get(name, (name,)) if a in plain), None)
-        return (F.col(f"`{found}`") if found else F.lit(None)).cast(kinds.get(name, "double")).alias(name)
+        return (F.col(f"`{found}`") if found else F.lit(None)).try_cast(kinds.get(name, "double")).alias(name)
 
     return df.select(*[pick(c) for c in BAR])
 
@@ -112,10 +122,9 @@ def drop_legacy(df: DataFrame) -> DataFrame:
 
 
 def lookback_start(timeframe: str, bars: int, asof: datetime) -> datetime:
-    """From when bars must be read to hold so many of them."""
-    if timeframe in ("monthly", "quarterly", "yearly"):
-        return asof - timedelta(days=LONG_LOOKBACK_DAYS)
-    return asof - timedelta(days=bars * DAYS_PER_BAR.get(timeframe, 1.0))
+    """The first moment of the day from which bars must be read to hold so many of them."""
+    days = LONG_LOOKBACK_DAYS if timeframe in ("monthly", "quarterly", "yearly") else int(bars * DAYS_PER_BAR.get(timeframe, 1.0))
+    return datetime(asof.year, asof.month, asof.day) - timedelta(days=days)
 
 
 def snapshot_columns(df: DataFrame, keys: list[str]) -> DataFrame:
