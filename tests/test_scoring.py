@@ -79,11 +79,32 @@ def test_similarity_ties_go_to_the_first_fund(spark):
     assert (out["u"]["etf_symbol_primary"], out["u"]["etf_match_source"], out["u"]["etf_override_notes"]) == ("XLE", "override", "by hand")
 
 
+def test_fingerprint_is_of_all_symbols_in_order(spark):
+    import hashlib
+
+    rows = [(f"S{i:03d}", "long") for i in range(51)] + [("b", "watch"), ("a", "watch"), ("A", "Short"), ("z", "none"), ("m", "anti")]
+    print_ = lambda rs, *a: desk.fingerprint(spark.createDataFrame(rs, "symbol string, signal string"), *a).first()[0]
+    want = "long:" + ",".join(f"S{i:03d}" for i in range(51)) + "|short:A|watch:A,B|anti:M"
+    assert print_(rows) == hashlib.sha256(want.encode()).hexdigest()
+    assert print_(rows, ["watch", "short"]) == hashlib.sha256(b"watch:A,B|short:A").hexdigest()
+    other = [*rows[:50], ("S999", "long"), *rows[51:]]  # beyond the 40 that a digest shows
+    assert print_(other) != print_(rows)
+    triples = spark.createDataFrame([("b", "Long", " UP "), ("a", "short", None), ("c", "none", "x")], "symbol string, signal string, signal_side string")
+    assert desk.fingerprint_rows(triples).first()[0] == '[["A","short",""],["B","long","up"]]'
+    assert {tuple(r)[:3] for r in desk.alert_rows(triples).collect()} == {("long", "B", "UP"), ("short", "A", None)}
+
+
+def test_etf_trend_points(spark):
+    df = spark.createDataFrame([("e", 2.0, 2.0, 1.0, 1), ("e", -2.0, 0.0, 0.0, 0), ("f", 2.0, -2.0, 2.0, 2), ("g", None, None, 1.0, 3)], "symbol string, wyckoff_stage double, macdv_guard double, significant_volume double, pos int")
+    out = {r["etf_symbol"]: (r["etf_long_score"], r["etf_short_score"]) for r in scoring.etf_trend(df).collect()}
+    assert out == {"e": (0.0, 4.0), "f": (4.0, 2.0), "g": (1.0, 1.0)}  # the first row of e; a volume of 2 gives no point
+
+
 def test_desk(spark):
     df = spark.createDataFrame([(f" s{i:03d}", "Long " if i % 2 else "none", float(i), 0.0) for i in range(101)], "symbol string, signal string, mtf_long_score double, mtf_short_score double")
     digest = desk.alert_digest(df, cap=40).collect()
     assert len(digest) == 1 and digest[0]["n"] == 50 and digest[0]["overflow"] == 10 and len(digest[0]["symbols"].split(",")) == 40
-    prints = {desk.fingerprint(desk.alert_digest(x)).first()[0] for x in (df, df.orderBy("mtf_long_score"))}
+    prints = {desk.fingerprint(x).first()[0] for x in (df, df.orderBy("mtf_long_score"))}
     assert len(prints) == 1
     state = spark.createDataFrame([("k", "old", "1"), ("k", "new", "2")], "alert_key string, fingerprint string, saved_at string")
     now = spark.createDataFrame([("k", "new"), ("j", "x")], "alert_key string, fingerprint string")

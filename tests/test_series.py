@@ -86,6 +86,26 @@ def test_repair(spark):
     assert column(out, "close") == [-1.0, 10.0, 10.0, 12.0] and column(out, "repaired") == [False, False, True, False] and column(out, "volume")[2] == 0.0
 
 
+def test_repair_telemetry_counts_bad_bars(spark):
+    both = bars(spark, [-1.0, 10.0, 0.0, 12.0]).unionByName(bars(spark, [5.0, 6.0], symbol="b"))
+    assert [tuple(r) for r in repair.repair_telemetry(repair.repair_ticks(both, 0.5), "x").collect()] == [("a", 4, 2, "x")]
+
+
+def test_grid_fills_holes_and_drops_halves(spark):
+    at = datetime(2024, 1, 2, 1)
+    rows = [(0, 1.0, 2.0, 0.5, 1.5, None, 3.0), (2, None, 9.0, 8.0, 8.5, None, 4.0), (4, None, None, None, None, 7.0, 5.0), (5, 1.0, 2.0, 1.0, 2.0, 2.5, None)]
+    df = spark.createDataFrame([("a", at + timedelta(hours=4 * k), *r) for k, *r in rows], SCHEMA)
+    out = {(r["ts"] - at).seconds // 14400: tuple(r)[2:] for r in repair.fill_grid(df).collect()}
+    # the half bar at 2 goes, but its close is carried into 3 and 4
+    assert out == {0: (1.0, 2.0, 0.5, 1.5, None, 3.0), 1: (1.5,) * 5 + (0.0,), 3: (8.5,) * 5 + (0.0,), 4: (8.5,) * 5 + (0.0,), 5: (1.0, 2.0, 1.0, 2.0, 2.5, 0.0)}
+
+
+def test_an_indicator_that_cannot_be_planned_is_null(spark):
+    wanted = [Instance("bad", "significant_volume", {"lookback": "no number"}), Instance("worse", "wyckoff_stage", {"fast": None, "inter": 2, "slow": 3}), Instance("good", "macdv_guard", {})]
+    out = apply_profile(bars(spark, [5.0] * 10), wanted)
+    assert set(column(out, "bad")) == set(column(out, "worse")) == {None} and set(column(out, "good")) == {0.0}
+
+
 def test_upsert_is_idempotent(spark):
     old, new = bars(spark, [1.0, 2.0, 3.0]), bars(spark, [1.0, 9.0])
     once = repair.upsert_window(new, old, 3)
@@ -97,9 +117,13 @@ def test_upsert_is_idempotent(spark):
 def test_partial_bar(spark):
     now = T0 + timedelta(hours=3, minutes=20)
     old = bars(spark, [1.0, 2.0, 3.0])
-    assert column(repair.patch_partial(old, old.limit(0), now), "close") == [1.0, 2.0, 3.0, 3.0]
+    early = spark.createDataFrame([("a", now - timedelta(hours=2), 5.0, 5.0, 5.0, 5.5, 5.5, 1.0)], SCHEMA)
+    assert column(repair.patch_partial(old, old.limit(0), now), "close") == [1.0, 2.0, 3.0]  # no ticks at all: as it was
+    assert column(repair.patch_partial(old, early, now), "close") == [1.0, 2.0, 3.0, 3.0]
+    assert column(repair.patch_partial(bars(spark, [1.0, 2.0, None]), early, now), "close") == [1.0, 2.0, None, 2.0]  # the last close there is
+    assert column(repair.patch_partial(old.limit(0), early, now), "close") == [5.5]
     assert column(repair.patch_partial(old, old.limit(0), now, stub="null"), "close") == [1.0, 2.0, 3.0, None]
-    assert column(repair.patch_partial(old, old.limit(0), now, gate=F.lit(False)), "close") == [1.0, 2.0, 3.0]
+    assert column(repair.patch_partial(old, early, now, gate=F.lit(False)), "close") == [1.0, 2.0, 3.0]
     tick = spark.createDataFrame([("a", now, 7.0, 8.0, 6.0, 7.5, 7.5, 4.0)], SCHEMA)
     assert column(repair.patch_partial(old, tick, now), "close") == [1.0, 2.0, 3.0, 7.5]
 

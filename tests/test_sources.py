@@ -45,7 +45,7 @@ def test_conform(spark):
 
 def test_pipeline_from_bars_to_scored_combo(spark, sf_dir):
     h = fixtures.hourly(spark, sf_dir)
-    steps = pipelines.cascade(h, "futures", "intraday_1h", 150)
+    steps = pipelines.cascade({"intraday_1h": h}, "futures", "intraday_1h", 150)
     assert list(steps) == ["intraday_1h", "intraday_4h", "daily"]
     snaps = {tf: pipelines.snapshot(df, "futures", tf) for tf, df in steps.items()}
     cfg = config.Combo("c", "futures", "intraday_1h", "intraday_4h", "daily", "shortlist_futures")
@@ -77,4 +77,60 @@ def test_universe_health_alerts_and_stored_scores(spark, tmp_path):
     make = lambda: made.append(1) or scored
     for _ in range(2):
         assert pipelines.etf_scores(spark, str(tmp_path), "daily", make).count() == 2
-    assert made == [1]
+    assert made == [1, 1]  # made, not stored
+    pipelines.store_etf_trends(scored, str(tmp_path), "daily")
+    assert pipelines.etf_scores(spark, str(tmp_path), "daily", make).count() == 2 and made == [1, 1]
+
+
+def test_cascade_table_and_folds(spark, sf_dir):
+    assert config.CASCADE["stocks", "intraday_130m"] == ["daily", "weekly"] and ("futures", "weekly") not in config.CASCADE
+    d = fixtures.daily(spark, sf_dir)
+    month = {(r["symbol"], r["ts"]): r["volume"] for r in pipelines.bars_of({"daily": d}, "stocks", "monthly").collect()}
+    days = {}
+    for r in d.collect():
+        days.setdefault((r["symbol"], r["ts"].year, r["ts"].month), []).append((r["ts"], r["volume"]))
+    assert month == {(k[0], min(v)[0]): sum(x for _, x in v) for k, v in days.items()}
+    with pytest.raises(ValueError, match="no bars"):
+        pipelines.bars_of({"daily": d}, "stocks", "intraday_9h")
+
+
+def test_lookbacks():
+    at = datetime(2024, 3, 1, 13, 5)
+    assert src.lookback_start("daily", 3, at) == datetime(2024, 2, 26) and src.lookback_start("weekly", 2, at) == datetime(2024, 2, 16)
+    assert src.lookback_start("monthly", 2, at) == src.lookback_start("yearly", 9, at) and src.lookback_start("intraday_1h", 5, at) == datetime(2024, 2, 25)
+
+
+def test_configuration(tmp_path):
+    params = {"stocks": {"daily": {"w": {"id": "wyckoff_stage", "fast_len": 2, "int_len": 3, "slow_len": 4, "vma_length_source": "fast"}, "g": {"id": "macdv_guard", "z": 0}}}}
+    combos = {"stocks": {"a": {"universe": "u", "lower_tf": "daily", "lower_profile": "p"}, "b": {"universe": "t", "upper_tf": "daily", "upper_profile": "q"}}}
+    c = config.resolve({"p": ["w"], "q": ["w", "g"]}, params, combos)
+    assert [i.key for i in c.profile("stocks", "daily")] == ["w", "g"] and c.profile("stocks", "daily")[0].params == {"fast": 2, "inter": 3, "slow": 4}
+    assert c.universes("stocks", "daily") == ["t", "u"] and c.universes("stocks", "weekly") == [] and c.profile("futures", "daily") == []
+    for bad, message in [
+        (({}, params, combos), "unknown profile"),
+        (({"p": ["w"], "q": []}, {}, combos), "no parameters for stocks/daily"),
+        (({"p": ["x"], "q": []}, params, combos), "no parameters for stocks/daily/x"),
+        (({"p": ["w"], "q": []}, {"stocks": {"daily": {"w": {"id": "nope"}}}}, combos), "unknown indicator"),
+        (({"p": ["w"], "q": []}, {"stocks": {"daily": {"w": {"z": 1}}}}, combos), "no id"),
+        (({"p": ["w"], "q": []}, {"stocks": {"daily": {"w": {"id": "macdv_guard", "zz": 1}}}}, combos), "no such parameter"),
+    ]:
+        with pytest.raises(ValueError, match=message):
+            config.resolve(*bad)
+    import json
+
+    for name, value in (("indicator_profiles", {"profiles": {"p": ["w"], "q": ["g"]}}), ("indicator_params", {"indicators": params}), ("multi_timeframe_combos", combos), ("timeframes", {"stocks": {"daily": {"window_bars": 9}}})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    assert config.load(str(tmp_path)).windows == {("stocks", "daily"): 9}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidebar.sources.scratch import shared_dir
+
+    spark = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert shared_dir(spark("yarn", "hdfs:///x")) == "hdfs:///x"
+    assert shared_dir(spark("local[4]", None)).startswith("file:///")
+    for master in ("yarn", "local-cluster[2,1,512]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(spark(master, None))

@@ -64,6 +64,7 @@ CTES = {
     "m15": f"m15 AS ({fold_ticks("time_bucket(INTERVAL 15 MINUTES, ts)")})",
     "d1": f"d1 AS ({fold_ticks("date_trunc('day', ts)::TIMESTAMP", 'orders_t')})",
     "combo": COMBO_SQL,
+    "d1w": "d1w AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM d1) WHERE r <= 260)",
 }
 
 #: Numbered hourly bars with the sources of recursive series.
@@ -71,8 +72,13 @@ CTES["nb"] = f"""nb AS (
   SELECT *, greatest(high - low, coalesce(abs(high - c1), high - low), coalesce(abs(low - c1), high - low)) AS tr,
     CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS up, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS down
   FROM (SELECT *, row_number() {W} AS rn, count(*) OVER (PARTITION BY symbol) AS bars, lag(close) {W} AS c1 FROM h1))"""
-_UD = f"{rsum('up', 7)} - {rsum('down', 7)}", f"{rsum('up', 7)} + {rsum('down', 7)}"
-CTES["wb"] = f"wb AS (SELECT *, coalesce(2.0 / 8 * abs(({_UD[0]}) / nullif({_UD[1]}, 0)), 0.0) AS vw FROM nb)"
+
+
+def _weights(n: int) -> str:
+    ups, downs = rsum("up", n), rsum("down", n)
+    return f"wb AS (SELECT *, coalesce(2.0 / {n + 1} * abs(({ups} - {downs}) / nullif({ups} + {downs}, 0)), 0.0) AS vw FROM nb)"
+
+
 _EMA = {"e8": ("close", 8), "e10": ("close", 10), "e12": ("close", 12), "e20": ("close", 20), "e21": ("close", 21), "e26": ("close", 26)}
 _WILDER = {"w10": ("close", 10), "w14": ("close", 14), "a14": ("tr", 14), "a20": ("tr", 20), "a26": ("tr", 26), "g14": ("coalesce({}up, 0)", 14), "l14": ("coalesce({}down, 0)", 14)}
 
@@ -95,20 +101,22 @@ CTES["mrec"] = """mrec AS (
   UNION ALL
   SELECT b.symbol, b.rn, 0.2 * b.m + 0.8 * r.s FROM mrec r JOIN mv0 b ON b.symbol = r.symbol AND b.rn = r.rn + 1)"""
 CTES["mv"] = "mv AS (SELECT rs.*, v.m, CASE WHEN x.rn >= 34 THEN x.s END AS s FROM rs LEFT JOIN mv0 v USING (symbol, rn) LEFT JOIN mrec x USING (symbol, rn))"
-_DEPENDS = {"h1": ["ticks"], "m15": ["ticks"], "d1": ["orders_t"], "nb": ["h1"], "wb": ["nb"], "rec": ["wb"], "rs": ["rec"], "mv0": ["rs"], "mrec": ["mv0"], "mv": ["mrec"]}
+_DEPENDS = {"h1": ["ticks"], "m15": ["ticks"], "d1": ["orders_t"], "d1w": ["d1"], "nb": ["h1"], "wb": ["nb"], "rec": ["wb"], "rs": ["rec"], "mv0": ["rs"], "mrec": ["mv0"], "mv": ["mrec"]}
 
 
-def sql(body: str, *needs: str, extra: str = "") -> str:
-    """A statement with the CTEs it needs, in order."""
+def sql(body: str, *needs: str, extra: str = "", bars: str = "h1", vma: int = 7) -> str:
+    """A statement with the CTEs it needs, in order; series are those of the table ``bars``, the adaptive mean of length ``vma``."""
     order: list[str] = []
+    other = CTES | {"nb": CTES["nb"].replace("FROM h1", f"FROM {bars}"), "wb": _weights(vma)}
+    depends = _DEPENDS | {"nb": [bars]}
 
     def add(name: str) -> None:
-        for d in _DEPENDS.get(name, ()):
+        for d in depends.get(name, ()):
             add(d)
         if name not in order:
             order.append(name)
 
     for n in needs:
         add(n)
-    parts = [CTES[n] for n in order] + ([extra] if extra else [])
+    parts = [other[n] for n in order] + ([extra] if extra else [])
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body

@@ -1,7 +1,11 @@
-"""Compositions: timeframe, cascade, combo, ETF trends."""
+"""Compositions: timeframe, cascade, combo, ETF trends, universe, health, alerts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from datetime import datetime
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,62 +13,106 @@ from ..operators import combos, desk, scoring
 from ..operators.frames import latest, tail_bars
 from ..operators.registry import apply_profile
 from ..operators.repair import upsert_window, valid_ohlc
-from ..operators.resample import resample_4h, resample_monthly, resample_quarterly, resample_session_daily, resample_weekly, resample_yearly
-from ..sources.bars import snapshot_columns, union_listings
+from ..operators.resample import resample_130m, resample_4h, resample_monthly, resample_quarterly, resample_session_daily, resample_weekly, resample_yearly
+from ..sources.bars import drop_legacy, snapshot_columns, union_listings, write_combo
 from . import config
 
-STEPS = {"intraday_4h": resample_4h, "daily": resample_session_daily, "weekly": resample_weekly, "monthly": resample_monthly, "quarterly": resample_quarterly, "yearly": resample_yearly}
-
+#: Where bars come from that are not given: the finer timeframe and the fold.
+FOLDS: dict[tuple[str, str], tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    ("futures", "intraday_4h"): ("intraday_1h", resample_4h),
+    ("futures", "daily"): ("intraday_1h", resample_session_daily),
+    ("futures", "weekly"): ("daily", resample_weekly),
+    ("futures", "monthly"): ("daily", resample_monthly),
+    ("stocks", "intraday_130m"): ("intraday_5m", resample_130m),
+    ("stocks", "intraday_4h"): ("intraday_1h", resample_4h),
+    ("stocks", "weekly"): ("daily", resample_weekly),
+    ("stocks", "monthly"): ("daily", resample_monthly),
+    ("stocks", "quarterly"): ("monthly", resample_quarterly),
+    ("stocks", "yearly"): ("monthly", resample_yearly),
+}
+#: Futures bars of these timeframes must have all four prices.
+WHOLE_BARS = {("futures", "intraday_1h"), ("futures", "intraday_4h")}
+
+
+def bars_of(sources: dict[str, DataFrame], namespace: str, timeframe: str) -> DataFrame:
+    """The bars of a timeframe: given, or folded from what is given."""
+    if timeframe in sources:
+        return sources[timeframe]
+    if (namespace, timeframe) not in FOLDS:
+        raise ValueError(f"no bars for {namespace}/{timeframe}")
+    finer, fold = FOLDS[namespace, timeframe]
+    return fold(bars_of(sources, namespace, finer))
+
+
+def run_timeframe(bars: DataFrame, namespace: str, timeframe: str, window: int | None = None, old: DataFrame | None = None, benchmarks: DataFrame | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """Upsert into the stored bars, cut to the window, then all indicators, over all symbols in one plan.
+
+    Columns that old tables have from pivots go before the upsert; intraday
+    futures bars without all four prices go after it.  Recursions start at the
+    first bar of the cut window, which bounds what one task holds of a symbol.
+    """
+    window = window or cfg.windows[namespace, timeframe]
+    cut = tail_bars(bars, window) if old is None else upsert_window(bars, drop_legacy(old), window)
+    cut = valid_ohlc(cut) if (namespace, timeframe) in WHOLE_BARS else cut
+    return apply_profile(cut.repartition("symbol"), cfg.profile(namespace, timeframe), benchmarks)
 
-def run_timeframe(bars: DataFrame, namespace: str, timeframe: str, window: int, old: DataFrame | None = None, benchmarks: DataFrame | None = None) -> DataFrame:
-    """Upsert, cut to the window, purge incomplete futures bars, then all indicators, over all symbols in one plan.
 
-    Recursions start at the first bar of the cut window.
-    """
-    cut = tail_bars(bars, window) if old is None else upsert_window(bars, old, window)
-    cut = valid_ohlc(cut) if namespace == "futures" else cut
-    # window_bars bounds a symbol, so one task holds a symbol's bars; all windows reuse this partitioning
-    return apply_profile(cut.repartition("symbol"), config.profile(namespace, timeframe), benchmarks)
+def snapshot(timeframe_bars: DataFrame, namespace: str, timeframe: str, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """The last bar of each symbol with the configured columns, an error if one is missing."""
+    bars = valid_ohlc(timeframe_bars) if (namespace, timeframe) in WHOLE_BARS else timeframe_bars
+    return snapshot_columns(latest(bars), [i.key for i in cfg.profile(namespace, timeframe)])
 
 
-def snapshot(timeframe_bars: DataFrame, namespace: str, timeframe: str) -> DataFrame:
-    last = latest(timeframe_bars)
-    last = valid_ohlc(last) if namespace == "futures" else last
-    return snapshot_columns(last, [i.key for i in config.profile(namespace, timeframe)])
+def cascade(sources: dict[str, DataFrame], namespace: str, timeframe: str, window: int | None = None, cfg: config.Config = config.DEFAULT) -> dict[str, DataFrame]:
+    """The timeframe and those that are brought up to date after it, each from its own whole source, not from cut bars."""
+    return {tf: run_timeframe(bars_of(sources, namespace, tf), namespace, tf, window, cfg=cfg) for tf in [timeframe, *config.CASCADE.get((namespace, timeframe), [])]}
 
 
-def cascade(bars: DataFrame, namespace: str, timeframe: str, window: int) -> dict[str, DataFrame]:
-    """The timeframe and its two parents, each resampled from the one before."""
-    out, current = {}, bars
-    for tf in [timeframe, *config.parents(namespace, timeframe)]:
-        current = bars if tf == timeframe else STEPS[tf](current)
-        out[tf] = run_timeframe(current, namespace, tf, window)
-    return out
+def symbols_for_timeframe(namespace: str, timeframe: str, read: Callable[[str], DataFrame], exclusions: DataFrame, allowed: Iterable[str] | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """The symbols of all universes that combos of the timeframe name; ``read`` gives a universe by name."""
+    names = [u for u in cfg.universes(namespace, timeframe) if allowed is None or u in set(allowed)]
+    if not names:
+        return exclusions.select("symbol").limit(0)
+    return combos.symbols_for({u: read(u) for u in names}, exclusions)
 
 
 def run_combo(snapshots: dict[str, DataFrame], cfg: config.Combo, universe: DataFrame, etf: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Join, restrict, attach ETF context, score. ``etf``: map, lower scores, middle scores."""
-    joined = combos.restrict(combos.build_combo(*(snapshots[tf] for tf in (cfg.lower, cfg.middle, cfg.upper))), universe)
+    joined = combos.restrict(combos.build_combo(*(snapshots[tf] for tf in cfg.timeframes())), universe)
     joined = joined if etf is None else combos.attach_etf(joined, *etf, universe=cfg.universe)
-    evaluator, exh, sigvol = scoring.route(cfg.namespace, cfg.universe, scoring.tf_pattern(cfg.lower, cfg.middle, cfg.upper))
+    evaluator, exh, sigvol = scoring.route(cfg.namespace, cfg.universe, scoring.tf_pattern(*cfg.timeframes()))
     return scoring.score_combo(joined, evaluator, exh, sigvol)
 
 
-def etf_trends(bars: DataFrame, timeframe: str, window: int) -> DataFrame:
-    return scoring.etf_trend(latest(run_timeframe(bars, "stocks", timeframe, window)))
+def store_combo(scored: DataFrame, path: str, cfg: config.Combo, asof: datetime | None = None) -> str:
+    """Write a scored combo as the current one and into its history."""
+    return write_combo(scored, path, cfg.namespace, cfg.name, asof)
+
+
+def etf_trends(bars: DataFrame, timeframe: str, etfs: DataFrame, window: int | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """Trend scores of the listed ETFs (symbol, pos) from their bars."""
+    listed = etfs.groupBy("symbol").agg(F.min("pos").alias("pos"))
+    ours = bars.join(listed.select("symbol"), "symbol", "left_semi")
+    return scoring.etf_trend(latest(run_timeframe(ours, "stocks", timeframe, window, cfg=cfg)).join(listed, "symbol"))
+
+
+def store_etf_trends(scores: DataFrame, path: str, timeframe: str) -> None:
+    scores.write.mode("overwrite").parquet(f"{path}/timeframe={timeframe}")
 
 
-def etf_scores(spark: SparkSession, path: str, timeframe: str, make) -> DataFrame:
-    """The stored scores of a timeframe if there are any, else those that ``make()`` gives, stored for the next time."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/timeframe={timeframe}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        make().write.mode("overwrite").parquet(folder.toString())
-    return spark.read.parquet(folder.toString())
+def etf_scores(spark: SparkSession, path: str, timeframe: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored scores of a timeframe if there are any, else those that ``make()`` gives, which are not stored."""
+    try:
+        return spark.read.parquet(f"{path}/timeframe={timeframe}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return make()
 
 
 def build_universe(listings: list[DataFrame], exclusions: DataFrame, meta: DataFrame, etfs: DataFrame, overrides: DataFrame | None = None, min_cap: float = 1e9) -> tuple[DataFrame, DataFrame]:
     """Listed symbols less exclusions that are eligible, and their ETF map."""
-    listed = union_listings(*listings).join(combos.small(exclusions.select("symbol").distinct()), "symbol", "left_anti")
+    listed = union_listings(*listings).join(exclusions.select("symbol").distinct(), "symbol", "left_anti")
     chosen = combos.eligible(meta.join(listed, "symbol", "left_semi"), min_cap)
     return chosen, combos.match_by_tokens(chosen, etfs, overrides)
 
@@ -79,9 +127,8 @@ def run_health(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
 
 
 def run_alerts(scored: DataFrame, alert_key: str, state: DataFrame, saved_at: str, cap: int = 40) -> tuple[DataFrame, DataFrame]:
-    """The digest if it differs from the last state (else no rows), and the state row to append then."""
-    digest = desk.alert_digest(scored, cap)
-    now = desk.fingerprint(digest).select(F.lit(alert_key).alias("alert_key"), "fingerprint")
+    """The digest if the alert's symbols differ from the last state (else no rows), and the state row to append then."""
+    now = desk.fingerprint(scored).select(F.lit(alert_key).alias("alert_key"), "fingerprint")
     changed = desk.changed_only(now, state)
-    tagged = digest.withColumn("alert_key", F.lit(alert_key))
-    return tagged.join(F.broadcast(changed.select("alert_key")), "alert_key", "left_semi"), changed.withColumn("saved_at", F.lit(saved_at))
+    tagged = desk.alert_digest(scored, cap).withColumn("alert_key", F.lit(alert_key))
+    return tagged.join(changed.select("alert_key"), "alert_key", "left_semi"), changed.withColumn("saved_at", F.lit(saved_at))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import session as ss
 from ..functions import text as tx
 from ..operators import combos, desk, frames, repair, resample, scoring
 from ..operators import composites as k
-from ..operators.kernel import Series, recursions
-from ..operators.registry import Instance, apply_profile, prepared
+from ..operators.kernel import Series
+from ..operators.registry import Instance, apply_profile, base_indicators, prepared
+from ..sources.scratch import shared_dir
 from . import fixtures as fx
 from . import oracle as o
 
@@ -80,22 +81,27 @@ _DIRTY = "dirty AS (" + o.fold_ticks("date_trunc('hour', ts)", "(SELECT symbol,
 _BAD = "(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR high < low OR (high - low) / nullif(abs(close), 0) > 20)"
 _MENDED = f"""{_DIRTY}, flagged AS (SELECT *, {o.yes(_BAD)} AS bad FROM dirty),
  held AS (SELECT *, last_value(CASE WHEN NOT bad THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS good FROM flagged),
- mended AS (SELECT symbol, ts, {', '.join(f'CASE WHEN bad AND good IS NOT NULL THEN good ELSE {c} END AS {c}' for c in PX[:5])}, CASE WHEN bad AND good IS NOT NULL THEN 0.0 ELSE volume END AS volume, bad AND good IS NOT NULL AS repaired FROM held)"""
-query("repair_ticks", o.sql(f"SELECT {BARS}, repaired FROM mended", "ticks", extra=_MENDED))(lambda s, d: repair.repair_ticks(_dirty(s, d), 20.0))
-query("repair_telemetry", o.sql("SELECT symbol, count(*) AS bars_total, CAST(sum(CASE WHEN repaired THEN 1 ELSE 0 END) AS BIGINT) AS bars_repaired, 'events' AS source FROM mended GROUP BY symbol", "ticks", extra=_MENDED))(
+ mended AS (SELECT symbol, ts, {', '.join(f'CASE WHEN bad AND good IS NOT NULL THEN good ELSE {c} END AS {c}' for c in PX[:5])}, CASE WHEN bad AND good IS NOT NULL THEN 0.0 ELSE volume END AS volume, bad AND good IS NOT NULL AS repaired, bad FROM held)"""
+query("repair_ticks", o.sql(f"SELECT {BARS}, bad, repaired FROM mended", "ticks", extra=_MENDED))(lambda s, d: repair.repair_ticks(_dirty(s, d), 20.0))
+query("repair_telemetry", o.sql("SELECT symbol, count(*) AS bars_total, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS bars_repaired, 'events' AS source FROM mended GROUP BY symbol HAVING bool_or(bad)", "ticks", extra=_MENDED))(
     lambda s, d: repair.repair_telemetry(repair.repair_ticks(_dirty(s, d), 20.0), "events")
 )
 
 
 def _gappy(s, d) -> DataFrame:
-    return resample.resample_4h(fx.hourly(s, d)).filter(F.dayofmonth("ts") % 5 != 0)
+    """Four-hour bars without every fifth day, some without one price, some without any."""
+    b = resample.resample_4h(fx.hourly(s, d)).filter(F.dayofmonth("ts") % 5 != 0)
+    none = (F.dayofmonth("ts") % 7 == 3) & (F.hour("ts") == 9)
+    return b.withColumns({"open": F.when(~none & ~((F.dayofmonth("ts") % 7 == 4) & (F.hour("ts") == 13)), F.col("open")), **{c: F.when(~none, F.col(c)) for c in ("high", "low", "close")}})
 
 
-_GRID = f"""gappy AS (SELECT * FROM ({o.fold('h1', o.B4)}) WHERE day(ts) % 5 <> 0),
+_GRID = f"""gappy AS (SELECT symbol, ts, CASE WHEN NOT (day(ts) % 7 = 3 AND hour(ts) = 9 OR day(ts) % 7 = 4 AND hour(ts) = 13) THEN open END AS open,
+   {', '.join(f'CASE WHEN NOT (day(ts) % 7 = 3 AND hour(ts) = 9) THEN {c} END AS {c}' for c in PX[1:4])}, adj_close, volume FROM ({o.fold('h1', o.B4)}) WHERE day(ts) % 5 <> 0),
  grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 4 HOURS)) AS ts FROM gappy GROUP BY symbol),
  spine AS (SELECT * FROM grid WHERE CASE WHEN isodow(ts) = 6 THEN FALSE WHEN isodow(ts) = 7 THEN hour(ts) IN (17, 21) WHEN isodow(ts) = 5 THEN hour(ts) IN (1, 5, 9, 13, 17) ELSE TRUE END),
- carried AS (SELECT symbol, ts, open, high, low, close, adj_close, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM spine LEFT JOIN gappy USING (symbol, ts))"""
-query("fill_grid_4h", o.sql(f"SELECT symbol, ts, {', '.join(f'coalesce({c}, c) AS {c}' for c in PX[:5])}, coalesce(volume, 0.0) AS volume FROM carried WHERE c IS NOT NULL", "h1", extra=_GRID))(lambda s, d: repair.fill_grid(_gappy(s, d)))
+ carried AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c, coalesce(open, high, low, close) IS NULL AS hole FROM spine LEFT JOIN gappy USING (symbol, ts)),
+ filled AS (SELECT symbol, ts, {', '.join(f'CASE WHEN hole THEN c ELSE {x} END AS {x}' for x in PX[:5])}, CASE WHEN hole THEN 0.0 ELSE coalesce(volume, 0.0) END AS volume FROM carried)"""
+query("fill_grid_4h", o.sql(f"SELECT {BARS} FROM filled WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL", "h1", extra=_GRID))(lambda s, d: repair.fill_grid(_gappy(s, d)))
 
 _CUT, _OVERLAP = "2024-01-15 00:00:00", "2024-01-14 00:00:00"
 
@@ -117,20 +123,41 @@ query("hybrid_stitch", o.sql(f"SELECT {BARS} FROM last_n WHERE q <= 450", "h1",
     lambda s, d: repair.stitch(*_halves(s, d), 450)
 )
 _NOW = datetime(2024, 1, 20, 15, 40)
-_PARTIAL = f"""b4 AS (SELECT * FROM ({o.fold('h1', o.B4)}) WHERE ts < TIMESTAMP '2024-01-20 13:00:00'),
- tk AS (SELECT * FROM m15 WHERE symbol <> (SELECT min(symbol) FROM m15)),
- made AS ({o.fold('tk', "TIMESTAMP '2024-01-20 13:00:00'", "ts >= TIMESTAMP '2024-01-20 13:00:00' AND ts < TIMESTAMP '2024-01-20 17:00:00'")}),
- kept AS (SELECT symbol, last(close ORDER BY ts) AS c FROM b4 GROUP BY symbol)"""
+
+
+def _partial_sql(bars: str, start: str, hours: int) -> str:
+    """Symbols by what they lack: all of it goes by the first letters of their names in order."""
+    end = f"TIMESTAMP '{start}' + INTERVAL {hours} HOURS"
+    now = f"ts >= TIMESTAMP '{start}' AND ts < {end}"
+    extra = f"""names AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM h1)),
+ old AS (SELECT b.* FROM ({bars}) b JOIN names USING (symbol) WHERE k <> 4 AND (ts < TIMESTAMP '{start}' OR k = 3 AND {now})),
+ tk AS (SELECT t.* FROM m15 t JOIN names USING (symbol) WHERE k <> 1 AND (ts < TIMESTAMP '{start}' OR k = 5)),
+ made AS ({o.fold('tk', f"TIMESTAMP '{start}'", now)}),
+ last_ AS (SELECT symbol, coalesce(b.c, t.c) AS c FROM (SELECT symbol, last(close ORDER BY ts) AS c FROM tk WHERE ts < TIMESTAMP '{start}' AND close IS NOT NULL GROUP BY symbol) t FULL JOIN (SELECT symbol, last(close ORDER BY ts) AS c FROM old WHERE close IS NOT NULL GROUP BY symbol) b USING (symbol) WHERE symbol IN (SELECT symbol FROM tk)),
+ stubs AS (SELECT symbol, TIMESTAMP '{start}' AS ts, c AS open, c AS high, c AS low, c AS close, c AS adj_close, 0.0 AS volume FROM last_ WHERE c IS NOT NULL AND symbol NOT IN (SELECT symbol FROM made) AND symbol NOT IN (SELECT symbol FROM old WHERE ts = TIMESTAMP '{start}'))"""
+    return o.sql(f"SELECT {BARS} FROM old WHERE NOT (ts = TIMESTAMP '{start}' AND symbol IN (SELECT symbol FROM made)) UNION ALL SELECT {BARS} FROM made UNION ALL SELECT {BARS} FROM stubs", "h1", "m15", extra=extra)
+
+
+def _patched(s, d, bars: DataFrame, hours: int) -> DataFrame:
+    """The first symbol has no ticks, the third a forming bar, the fourth no bars, and only the fifth and those after it ticks of the bucket."""
+    h = fx.hourly(s, d)
+    names = h.select("symbol").distinct().withColumn("k", F.row_number().over(Window.orderBy("symbol")))  # five symbols
+    start = _ts(str(repair.bucket_start(_NOW, hours)))
+    now = (F.col("ts") >= start) & (F.col("ts") < start + F.expr(f"INTERVAL {hours} HOURS"))
+    old = bars.join(names, "symbol").filter((F.col("k") != 4) & ((F.col("ts") < start) | (F.col("k") == 3) & now)).drop("k")
+    ticks = fx.minutes(s, d, 15).join(names, "symbol").filter((F.col("k") != 1) & ((F.col("ts") < start) | (F.col("k") == 5))).drop("k")
+    return repair.patch_partial(old, ticks, _NOW, hours)
+
+
+query("patch_partial_4h", _partial_sql(o.fold("h1", o.B4), "2024-01-20 13:00:00", 4))(lambda s, d: _patched(s, d, resample.resample_4h(fx.hourly(s, d)), 4))
+query("patch_partial_1h", _partial_sql("SELECT * FROM h1", "2024-01-20 15:00:00", 1))(lambda s, d: _patched(s, d, fx.hourly(s, d), 1))
 query(
-    "patch_partial_4h",
-    o.sql(f"SELECT {BARS} FROM b4 UNION ALL SELECT {BARS} FROM made UNION ALL SELECT symbol, TIMESTAMP '2024-01-20 13:00:00', c, c, c, c, c, 0.0 FROM kept WHERE symbol NOT IN (SELECT symbol FROM made)", "h1", "m15", extra=_PARTIAL),
-)(
-    lambda s, d: repair.patch_partial(
-        resample.resample_4h(fx.hourly(s, d)).filter(F.col("ts") < _ts("2024-01-20 13:00:00")),
-        (m := fx.minutes(s, d, 15)).join(m.agg(F.min("symbol").alias("x")), F.col("symbol") != F.col("x")).drop("x"),
-        _NOW,
-        4,
-    )
+    "stub_of_nulls",
+    o.sql(f"SELECT {BARS} FROM old UNION ALL SELECT DISTINCT symbol, TIMESTAMP '2024-01-20 15:00:00', {', '.join(['CAST(NULL AS DOUBLE)'] * 6)} FROM old WHERE symbol NOT IN (SELECT symbol FROM old WHERE ts = TIMESTAMP '2024-01-20 15:00:00')", "h1", extra="old AS (SELECT * FROM h1 WHERE ts < TIMESTAMP '2024-01-20 15:00:00' OR symbol > 'e')"),
+)(lambda s, d: repair.patch_partial((b := fx.hourly(s, d).filter((F.col("ts") < _ts("2024-01-20 15:00:00")) | (F.col("symbol") > "e"))), b.limit(0), _NOW, stub="null"))
+query("gate_closed", o.sql(f"SELECT {BARS} FROM h1 WHERE ts < TIMESTAMP '2024-01-20 15:00:00'", "h1"))(
+    # a Saturday: the session is closed, so nothing forms
+    lambda s, d: repair.patch_partial((h := fx.hourly(s, d)).filter(F.col("ts") < _ts("2024-01-20 15:00:00")), fx.minutes(s, d, 15), _NOW, gate=ss.in_futures_session(F.col("ts")))
 )
 query("prefer_source", o.sql(f"SELECT {BARS} FROM h1 WHERE symbol < 'm' UNION ALL SELECT {BARS} FROM m15 WHERE symbol NOT IN (SELECT symbol FROM h1 WHERE symbol < 'm')", "h1", "m15"))(
     lambda s, d: repair.prefer(fx.hourly(s, d).filter("symbol < 'm'"), fx.minutes(s, d, 15))
@@ -185,9 +212,7 @@ recursive("keltner", k.needs_squeeze(20), {"lower": "ema_close_20 - 1.5 * atr_20
 
 @query("rsi", o.sql("SELECT symbol, ts, round(CASE WHEN l14 = 0 THEN 100.0 ELSE 100 - 100 / (1 + g14 / l14) END, 6) AS v FROM rs", "rs"))
 def rsi(s, d):
-    b = fx.hourly(s, d).repartition("symbol").withColumns({"_g": F.coalesce(frames.up("close"), F.lit(0.0)), "_l": F.coalesce(frames.down("close"), F.lit(0.0))})
-    out = recursions(b, [Series("g", "wilder", "_g", 14), Series("l", "wilder", "_l", 14)])
-    return r6(out.select("symbol", "ts", F.when(F.col("l") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("g", "l"))).alias("v")), "v")
+    return r6(_series(s, d, k.needs_rsi(14)).select("symbol", "ts", k.rsi(14).alias("v")), "v")
 
 
 @query(
@@ -199,10 +224,8 @@ def rsi(s, d):
     ),
 )
 def base_indicator_set(s, d):
-    b = prepared(fx.hourly(s, d).repartition("symbol"), []).withColumns({"_g": F.coalesce("_up", F.lit(0.0)), "_l": F.coalesce("_down", F.lit(0.0))})
-    out = recursions(b, [Series("ema_8", "ema", "close", 8), Series("ema_21", "ema", "close", 21), Series("wema_14", "wilder", "close", 14), Series("atr_14", "wilder", "tr", 14), Series("g", "wilder", "_g", 14), Series("l", "wilder", "_l", 14)])
-    out = out.select("symbol", "ts", frames.sma("close", 8).alias("sma_8"), "ema_8", "ema_21", "wema_14", F.when(F.col("l") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("g", "l"))).alias("rsi_14"), frames.slope_n("close", 5).alias("close_slope"), frames.sma("volume", 20).alias("volume_sma_20"), "atr_14")
-    return r6(out, "sma_8", "ema_8", "ema_21", "wema_14", "rsi_14", "close_slope", "volume_sma_20", "atr_14")
+    names = ["sma_8", "ema_8", "ema_21", "wema_14", "rsi_14", "close_slope", "volume_sma_20", "atr_14"]
+    return r6(base_indicators(fx.hourly(s, d).repartition("symbol")).select("symbol", "ts", *names), *names)
 
 
 # ---- composites, on hourly bars with the parameters of futures 1h
@@ -213,25 +236,29 @@ def composite(name: str, instance: Instance, sql: str):
     query(name, sql)(run)
 
 
-_VW = {n: f"{o.rsum('volume * close', n)} / nullif({o.rsum('volume', n)}, 0)" for n in (7, 15, 23)}
-composite(
-    "ind_wyckoff",
-    Instance("v_", "wyckoff_stage", {"fast": 7, "inter": 15, "slow": 23}),
-    o.sql(
-        f"""SELECT symbol, ts, CASE WHEN bars < 23 THEN NULL WHEN {o.yes('close > vma AND f > i AND i > sl')} THEN 2.0 WHEN {o.yes('close < vma AND f < i AND i < sl')} THEN -2.0 WHEN {o.yes('vma > v1')} THEN 1.0 WHEN {o.yes('vma < v1')} THEN -1.0 ELSE 0.0 END AS v
- FROM (SELECT *, {_VW[7]} AS f, {_VW[15]} AS i, {_VW[23]} AS sl, {o.lag('vma')} AS v1 FROM rs)""",
-        "rs",
-    ),
-)
-_SIG = f"(SELECT *, ceil({o.pctrank('volume', 115)}) AS p FROM nb)"
-composite(
-    "ind_sigvol",
-    Instance("v_", "significant_volume", {"lookback": 115, "z": 1}),
-    o.sql(f"SELECT symbol, ts, CASE WHEN {o.yes('p1 >= 67')} OR {o.yes('p2 >= 67')} THEN 2.0 WHEN {o.yes('p1 >= 33')} OR {o.yes('p2 >= 33')} THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {o.lag('p', 1)} AS p1, {o.lag('p', 2)} AS p2 FROM {_SIG})", "nb"),
-)
-_TREND = f"(SELECT symbol, ts, {o.lag('e10')} AS e, {o.lag('w10')} AS w, {o.full('c1', 10, f'avg(c1) {o.over(10)}')} AS sm FROM rs)"
-composite("ind_ma_bull", Instance("v_", "movingavg_trend_bullish", {"length": 10, "displace": 1}), o.sql(f"SELECT symbol, ts, CASE WHEN {o.yes('e > w AND sm > w')} THEN 2.0 WHEN {o.yes('e > sm')} THEN 1.0 ELSE 0.0 END AS v FROM {_TREND}", "rs"))
-composite("ind_ma_bear", Instance("v_", "movingavg_trend_bearish", {"length": 10, "displace": 1}), o.sql(f"SELECT symbol, ts, CASE WHEN {o.yes('e < w AND sm < w')} THEN -2.0 WHEN {o.yes('e < sm')} THEN -1.0 ELSE 0.0 END AS v FROM {_TREND}", "rs"))
+def wyckoff_sql(fast: int, inter: int, slow: int) -> str:
+    vw = [f"{o.rsum('volume * close', n)} / nullif({o.rsum('volume', n)}, 0)" for n in (fast, inter, slow)]
+    return f"""SELECT symbol, ts, CASE WHEN bars < {slow} THEN NULL WHEN {o.yes('close > vma AND f > i AND i > sl')} THEN 2.0 WHEN {o.yes('close < vma AND f < i AND i < sl')} THEN -2.0 WHEN {o.yes('vma > v1')} THEN 1.0 WHEN {o.yes('vma < v1')} THEN -1.0 ELSE 0.0 END AS v
+ FROM (SELECT *, {vw[0]} AS f, {vw[1]} AS i, {vw[2]} AS sl, {o.lag('vma')} AS v1 FROM rs)"""
+
+
+def sigvol_sql(look: int, z: int) -> str:
+    sig = f"(SELECT *, ceil({o.pctrank('volume', look)}) AS p FROM nb)"
+    return f"SELECT symbol, ts, CASE WHEN {o.yes('p1 >= 67')} OR {o.yes('p2 >= 67')} THEN 2.0 WHEN {o.yes('p1 >= 33')} OR {o.yes('p2 >= 33')} THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {o.lag('p', z)} AS p1, {o.lag('p', z + 1)} AS p2 FROM {sig})"
+
+
+def trend_sql(bull: bool, displace: int) -> str:
+    """Means of length 10."""
+    sm = o.full("c1", 10, f"avg(c1) {o.over(10)}") if displace else o.sma("close", 10)
+    trend = f"(SELECT symbol, ts, {o.lag('e10', displace)} AS e, {o.lag('w10', displace)} AS w, {sm} AS sm FROM rs)"
+    op, two, one = (">", "2.0", "1.0") if bull else ("<", "-2.0", "-1.0")
+    return f"SELECT symbol, ts, CASE WHEN {o.yes(f'e {op} w AND sm {op} w')} THEN {two} WHEN {o.yes(f'e {op} sm')} THEN {one} ELSE 0.0 END AS v FROM {trend}"
+
+
+composite("ind_wyckoff", Instance("v_", "wyckoff_stage", {"fast": 7, "inter": 15, "slow": 23}), o.sql(wyckoff_sql(7, 15, 23), "rs"))
+composite("ind_sigvol", Instance("v_", "significant_volume", {"lookback": 115, "z": 1}), o.sql(sigvol_sql(115, 1), "nb"))
+composite("ind_ma_bull", Instance("v_", "movingavg_trend_bullish", {"length": 10, "displace": 1}), o.sql(trend_sql(True, 1), "rs"))
+composite("ind_ma_bear", Instance("v_", "movingavg_trend_bearish", {"length": 10, "displace": 1}), o.sql(trend_sql(False, 1), "rs"))
 
 
 def _macd(z: int) -> str:
@@ -252,48 +279,52 @@ def _weak(bull: bool) -> str:
     return " OR ".join([o.yes(f"{_greater('m0', 'm1', bull)} {op} {t}"), o.yes(f"m0 {op} s0 AND s0 {op} s1"), o.yes(f"m0 - s0 {op} m1 - s1 AND m1 - s1 {op} m2 - s2")])
 
 
-composite("ind_macdv_bull", Instance("v_", "macdv_core_bullish", {"z": 1}), o.sql(f"SELECT symbol, ts, CASE WHEN {_strong(0, True)} OR {_strong(1, True)} THEN 2.0 WHEN {_weak(True)} THEN 1.0 ELSE 0.0 END AS v FROM {_macd(1)}", "mv"))
-composite("ind_macdv_bear", Instance("v_", "macdv_core_bearish", {"z": 1}), o.sql(f"SELECT symbol, ts, CASE WHEN {_strong(0, False)} OR {_strong(1, False)} THEN -2.0 WHEN {_weak(False)} THEN -1.0 ELSE 0.0 END AS v FROM {_macd(1)}", "mv"))
-composite("ind_macdv_guard", Instance("v_", "macdv_guard", {"z": 0}), o.sql(f"SELECT symbol, ts, CASE WHEN {_strong(0, True)} THEN 2.0 WHEN {_strong(0, False)} THEN -2.0 ELSE 0.0 END AS v FROM {_macd(0)}", "mv"))
+def macdv_sql(bull: bool, z: int) -> str:
+    sign = "" if bull else "-"
+    return f"SELECT symbol, ts, CASE WHEN {_strong(0, bull)} OR {_strong(1, bull)} THEN {sign}2.0 WHEN {_weak(bull)} THEN {sign}1.0 ELSE 0.0 END AS v FROM {_macd(z)}"
 
-_DELTA = f"close - (({o.full('high', 20, f'max(high) {o.over(20)}')} + {o.full('low', 20, f'min(low) {o.over(20)}')}) / 2 + {o.sma('close', 20)}) / 2"
-_SQ = f"""(SELECT *, {o.full('delta', 20, f'regr_intercept(delta, rn) {o.over(20)} + regr_slope(delta, rn) {o.over(20)} * rn')} AS dp,
-  {' OR '.join(o.yes(f'ub < e20 + {f} * a20 AND lb > e20 - {f} * a20') for f in (1.0, 1.5, 2.0))} AS dot FROM (SELECT *, {_DELTA} AS delta,
-  {o.sma('close', 20)} + 2 * {o.full('close', 20, f'stddev_pop(close) {o.over(20)}')} AS ub, {o.sma('close', 20)} - 2 * {o.full('close', 20, f'stddev_pop(close) {o.over(20)}')} AS lb FROM rs))"""
-composite(
-    "ind_ttm_squeeze",
-    Instance("v_", "ttm_squeeze_pro", {"length": 20, "z": 1}),
-    o.sql(
-        f"""SELECT symbol, ts, CASE WHEN bars < 20 THEN NULL WHEN (({o.yes('d0 > d1')} OR {o.yes('d1 > d2')}) AND ({o.yes('d0 < d1')} OR {o.yes('d1 < d2')})) OR {o.yes('sq')} THEN 0.0
+
+def guard_sql(z: int = 0) -> str:
+    return f"SELECT symbol, ts, CASE WHEN {_strong(0, True)} THEN 2.0 WHEN {_strong(0, False)} THEN -2.0 ELSE 0.0 END AS v FROM {_macd(z)}"
+
+
+def squeeze_sql(z: int) -> str:
+    delta = f"close - (({o.full('high', 20, f'max(high) {o.over(20)}')} + {o.full('low', 20, f'min(low) {o.over(20)}')}) / 2 + {o.sma('close', 20)}) / 2"
+    band = o.full("close", 20, f"stddev_pop(close) {o.over(20)}")
+    sq = f"""(SELECT *, {o.full('delta', 20, f'regr_intercept(delta, rn) {o.over(20)} + regr_slope(delta, rn) {o.over(20)} * rn')} AS dp,
+  {' OR '.join(o.yes(f'ub < e20 + {f} * a20 AND lb > e20 - {f} * a20') for f in (1.0, 1.5, 2.0))} AS dot FROM (SELECT *, {delta} AS delta, {o.sma('close', 20)} + 2 * {band} AS ub, {o.sma('close', 20)} - 2 * {band} AS lb FROM rs))"""
+    return f"""SELECT symbol, ts, CASE WHEN bars < 20 THEN NULL WHEN (({o.yes('d0 > d1')} OR {o.yes('d1 > d2')}) AND ({o.yes('d0 < d1')} OR {o.yes('d1 < d2')})) OR {o.yes('sq')} THEN 0.0
  WHEN {o.yes('d0 < d1')} OR {o.yes('d1 < d2')} THEN -1.0 WHEN {o.yes('d0 > d1')} OR {o.yes('d1 > d2')} THEN 1.0 END AS v
- FROM (SELECT *, {o.lag('dp', 1)} AS d0, {o.lag('dp', 2)} AS d1, {o.lag('dp', 3)} AS d2, {o.lag('dot', 1)} AS sq FROM {_SQ})""",
-        "rs",
-    ),
-)
+ FROM (SELECT *, {o.lag('dp', z)} AS d0, {o.lag('dp', z + 1)} AS d1, {o.lag('dp', z + 2)} AS d2, {o.lag('dot', z)} AS sq FROM {sq})"""
+
+
+composite("ind_macdv_bull", Instance("v_", "macdv_core_bullish", {"z": 1}), o.sql(macdv_sql(True, 1), "mv"))
+composite("ind_macdv_bear", Instance("v_", "macdv_core_bearish", {"z": 1}), o.sql(macdv_sql(False, 1), "mv"))
+composite("ind_macdv_guard", Instance("v_", "macdv_guard", {"z": 0}), o.sql(guard_sql(), "mv"))
+composite("ind_ttm_squeeze", Instance("v_", "ttm_squeeze_pro", {"length": 20, "z": 1}), o.sql(squeeze_sql(1), "rs"))
 
 
-def _exh(z: int) -> str:
-    base = f"""x0 AS (SELECT *, greatest(open, close) AS mx, least(open, close) AS mn, CASE WHEN high - low = 0 THEN 0.0 ELSE pow(abs(close - open) * 100, abs(close - open) / (high - low)) END AS cb,
+def exh_ctes(look: int) -> str:
+    return f"""x0 AS (SELECT *, greatest(open, close) AS mx, least(open, close) AS mn, CASE WHEN high - low = 0 THEN 0.0 ELSE pow(abs(close - open) * 100, abs(close - open) / (high - low)) END AS cb,
    {o.full('high', 2, f'max(high) {o.over(2)}')} AS hh, {o.full('low', 2, f'min(low) {o.over(2)}')} AS ll FROM nb),
- x1 AS (SELECT *, {o.pctrank('cb', 115)} AS cp, {o.pctrank('volume', 115)} AS vp, {', '.join(f'{o.lag(c, i)} AS {c}_{i}' for c in ('mx', 'mn') for i in (1, 2, 3))}, {', '.join(f'{o.lag(c, i)} AS {c}_{i}' for c in ('hh', 'll') for i in (1, 2))},
+ x1 AS (SELECT *, {o.pctrank('cb', look)} AS cp, {o.pctrank('volume', look)} AS vp, {', '.join(f'{o.lag(c, i)} AS {c}_{i}' for c in ('mx', 'mn') for i in (1, 2, 3))}, {', '.join(f'{o.lag(c, i)} AS {c}_{i}' for c in ('hh', 'll') for i in (1, 2))},
    {', '.join(f'{o.lag(c)} AS {c}_1' for c in ('open', 'close', 'high', 'low'))} FROM x0),
  x2 AS (SELECT *, {o.yes('(33 - floor(vp)) + (33 - floor(cp)) >= 0')} OR {o.yes('(ceil(vp) - 67) + (33 - floor(cp)) >= 0')} AS any_,
    {' OR '.join(o.yes(f'mx >= mx_{i}') for i in (1, 2, 3))} AS nt, {' OR '.join(o.yes(f'mn <= mn_{i}') for i in (1, 2, 3))} AS nb_ FROM x1),
  x3 AS (SELECT *, any_ AND {o.yes('high >= hh_1')} AND nt AND {o.yes('high - mx > 0.5 * (mn - low)')} AS pt, any_ AND {o.yes('low <= ll_1')} AND nb_ AND {o.yes('mn - low > 0.5 * (high - mx)')} AS pb,
    ({o.yes('high >= hh_1')} OR {o.yes('high_1 >= hh_2')}) AND nt AND {o.yes('open >= close_1 AND close < open_1 AND open > close AND open_1 <= close_1 AND (open >= high_1 OR close <= low_1)')} AS et,
    ({o.yes('low <= ll_1')} OR {o.yes('low_1 <= ll_2')}) AND nb_ AND {o.yes('open <= close_1 AND close > open_1 AND open < close AND open_1 >= close_1 AND (open <= low_1 OR close >= high_1)')} AS eb FROM x2)"""
+
+
+def exh_sql(z: int) -> str:
     if z == 0:
-        return o.sql("SELECT symbol, ts, CASE WHEN et THEN -2.0 WHEN pt THEN -1.0 WHEN eb THEN 2.0 WHEN pb THEN 1.0 ELSE 0.0 END AS v FROM x3", "nb", extra=base)
+        return "SELECT symbol, ts, CASE WHEN et THEN -2.0 WHEN pt THEN -1.0 WHEN eb THEN 2.0 WHEN pb THEN 1.0 ELSE 0.0 END AS v FROM x3"
     lagged = ", ".join(f"{o.yes(o.lag(c))} AS {c}1" for c in ("pt", "pb", "et", "eb"))
-    return o.sql(
-        f"SELECT symbol, ts, CASE WHEN et1 AND {o.yes('open <= close_1 AND low < low_1')} THEN -2.0 WHEN pt1 AND {o.yes('high <= high_1')} THEN -1.0 WHEN eb1 AND {o.yes('open >= close_1 AND high > high_1')} THEN 2.0 WHEN pb1 AND {o.yes('low >= low_1')} THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {lagged} FROM x3)",
-        "nb",
-        extra=base,
-    )
+    return f"SELECT symbol, ts, CASE WHEN et1 AND {o.yes('open <= close_1 AND low < low_1')} THEN -2.0 WHEN pt1 AND {o.yes('high <= high_1')} THEN -1.0 WHEN eb1 AND {o.yes('open >= close_1 AND high > high_1')} THEN 2.0 WHEN pb1 AND {o.yes('low >= low_1')} THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {lagged} FROM x3)"
 
 
-composite("ind_exh_abs_z0", Instance("v_", "exh_abs_price_action", {"lookback": 115, "z": 0}), _exh(0))
-composite("ind_exh_abs_z1", Instance("v_", "exh_abs_price_action", {"lookback": 115, "z": 1}), _exh(1))
+composite("ind_exh_abs_z0", Instance("v_", "exh_abs_price_action", {"lookback": 115, "z": 0}), o.sql(exh_sql(0), "nb", extra=exh_ctes(115)))
+composite("ind_exh_abs_z1", Instance("v_", "exh_abs_price_action", {"lookback": 115, "z": 1}), o.sql(exh_sql(1), "nb", extra=exh_ctes(115)))
 
 
 def _benchmarks(s, d) -> DataFrame:
@@ -392,13 +423,17 @@ _MID, _LOW = "middle_sig_vol_current_bar", "lower_sig_vol_prior_bar"
 score("score_futures_4hdw", scoring.futures_4h_d_w, o.sql(_FV, "combo", extra=_volume(o.yes(f"{_MID} >= 1"), o.yes(f"{_MID} = 2"))))
 score("score_futures_dwm", scoring.futures_d_w_m, o.sql(_FV, "combo", extra=_volume(f"{o.yes(f'{_MID} >= 1')} OR {o.yes(f'{_LOW} >= 1')}", f"{o.yes(f'{_MID} = 2')} OR {o.yes(f'{_LOW} = 2')}")))
 
-_TRENDS = "SELECT symbol AS etf_symbol, " + ", ".join(f"CASE WHEN {o.yes(f'wyckoff_stage = {2 * n}')} THEN 4.0 ELSE 0.0 END + CASE WHEN {o.yes(f'macdv_guard = {2 * n}')} THEN 2.0 ELSE 0.0 END AS etf_{w}_score" for n, w in ((1, "long"), (-1, "short"))) + " FROM combo"
-query("etf_trend", o.sql(_TRENDS, "combo"))(lambda s, d: scoring.etf_trend(fx.combo(s, d), "sig_vol"))
+_TREND_POINTS = ", ".join(f"CASE WHEN {o.yes(f'wyckoff_stage = {2 * n}')} THEN 4.0 ELSE 0.0 END + CASE WHEN {o.yes(f'macdv_guard = {2 * n}')} THEN 2.0 ELSE 0.0 END + CASE WHEN {o.yes('significant_volume = 1')} THEN 1.0 ELSE 0.0 END AS etf_{w}_score" for n, w in ((1, "long"), (-1, "short")))
+query("etf_trend", o.sql(f"SELECT symbol AS etf_symbol, {_TREND_POINTS} FROM combo", "combo"))(lambda s, d: scoring.etf_trend(fx.combo(s, d)))
+query(
+    "etf_trend_first_row",
+    o.sql(f"SELECT etf_symbol, etf_long_score, etf_short_score FROM (SELECT CAST(c_nationkey AS VARCHAR) AS etf_symbol, {_TREND_POINTS}, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM combo JOIN customer ON symbol = CAST(c_custkey AS VARCHAR)) WHERE r = 1", "combo"),
+)(lambda s, d: scoring.etf_trend(fx.combo(s, d).join(fx.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), "c_nationkey", F.col("c_custkey").alias("pos")), "symbol").withColumn("symbol", F.col("c_nationkey").cast("string"))))
 
 
 def _funds(s, d) -> DataFrame:
-    p = fx.table(s, d, "part").filter("p_partkey % 3 = 0")
-    return p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos")).select(F.col("pos").cast("string").alias("symbol"), "name", "pos")
+    p = fx.table(s, d, "part")
+    return p.groupBy(F.concat_ws(" ", "p_type", "p_name").alias("name")).agg(F.min("p_partkey").alias("pos")).select(F.col("pos").cast("string").alias("symbol"), "name", "pos")
 
 
 def _stocks(s, d) -> DataFrame:
@@ -426,7 +461,7 @@ def _best(c: str) -> str:
 
 
 _MATCH = f"""st AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_brand AS name, p_type AS sector, p_name AS industry FROM part WHERE p_type IS NOT NULL AND p_name IS NOT NULL),
- fu AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS symbol, p_name AS name, min(p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name),
+ fu AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS symbol, concat_ws(' ', p_type, p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY concat_ws(' ', p_type, p_name)),
  fu_t AS ({_tokens('fu', 'pos', 'name')}), fu_n AS (SELECT pos, count(*) AS nf FROM fu_t GROUP BY pos), {_best('industry')}, {_best('sector')},
  mt AS (SELECT st.*, i.etf AS industry_etf, i.etf_name AS industry_etf_name, coalesce(i.sc, 0.0) AS industry_score, s.etf AS sector_etf, s.etf_name AS sector_etf_name, coalesce(s.sc, 0.0) AS sector_score FROM st LEFT JOIN industry_b i USING (industry) LEFT JOIN sector_b s USING (sector)),
  mp AS (SELECT *, CASE WHEN industry_score >= 0.2 THEN industry_etf WHEN sector_score >= 0.5 THEN sector_etf ELSE 'SPY' END AS p FROM mt),
@@ -455,7 +490,7 @@ query(
     ),
 )(lambda s, d: combos.attach_etf(fx.combo(s, d).select("symbol"), _etf_map(s, d), _fund_scores(s, d, 1), _fund_scores(s, d, 2)))
 
-_CUST = "c_custkey % 2 = 0"
+_CUST = "c_mktsegment <> 'BUILDING'"
 query("universe_eligible", o.sql(f"SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal AS market_cap, c_name AS name, c_mktsegment AS sector, c_mktsegment AS industry, CAST(NULL AS VARCHAR) AS sub_industry FROM customer WHERE {_CUST} AND c_acctbal >= 1000"))(
     lambda s, d: combos.eligible(
         fx.table(s, d, "customer").select(
@@ -464,18 +499,6 @@ query("universe_eligible", o.sql(f"SELECT CAST(c_custkey AS VARCHAR) AS symbol,
         1000.0,
     )
 )
-query(
-    "symbols_for_timeframe",
-    o.sql(
-        "SELECT symbol FROM (SELECT upper(trim(c_name)) AS symbol FROM customer WHERE c_custkey % 5 = 0) UNION SELECT upper(trim(c_name)) FROM customer WHERE c_custkey % 3 = 0 AND upper(trim(c_name)) NOT IN (SELECT upper(trim(c_name)) FROM customer WHERE c_custkey % 7 = 0)"
-    ),
-)(
-    lambda s, d: combos.symbols_for(
-        {"shortlist_stocks": (c := fx.table(s, d, "customer").withColumnRenamed("c_name", "symbol")).filter("c_custkey % 5 = 0"), "options_eligible": c.filter("c_custkey % 3 = 0")},
-        c.filter("c_custkey % 7 = 0"),
-    )
-)
-
 # ---- desk
 _RULES = ["lower_spy_qqq_vol_ma_ratio between 0.05 and 0.2", "middle_wyckoff_stage >= 0", "upper_wyckoff_stage is not null"]
 query("screen_rules", o.sql(f"SELECT symbol, lower_spy_qqq_vol_ma_ratio, middle_wyckoff_stage FROM combo WHERE {' AND '.join(_RULES)} ORDER BY lower_spy_qqq_vol_ma_ratio DESC, middle_wyckoff_stage, symbol LIMIT 50", "combo"))(
@@ -522,7 +545,13 @@ query(
 )
 _DIGEST = f"{_FUTURES}, dg AS (SELECT signal, string_agg(symbol, ',' ORDER BY symbol) FILTER (WHERE r <= 40) AS symbols, count(*) AS n, greatest(count(*) - 40, 0) AS overflow FROM (SELECT sig AS signal, symbol, row_number() OVER (PARTITION BY sig ORDER BY symbol) AS r FROM fb WHERE sig <> 'none') GROUP BY signal)"
 query("alert_digest", o.sql("SELECT signal, symbols, n, CAST(overflow AS BIGINT) AS overflow FROM dg", "combo", extra=_DIGEST))(lambda s, d: desk.alert_digest(_scored(s, d)))
-query("alert_fingerprint", o.sql("SELECT sha256(string_agg(signal || ':' || symbols, '|' ORDER BY signal)) AS fingerprint FROM dg", "combo", extra=_DIGEST))(lambda s, d: desk.fingerprint(desk.alert_digest(_scored(s, d))))
+_ALL = "SELECT sha256(string_agg(signal || ':' || symbols, '|' ORDER BY list_position(['long', 'short', 'watch', 'anti'], signal))) AS fingerprint FROM (SELECT sig AS signal, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM fb WHERE sig <> 'none' GROUP BY sig)"
+query("alert_fingerprint", o.sql(_ALL, "combo", extra=_FUTURES))(lambda s, d: desk.fingerprint(_scored(s, d)))
+query("alert_fingerprint_rows", o.sql("SELECT '[' || string_agg('[\"' || symbol || '\",\"' || sig || '\",\"' || sig || '\"]', ',' ORDER BY symbol, sig) || ']' AS fingerprint FROM fb WHERE sig <> 'none'", "combo", extra=_FUTURES))(lambda s, d: desk.fingerprint_rows(_scored(s, d)))
+query(
+    "alert_rows",
+    o.sql("SELECT * FROM (SELECT sig AS signal, symbol, sig AS side, l AS long, s AS short, row_number() OVER (PARTITION BY sig ORDER BY symbol) AS place, count(*) OVER (PARTITION BY sig) AS n, greatest(count(*) OVER (PARTITION BY sig) - 75, 0) AS overflow FROM fb WHERE sig <> 'none') WHERE place <= 75", "combo", extra=_FUTURES),
+)(lambda s, d: desk.alert_rows(_scored(s, d)))
 
 
 def _digests(s, d, where: str) -> DataFrame:
@@ -532,26 +561,17 @@ def _digests(s, d, where: str) -> DataFrame:
 query(
     "alert_changed",
     o.sql(
-        "SELECT n.alert_key, n.fingerprint FROM (SELECT o_orderpriority AS alert_key, md5(CAST(count(*) AS VARCHAR)) AS fingerprint FROM orders GROUP BY 1) n LEFT JOIN (SELECT o_orderpriority AS alert_key, md5(CAST(count(*) AS VARCHAR)) AS fingerprint FROM orders WHERE o_orderpriority < '3' OR o_orderkey % 2 = 0 GROUP BY 1) s USING (alert_key) WHERE n.fingerprint IS DISTINCT FROM s.fingerprint"
+        "SELECT n.alert_key, n.fingerprint FROM (SELECT o_orderpriority AS alert_key, md5(CAST(count(*) AS VARCHAR)) AS fingerprint FROM orders GROUP BY 1) n LEFT JOIN (SELECT o_orderpriority AS alert_key, md5(CAST(count(*) AS VARCHAR)) AS fingerprint FROM orders WHERE o_orderpriority < '3' OR o_orderstatus = 'O' GROUP BY 1) s USING (alert_key) WHERE n.fingerprint IS DISTINCT FROM s.fingerprint"
     ),
-)(lambda s, d: desk.changed_only(_digests(s, d, "true"), _digests(s, d, "o_orderpriority < '3' or o_orderkey % 2 = 0").withColumn("saved_at", F.lit("2024-01-01"))))
+)(lambda s, d: desk.changed_only(_digests(s, d, "true"), _digests(s, d, "o_orderpriority < '3' or o_orderstatus = 'O'").withColumn("saved_at", F.lit("2024-01-01"))))
 query(
     "diff_symbols",
     o.sql(
-        "SELECT symbol, 'entered' AS change FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT symbol, 'exited' FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol FROM orders WHERE o_orderkey % 2 = 1 EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0)"
+        "SELECT symbol, 'entered' AS change FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'O') UNION ALL SELECT symbol, 'exited' FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol FROM orders WHERE o_orderstatus <> 'O' EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O')"
     ),
-)(lambda s, d: desk.diff_symbols(*[fx.table(s, d, "orders").filter(f"o_orderkey % 2 = {x}").select(F.col("o_custkey").cast("string").alias("symbol")) for x in (0, 1)]))
+)(lambda s, d: desk.diff_symbols(*[fx.table(s, d, "orders").filter(f"o_orderstatus {x} 'O'").select(F.col("o_custkey").cast("string").alias("symbol")) for x in ("=", "<>")]))
 query("combo_asof", o.sql("SELECT max(ts) AS asof FROM h1", "h1"))(lambda s, d: desk.combo_asof(combos.build_combo(*_ladder(s, d))))
 query("qa_sample", o.sql("SELECT symbol, etf_symbol_primary FROM em ORDER BY md5(symbol || '|42'), symbol LIMIT 50", extra=_MATCH))(lambda s, d: desk.qa_sample(_etf_map(s, d)).select("symbol", "etf_symbol_primary"))
-query("snapshot_daily_profile")(lambda s, d: _profile_snapshot(s, d))
-
-
-def _profile_snapshot(s, d) -> DataFrame:
-    from .pipelines import run_timeframe, snapshot
-
-    return snapshot(run_timeframe(fx.daily(s, d), "stocks", "daily", 600), "stocks", "daily")
-
-
 @query("stream_bars", o.sql(f"SELECT {BARS} FROM h1", "h1"))
 def stream_bars(s, d):
     """The events table read as a stream to its end, forming hourly bars; equals the batch."""
@@ -559,15 +579,13 @@ def stream_bars(s, d):
 
     from ..streaming.forming import forming_bars, into_table, newest
 
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="tidebar-")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     source = fx.table(s, d, "events")
     t = s.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = t.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("id"))
     q = into_table(forming_bars(t), f"{path}/bars", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return newest(s, f"{path}/bars")
+
+
+from . import driver_queries, table_queries  # noqa: E402, F401  they register theirs
