@@ -5,9 +5,11 @@ letters, digits that stand for letters), so disguised spellings meet the same
 lexicon entry.  The lexicon is learned: whole words, and word stems where an
 inflected family of words marks the label together, weighted by log-odds; an
 entry must beat chance by more than the number of candidates tried.  Hits must
-start at a word boundary (whole words also end at one); a hit inside an
-exception phrase does not count.  The summed weight is normalised by length and
-calibrated by isotonic regression.
+start at a word boundary (whole words also end at one).  A hit inside an
+exception phrase does not count: a hit with the word before or after it is an
+exception if documents that hold this phrase are rather clean; these are
+learned, too.  The summed weight is normalised by length and calibrated by
+isotonic regression.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1,
 at most ``MAX_LABELLED`` of them, chosen by a hash of the id; that bound is also
@@ -37,6 +39,9 @@ from .scratch import settle
 #: The model's parameters.
 MAX_LABELLED = 100_000
 MAX_ENTRIES = 5_000
+MAX_EXCEPTIONS = 5_000
+MIN_CLEAN = 5
+EXCEPTION_WEIGHT = -1.0
 MIN_WEIGHT = 2.5
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_WORDS = 3
@@ -54,8 +59,6 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: Signs that stand for letters between letters.
 SIGNS = {"@": "a", "$": "s", "!": "i"}
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("clown fish", "trash bin", "trash can", "trash collection")
 
 
 def _folding() -> dict[int, str]:
@@ -87,25 +90,25 @@ def fold(text: str | None) -> str:
     return text.replace("l", "i").replace("|", "i")
 
 
-def _count_words(batches):
-    """Batches of (text, y) to (word, toxic, clean): in how many documents it stands, summed per task in bounded parts."""
+def _emitted(counts: dict[str, list[int]]):
+    words = list(counts)
+    for k in range(0, len(words), 50_000):
+        part = words[k : k + 50_000]
+        two = np.array([counts[w] for w in part], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["word", "toxic", "clean"])
 
-    def emit(counts):
-        words = list(counts)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            two = np.array([counts[w] for w in part], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["word", "toxic", "clean"])
 
+def _count_words(batches):
+    """Batches of (text, y) to (word, toxic, clean): in how many documents it stands, summed per task in bounded parts."""
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in set(_WORD.findall(fold(text))):
                 counts.setdefault(w, [0, 0])[1 - int(y)] += 1
             if len(counts) > 400_000:
-                yield from emit(counts)
+                yield from _emitted(counts)
                 counts = {}
-    yield from emit(counts)
+    yield from _emitted(counts)
 
 
 def learn(train: DataFrame) -> list[tuple[str, bool, float]]:
@@ -138,7 +141,7 @@ def learn(train: DataFrame) -> list[tuple[str, bool, float]]:
 class Matcher:
     """Aho-Corasick automaton over lexicon entries and exception phrases."""
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]], exceptions: tuple[str, ...] = EXCEPTIONS):
+    def __init__(self, lexicon: list[tuple[str, bool, float]], exceptions: tuple[str, ...] = ()):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -172,9 +175,50 @@ class Matcher:
         return math.log1p(100 * sum(h[2] for h in hits) / max(20, n)) if hits else 0.0
 
 
-def _densities(lexicon, carried: list[str]):
-    def run(batches):
+def phrases(folded: str, hits: list[tuple[int, int, float]]) -> set[str]:
+    """Every hit, to the end of its word, with the word before it and with the word after it."""
+    found = set()
+    for start, end, _ in hits:
+        while end < len(folded) and folded[end].isalnum():
+            end += 1
+        if folded[end : end + 1] == " " and (after := _WORD.match(folded, end + 1)):
+            found.add(folded[start : after.end()])
+        first = start - 1
+        while first > 0 and folded[first - 1].isalnum():
+            first -= 1
+        if first < start - 1 and folded[start - 1] == " ":
+            found.add(folded[first:end])
+    return found
+
+
+def learn_exceptions(train: DataFrame, lexicon: list[tuple[str, bool, float]]) -> tuple[str, ...]:
+    """Phrases around entries that stand in clean documents rather than in toxic ones, MAX_EXCEPTIONS at most."""
+    n = train.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).first()
+    if not lexicon:
+        return ()
+
+    def count(batches):
         matcher = Matcher(lexicon)
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits, _ = matcher.hits(text)
+                for p in phrases(fold(text), hits) if hits else ():
+                    counts.setdefault(p, [0, 0])[1 - int(y)] += 1
+            if len(counts) > 400_000:
+                yield from _emitted(counts)
+                counts = {}
+        yield from _emitted(counts)
+
+    counts = train.select("text", "y").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    weight = F.log((F.col("toxic") + 0.5) / (n["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (n["clean"] + 1))
+    found = counts.filter((F.col("clean") >= MIN_CLEAN) & (weight < EXCEPTION_WEIGHT)).orderBy(F.desc("clean"), "word").limit(MAX_EXCEPTIONS).select("word").collect()
+    return tuple(sorted(r["word"] for r in found))
+
+
+def _densities(lexicon, carried: list[str], exceptions: tuple[str, ...] = ()):
+    def run(batches):
+        matcher = Matcher(lexicon, exceptions)
         for batch in batches:
             texts = batch.column("text")
             for k in range(0, len(texts), 1000):
@@ -191,7 +235,9 @@ def training(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     n = y.count()
     if n > MAX_LABELLED:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * MAX_LABELLED // n)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")  # about MAX_LABELLED rows
+    y = settle(y)
+    y = F.broadcast(y) if y.count() <= 2 * MAX_LABELLED else y  # a sample of about MAX_LABELLED rows, counted
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,9 +248,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     train = training(docs, labels)
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
-    lexicon = learn(train.filter(~calibrates).select("text", "y"))
-    knots = isotonic(train.filter(calibrates).select("text", "y").mapInArrow(_densities(lexicon, ["y"]), "y int, density double"), "density", "y", LOW, HIGH)
-    densities = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_densities(lexicon, ["doc_id"]), "doc_id long, density double")
+    learned = train.filter(~calibrates).select("text", "y")
+    lexicon = learn(learned)
+    exceptions = learn_exceptions(learned, lexicon)
+    knots = isotonic(train.filter(calibrates).select("text", "y").mapInArrow(_densities(lexicon, ["y"], exceptions), "y int, density double"), "density", "y", LOW, HIGH)
+    densities = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_densities(lexicon, ["doc_id"], exceptions), "doc_id long, density double")
 
     @F.pandas_udf("double")
     def score(density: pd.Series) -> pd.Series:
