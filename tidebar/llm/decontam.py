@@ -20,8 +20,7 @@ Retrieved pairs are verified: of the word trigrams of the question (the item
 but for its last third) and of the answer (that third), enough must stand in
 the passage.  Items of under six words are one question with no answer.  A
 question or answer of one or two words is a single n-gram of that length, held
-against the passage's n-grams of the same length; ``OP3_SQL`` still holds it
-against trigrams only, so it finds no item of 1, 2, 6, 7 or 8 words.
+against the passage's n-grams of the same length.
 
 Defined cases: null or blank texts and items match nothing; repeated rows match
 each; a document that holds an item several times gives one row, of its best
@@ -273,7 +272,7 @@ words AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM te
 held AS (SELECT DISTINCT doc_id, pos // stride - back AS p, word FROM words, size, (SELECT unnest([0, 1]) AS back) WHERE pos // stride - back >= 0),
 scored AS (SELECT doc_id, p, item_id, sum(x) AS score FROM held JOIN impact USING (word) GROUP BY ALL HAVING sum(x) >= 0.6 - 1e-12),
 windows AS (SELECT s.*, t.w[CAST(p * stride + 1 AS BIGINT):CAST((p + 2) * stride AS BIGINT)] AS w FROM scored s JOIN texts t USING (doc_id), size),
-grams AS (SELECT doc_id, p, item_id, score, list_transform(range(1, greatest(2, len(w) - 1)), lambda k: array_to_string(w[k:k + 2], ' ')) AS g FROM windows),
+grams AS (SELECT doc_id, p, item_id, score, list_concat(w, list_concat(list_transform(range(1, len(w)), lambda k: array_to_string(w[k:k + 1], ' ')), list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')))) AS g FROM windows),
 halves AS (SELECT item_id, w[1:cut] AS q, w[cut + 1:] AS a FROM (SELECT *, CASE WHEN n >= 6 THEN n - n // 3 ELSE n END AS cut FROM items)),
 parts AS (SELECT item_id, CASE WHEN len(q) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(q) - 1)), lambda k: array_to_string(q[k:k + 2], ' '))) END AS q,
   CASE WHEN len(a) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(a) - 1)), lambda k: array_to_string(a[k:k + 2], ' '))) END AS a FROM halves),

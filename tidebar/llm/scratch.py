@@ -2,33 +2,22 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading
 it back, so a lost executor costs a re-read and never a recomputation of the
-whole job.  Only where that setting is absent (tests) a folder is made here.
+whole job.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_dir
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_OWN: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidebar-")
-    return _OWN[app]
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return its reader."""
     spark = df.sparkSession
