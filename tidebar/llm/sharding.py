@@ -92,7 +92,7 @@ def cut(points: DataFrame, shards: int) -> Column:
                 for digit, w in sorted(digits):
                     last = run + w >= total[n] / 2
                     # at the last digit the nearer of the two sides of this key is taken
-                    if last and (shift or abs(run + w - total[n] / 2) <= abs(run - total[n] / 2) or run == below[n]):
+                    if last and (shift or abs(run + w - total[n] / 2) <= abs(run - total[n] / 2) or not run):
                         break
                     if last:
                         digit -= 1
@@ -106,10 +106,17 @@ def cut(points: DataFrame, shards: int) -> Column:
     return node
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+def shard(docs: DataFrame, shards: int | None = 8, tolerance: float = 0.0005, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
+
+    Either ``shards``, a power of two, or ``target_bytes``: leaves are halved until they hold no more.
+    """
     points = settle(measured(docs))
     total = points.agg(F.sum("size")).first()[0] or 0
+    if target_bytes is not None:
+        shards = 1 << max(0, math.ceil(math.log2(max(1, total) / target_bytes)))
+    if not shards or shards & (shards - 1):
+        raise ValueError(f"{shards} shards are no power of two")
     points = settle(_chunked(points, total / shards, tolerance))
     dealt = settle(points.select("doc_id", "size", "text_crc32", "h", cut(points, shards).cast("int").alias("shard")))
     return number_within(dealt, ["shard"], ["h", "doc_id"], "slot").select(
