@@ -4,10 +4,14 @@ Which strings of ``length`` bytes start at two places of the corpus?
 
 1. Anchors.  Every window of ``length`` bytes owns its least gram, so equal
    windows own equal anchors at equal places.  One row for each anchor, with a
-   hash of its context (all bytes that a window owning it can reach), is all
-   that is shuffled for the whole corpus.
-2. Anchors seen once cannot repeat.  Contexts seen twice repeat throughout.
-   What is left are contexts that share an anchor but differ somewhere.
+   128-bit hash of its context (all bytes that a window owning it can reach), is
+   all that is shuffled for the whole corpus, once: the rows are dealt by ranges
+   of (anchor, context, place), so that a passage of a third of all documents is
+   spread over as many tasks as its rows fill, and read in order.
+2. A row whose neighbour has the same context repeats throughout.  One row of
+   each context goes on if a neighbour has the same anchor in another context.
+   Only what touches the ends of a range has to be put together afterwards, for
+   two anchors of each range at most.
 3. Their bytes, aligned at the anchor, are indexed by a Burrows-Wheeler
    transform.  As the alignment is known, it is the positional form of it: the
    order of the contexts by what precedes a column, column by column.  Inside a
@@ -17,8 +21,11 @@ Which strings of ``length`` bytes start at two places of the corpus?
    shares, for all alignments that hold the anchor, which is exactly all.
 
 A group of contexts with one anchor goes to one task up to ``MAX_GROUP``
-contexts (some 40 MB); larger ones take a path on which no group is gathered at
-all: a hash of each of their windows, counted with map-side combination.
+contexts (some 3 MB), so that a line that stands between different neighbours in
+a third of all documents is not gathered; larger groups take a path of the same
+result: a hash of each of their windows, counted with map-side combination.
+Contexts are told apart by 128 bits of hash beside the anchor's 64, windows of
+large groups by 64 beside the anchor and the place.
 
 Defined cases: a null text is an empty one; texts under ``length`` bytes lose
 nothing; repeated rows are documents of their own, so both lose everything they
@@ -55,12 +62,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _emit(length: int):
-    """(text, doc, h) to one row for each anchor: its hash, its context's hash and its place."""
+    """(text, doc, h) to one row for each anchor: its hash, the two halves of its context's hash and its place."""
     reach = length - GRAM
 
     def run(batches):
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             texts, docs, hs = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for k in range(0, len(docs), 500):
@@ -72,19 +80,83 @@ def _emit(length: int):
                         view = memoryview(raw)
                         a.append(g)
                         # the side on which the text ends first is part of the context
-                        c.append(np.array([xxhash.xxh3_64_intdigest(view[max(0, p - reach) : p + length], min(p, reach)) for p in at.tolist()], dtype=_U))
+                        c.extend([digest(view[max(0, p - reach) : p + length], min(p, reach)) for p in at.tolist()])
                         which.append(np.full(len(at), i))
                         where.append(at)
                 if a:
                     i = np.concatenate(which)
+                    both = np.frombuffer(b"".join(c), dtype="<i8").reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), pa.array(docs[i]), pa.array(hs[i].astype(np.int32)), pa.array(np.concatenate(where).astype(np.int32))],
-                        names=["a", "c", "doc", "h", "p"],
+                        [pa.array(np.concatenate(a).view(np.int64)), *[pa.array(np.ascontiguousarray(both[:, j])) for j in (0, 1)], pa.array(docs[i]), pa.array(hs[i].astype(np.int32)), pa.array(np.concatenate(where).astype(np.int32))],
+                        names=["a", "c", "d", "doc", "h", "p"],
                     )
 
     return run
 
 
+_ANCHOR = "a long, c long, d long, doc long, h int, p int"
+#: What the pass over a range tells: rows that repeat, contexts to compare, and the first and last anchor of the range.
+REPEATED, CONTEXT, END = 0, 1, 2
+
+
+def _told(kind: int, cols: list[np.ndarray], single: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(single), kind, dtype=np.int32)), *map(pa.array, cols), pa.array(single)], names=["kind", "a", "c", "d", "doc", "h", "p", "single"])
+
+
+def _step(held, same: bool, cols: list[np.ndarray], keys: int):
+    """Rows of which both neighbours are known: the held one and all new ones but the last.
+
+    Returns them, whether the first ``keys`` columns are those of the row before
+    and of the row after, and the new held row with the first of these two.
+    """
+    if held is not None:
+        cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+    after = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:keys]])
+    before = np.concatenate([[same], after])
+    return [c[:-1] for c in cols], before[:-1], after, [c[-1:] for c in cols], bool(before[-1])
+
+
+def _neighbours(batches):
+    """One range of sorted anchor rows to what they tell; only a row of either level is held between batches."""
+    row, row_same, rep, rep_same, first = None, False, None, False, None
+
+    def contexts(cols, before, after):
+        a, single = cols[0], cols[-1]
+        # groups of which all is seen and every context repeats have nothing left to find
+        group = np.cumsum(~before)
+        whole = np.ones(group[-1] + 1, dtype=bool)
+        whole[group[0]] &= not before[0]
+        whole[group[-1]] &= not after[-1]
+        dead = whole & (np.bincount(group, weights=single, minlength=len(whole)) == 0)
+        keep = (before | after) & ~dead[group] | (a == first)
+        return _told(CONTEXT, [c[keep] for c in cols[:-1]], single[keep])
+
+    def rows(cols, before, after):
+        nonlocal rep, rep_same
+        again = before | after
+        if again.any():
+            place = [c[again] for c in cols[3:]]
+            yield _told(REPEATED, [np.zeros(len(place[0]), dtype=np.int64)] * 3 + place, ~again[again])
+        new = [*[c[~before] for c in cols], ~after[~before]]
+        if len(new[0]):
+            *known, rep, rep_same = _step(rep, rep_same, new, 1)
+            if len(known[0][0]):
+                yield contexts(*known)
+
+    for batch in batches:
+        if len(batch):
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            first = cols[0][0] if first is None else first
+            *known, row, row_same = _step(row, row_same, cols, 3)
+            if len(known[0][0]):
+                yield from rows(*known)
+    if row is not None:
+        yield from rows(row, np.array([row_same]), np.array([False]))
+        yield _told(CONTEXT, rep[:-1], rep[-1])
+        ends = [np.array([x, y], dtype=c.dtype) for x, y, c in zip([first, 0, 0, 0, 0, 0], [row[0][0], 0, 0, 0, 0, 0], row, strict=True)]
+        yield _told(END, ends, np.array([False, False]))
+
+
 def _contexts(length: int):
     """(text, doc, h, reps) to the bytes of each wanted context, padded at the text's ends on the left."""
     reach = length - GRAM
@@ -223,19 +295,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     """Keys (doc, h) of the texts that hold repeated strings, with their spans (s, e), which may overlap."""
     keyed = _keyed(docs)
     reach = length - GRAM
-    rows = settle(keyed.select("text", "doc", "h").mapInArrow(_emit(length), "a long, c long, doc long, h int, p int"))
-    groups = settle(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("mixed")))
-    again = settle(rows.join(groups, "a"))
+    rows = settle(keyed.select("text", "doc", "h").mapInArrow(_emit(length), _ANCHOR))
+    order = ["a", "c", "d", "doc", "h", "p"]
+    told = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"kind int, {_ANCHOR}, single boolean"))
     unsettle(rows)
 
-    contexts = settle(again.filter("mixed").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "h", "p")).alias("rep")))
-    repeated = again.filter("not mixed").select("doc", "h", "p").unionByName(again.filter("mixed").join(contexts.filter("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("doc", "h", "p"))
+    # what touches the ends of a range is put together: two anchors for each range at most
+    ends = F.broadcast(told.filter(F.col("kind") == END).select("a").distinct())
+    contexts = told.filter(F.col("kind") == CONTEXT)
+    place = F.struct("doc", "h", "p")
+    joined = settle(
+        contexts.join(ends, "a", "left_semi").groupBy("a", "c", "d").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n"), F.min(place).alias("rep"), F.collect_list(F.when(F.col("single"), place)).alias("ones"))  # a context has one row in each range
+    )
+    repeated = told.filter(F.col("kind") == REPEATED).select("doc", "h", "p").unionByName(joined.filter("n > 1").select(F.explode("ones").alias("o")).select("o.*"))
     whole = repeated.select("doc", "h", F.greatest(F.col("p") - reach, F.lit(0)).alias("s"), (F.col("p") + length).alias("e"))
-
-    mixed = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("singles > 0").select("a", (F.col("k") > max_group).alias("huge"))
-    wanted = contexts.join(mixed, "a").select("a", "huge", (F.col("n") == 1).alias("single"), "rep.*")
+    mixed = F.broadcast(joined.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0").select("a"))
+    wanted = contexts.join(ends, "a", "left_anti").select("a", "single", "doc", "h", "p").unionByName(joined.join(mixed, "a", "left_semi").select("a", (F.col("n") == 1).alias("single"), "rep.*"))
     reps = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("a", "single", "p")).alias("reps"))  # of one text
-    huge = settle(mixed.filter("huge").select("a"))
+    huge = settle(wanted.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > max_group).select("a"))
     texts = settle(keyed.join(reps, ["doc", "h"]).select("text", "doc", "h", "reps").mapInArrow(_contexts(length), _CONTEXT))
     # a text that repeats under one key gives its contexts twice; one of them stands for all
     usual = texts if huge.isEmpty() else texts.join(huge, "a", "left_anti")
