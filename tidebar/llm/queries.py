@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from . import scratch
 from .chat import OP7_SQL, op7_chat_tool_links
 from .decontam import OP3_SQL, op3_benchmark_leaks
 from .embeddings import OP4_SQL, op4_embedding_near_dedup
@@ -13,6 +16,18 @@ from .repeats import op9_remove_repeats
 from .sharding import op10_kd_shards
 from .toxicity import op8_toxicity_scores
 
+
+
+def _tidy(query):
+    """The query's result as a table of its own, without its other scratch tables."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        return scratch.tidied(spark, lambda: query(spark, sf_dir))
+
+    return run
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -25,6 +40,7 @@ QUERIES = {
     "op9_remove_repeats": op9_remove_repeats,
     "op10_kd_shards": op10_kd_shards,
 }
+QUERIES = {name: _tidy(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,

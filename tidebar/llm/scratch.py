@@ -8,6 +8,7 @@ whole job.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def tidied(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, settled, with every other table that it has made dropped."""
+    with scope() as made:
+        out = settle(make())
+    drop(spark, made[:-1])
+    return out
+
+
 @contextmanager
 def scope():
     """Gather the scratch tables made inside, so the caller can drop them."""
@@ -57,4 +66,4 @@ def scope():
     try:
         yield made
     finally:
-        _SCOPES.remove(made)
+        _SCOPES[:] = [s for s in _SCOPES if s is not made]
