@@ -63,6 +63,47 @@ def test_packing_stage_and_run(spark, staged):
     assert total(cp.run(spark, d)) == total(out[5])
 
 
+def test_packed_pieces_are_the_documents_ids(staged):
+    """Every piece is cut from its document's ids as the tokenizer gives them, and every id is in one piece."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidebar.llm import packing
+
+    _, out = staged
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    left = {}
+    for r in out[4].collect():
+        left[r["doc_id"]] = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+    places = {}
+    total = 0
+    for r in out[5].collect():
+        ids = left[r["doc_id"]]
+        assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        total += r["length"]
+    assert total == sum(map(len, left.values()))
+    for pieces in places.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= packing.CAPACITY
+
+
+def test_run_leaves_one_table(spark):
+    import os
+
+    from tidebar.sources.scratch import shared_dir
+
+    d = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(d))
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and len(set(os.listdir(d)) - before) == 1
+
+
 def test_empty_and_odd_documents(spark, no_docs, odd_docs):
     d = "/root/testdata/sf0.001"
     for docs in (no_docs, odd_docs):
