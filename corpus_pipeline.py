@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from tidebar.llm import decontam, minhash, packing, quality, repeats, scratch
 from tidebar.llm.common import table
 
-_made: list[str] = []
+#: Scratch tables of the last stage by application and input, which its result still reads.
+_made: dict[tuple[str, str], list[str]] = {}
 
 
 def _staged(step):
     """A stage's scratch tables are dropped when the next stage starts: its result is written by then."""
 
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        done = list(_made)
-        _made.clear()
+        key = (spark.sparkContext.applicationId, sf_dir)
+        done = _made.pop(key, [])
         if step is not _keep_quality:
             scratch.drop(spark, done)
         with scratch.scope() as made:
             out = step(spark, docs, sf_dir)
-        _made.extend(made)
+        _made[key] = list(made)
         return out
 
     return stage
@@ -54,23 +55,24 @@ def _pack(spark, docs, sf_dir):
     return packing.pack(docs)
 
 
-STAGES = [
-    ("quality", _staged(_keep_quality)),
-    ("near_duplicates", _staged(_one_of_each)),
-    ("repeats", _staged(_cut_repeats)),
-    ("decontamination", _staged(_drop_leaks)),
-    ("packing", _staged(_pack)),
+_STEPS = [
+    ("quality", _keep_quality),
+    ("near_duplicates", _one_of_each),
+    ("repeats", _cut_repeats),
+    ("decontamination", _drop_leaks),
+    ("packing", _pack),
 ]
+STAGES = [(name, _staged(step)) for name, step in _STEPS]
 
 #: Tokenising and the classifier are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again; of all tables only the last result stays."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.settle(docs)
+    for k, (_, step) in enumerate(_STEPS):
+        before, docs = docs, scratch.tidied(spark, lambda step=step, docs=docs: step(spark, docs, sf_dir))
+        if k:
+            scratch.unsettle(before)
     return docs
