@@ -4,14 +4,19 @@ Vectors of one label are sorted along the first of ``PROJECTIONS`` random
 directions and dealt into blocks of at most ``BLOCK`` rows; two blocks are
 compared only if their ranges come within a wide window of each other, so no
 label is ever gathered, and a hot one is many block pairs.  In a block pair
-every vector is a query: along each direction it collides with the vectors in
-the window centred on it.  Pairs are verified by cosine in double precision
-when their collisions reach the calibrated count.
+every vector is a query: each projection of the other block is sorted once, the
+vectors in the window centred on the query collide with it, and only these
+collisions are written down and counted by pair.  Pairs are verified by cosine
+in double precision when their collisions reach the calibrated count.
 
 Calibration: at the threshold t, two unit vectors differ along a Gaussian
-direction by a normal variable of variance 2 - 2t.  The window is three of its
-standard deviations, and the count is the largest that a pair at t reaches with
-probability 1 - ``MISS`` at least; the block window is seven deviations.
+direction by a normal variable of variance 2 - 2t.  The half-window is
+``WINDOW`` of its standard deviations, in which every sixth of unrelated vectors
+falls; the count is the largest that a pair at t reaches with probability
+1 - ``MISS`` at least, which a few in a hundred unrelated pairs do.  The block
+window is seven deviations.  In directions of many dimensions no window shuts
+out all but a fixed part of unrelated vectors, so work grows with the square of
+a label, a fiftieth of a dimension's product for each pair.
 
 Equal vectors of a label are one node with a multiplicity.  A block pair returns
 sums of links and one link to the least partner of each connected part, so
@@ -37,7 +42,8 @@ from .scratch import settle
 
 SIMILARITY = 0.98
 PROJECTIONS = 24
-BLOCK = 1024
+WINDOW = 1.5
+BLOCK = 2048
 MISS = 1e-9
 SEED = 11
 
@@ -45,14 +51,14 @@ SEED = 11
 def calibration(similarity: float, projections: int = PROJECTIONS, miss: float = MISS) -> tuple[float, int]:
     """Half-width of the windows and the collisions to ask for."""
     sigma = math.sqrt(max(2 - 2 * similarity, 1e-12))
-    p = math.erf(3 / math.sqrt(2))
+    p = math.erf(WINDOW / math.sqrt(2))
     tail, count = 0.0, 0
     while count < projections:
         tail += math.comb(projections, count) * p**count * (1 - p) ** (projections - count)
         if tail > miss:
             break
         count += 1
-    return 3 * sigma, count
+    return WINDOW * sigma, count
 
 
 def _directions(d: int) -> np.ndarray:
@@ -121,20 +127,27 @@ def links_between(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.n
     width, need = calibration(similarity)
     ux, uy = _unit(x), _unit(y)
     a = _directions(x.shape[1])
-    px, py = (ux @ a).astype(np.float32), (uy @ a).astype(np.float32)
-    hits = np.zeros((len(x), len(y)), dtype=np.uint8)
-    for k in range(PROJECTIONS):
-        order = np.argsort(py[:, k], kind="stable")
-        along = py[order, k]
-        lo, hi = np.searchsorted(along, px[:, k] - np.float32(width)), np.searchsorted(along, px[:, k] + np.float32(width), side="right")
-        inside = (np.arange(len(y)) >= lo[:, None]) & (np.arange(len(y)) < hi[:, None])
-        hits[:, order] += inside
-    i, j = np.nonzero(hits >= need)
+    px, py = (ux @ a).T, (uy @ a).T
+    order = np.argsort(py, axis=1)
+    sorted_ = np.take_along_axis(py, order, axis=1)
+    lo, hi = (np.stack([np.searchsorted(row, at + d, side=side) for row, at in zip(sorted_, px, strict=True)], axis=1).tolist() for d, side in ((-width, "left"), (width, "right")))
+    rows = list(order)
+    mine, theirs = [], []
+    for q, (starts, ends) in enumerate(zip(lo, hi, strict=True)):
+        # what collides along one direction stands in a row of its sorted order
+        hits = np.bincount(np.concatenate([row[s:e] for row, s, e in zip(rows, starts, ends, strict=True)]), minlength=1)
+        some = np.flatnonzero(hits >= need)
+        if len(some):
+            mine.append(np.full(len(some), q))
+            theirs.append(some)
+    if not mine:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(mine), np.concatenate(theirs)
     keep = np.zeros(len(i), dtype=bool)
-    for k in range(0, len(i), 100_000):
-        s, t = i[k : k + 100_000], j[k : k + 100_000]
-        norms = np.sqrt((x[s] * x[s]).sum(1)) * np.sqrt((y[t] * y[t]).sum(1))
-        keep[k : k + 100_000] = (x[s] * y[t]).sum(1) / norms >= similarity
+    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+    for k in range(0, len(i), 20_000):
+        s, t = i[k : k + 20_000], j[k : k + 20_000]
+        keep[k : k + 20_000] = (x[s] * y[t]).sum(1) / (nx[s] * ny[t]) >= similarity
     return i[keep], j[keep]
 
 
