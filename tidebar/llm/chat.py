@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import number_within, table
+from .common import number_sorted, table
 from .scratch import settle, unsettle
 
 #: Types that a schema may name.
@@ -109,10 +109,9 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.col(c).cast("string").alias(c) for c in ("role", "text", "own_id", "follows_id", "tool", "arguments")]
     )
     content = F.xxhash64("role", "text", "own_id", "follows_id", "tool", "arguments")
-    m = settle(m.withColumn("c", content).withColumn("salt", F.pmod("c", F.lit(64))))
+    m = settle(m.withColumn("c", content))
     # equal rows get numbers of their own, so that every row has a key
-    same = ["conv_id", "turn", "c"]
-    m = settle(number_within(m, same, ["salt"], "copy")).withColumn("key", F.concat_ws(":", "turn", "c", "copy"))
+    m = settle(number_sorted(m, ["conv_id", "turn", "c"], [], "copy")).withColumn("key", F.concat_ws(":", "turn", "c", "copy"))
     meant = settle(m.filter("own_id is not null and conv_id is not null").groupBy("conv_id", F.col("own_id").alias("id")).agg(F.min(F.struct("turn", "c", "copy", "key")).alias("who")).select("conv_id", "id", F.col("who.key").alias("parent"), F.col("who.turn").alias("parent_turn")))
     linked = m.join(meant.withColumnRenamed("id", "follows_id"), ["conv_id", "follows_id"], "left")
     owner = meant.select("conv_id", F.col("id").alias("own_id"), F.col("parent").alias("owner"))
@@ -146,20 +145,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         .otherwise("root")
     )
     whole = settle(whole.withColumn("w", written("role", "text", "own_id", "follows_id", "tool", "arguments")).select("conv_id", "top", "depth", "turn", "c", "copy", "role", status.alias("status"), "parent_turn", "w.arguments_error", "w.json"))
-    return _positions(whole).select("conv_id", "position", "turn", "role", "status", "parent_turn", "arguments_error", "json")
-
-
-def _positions(rows: DataFrame, width: int = 1024) -> DataFrame:
-    """Number rows within conversations by (top, depth, turn, c, copy), in stretches of ``width`` turns."""
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("stretch", F.floor(F.col("top") / width))
-    part = [F.col("conv_id"), F.col("stretch")]
-    w = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = settle(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(w), F.lit(0))).select(F.col("conv_id").alias("_c"), F.col("stretch").alias("_s"), "shift"))
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("top", "depth", "turn", "c", "copy")))
-    on = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("stretch").eqNullSafe(F.col("_s"))
-    return numbered.join(shifts, on, "left").withColumn("position", F.col("shift") + F.col("r") - 1)
+    return number_sorted(whole, ["conv_id"], ["top", "depth", "turn", "c", "copy"], "position").select("conv_id", "position", "turn", "role", "status", "parent_turn", "arguments_error", "json")
 
 
 #: The tool that op7 sees in plain conversations.

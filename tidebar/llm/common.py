@@ -33,15 +33,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Add ``out``: gapless numbers from 0 within each key, without gathering a key.
+def number_within(df: DataFrame, keys: list[str], by: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out`` for ``by``: gapless numbers from 0 within each key, in no order of their own, without gathering a key.
 
-    A key's rows are dealt over salts by a hash of ``order``; rows are numbered
-    within (key, salt) and shifted by the running count of the salts before.
-    ``df`` must be settled or deterministic.  Null keys form a group.
+    A key's rows are dealt over salts by the number ``by``, which must differ
+    between equal rows, or a hot one would be gathered; rows are numbered within
+    (key, salt) in ``order`` and shifted by the running count of the salts
+    before.  ``df`` must be settled.  Null keys form a group.
     """
     salts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).drop(by)
     ks = [*keys, "_salt"]
     counts = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,6 +56,25 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     return joined.withColumn(out, (F.col("_r") - 1 + F.col("_shift")).cast("long")).select(*[c for c in df.columns if c != "_salt"], out)
 
 
+def number_sorted(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: gapless numbers from 0 within each key by ``order``, without gathering a key.
+
+    Rows are dealt by ranges of (keys, order, row), so that neither a key nor
+    equal rows meet in one task, and written in that order; a row's number is its
+    place in its range, shifted by what the ranges before hold of its key.
+    ``df`` must be settled.  Null keys form a group.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    by = [*keys, *order, "_row"]
+    rows = settle(rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_row").withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    bases = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), (F.col("_first") - F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_base"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(bases, [*on, F.col("_range") == F.col("_r")]).withColumn(out, (F.col("_at") - F.col("_base")).cast("long")).select(*df.columns, out)
+
+
 def _forest(batches):
     """Union-find over one partition's edges: (node, smallest node) stars."""
     parent: dict[int, int] = {}
@@ -81,17 +101,23 @@ def _forest(batches):
         yield pdf[pdf.a != pdf.b]
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node is either a centre or has one link, to its centre; centres are counted with map-side combination."""
+    ends = e.select(F.col("a").alias("n"), F.lit(0).alias("k")).unionByName(e.select(F.col("b").alias("n"), F.lit(1).alias("k")))
+    return ends.groupBy("n").agg(F.sum("k").alias("links"), F.min("k").alias("least")).filter("links > 1 or links = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long): rows (id, component), smallest id.
 
-    Alternating large-star and small-star steps, each settled in the shared
-    folder, until the edge set stops changing; only a count and a hash sum come
-    to the driver.  Nodes without an edge to another node are not listed.
+    Union-find within partitions, then alternating large-star and small-star
+    steps, each settled in the shared folder, until only stars are left; nothing
+    but the answer whether that is so comes to the driver.  Nodes without an
+    edge to another node are not listed.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     e = settle(e.mapInPandas(_forest, "a long, b long").distinct())
-    before = None
-    while True:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
@@ -99,8 +125,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("b", "a")).alias("b")).filter("a <> b")
         e = settle(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return e.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -169,7 +169,7 @@ def stretches(sizes: list[int], most: int = CHUNK_BYTES):
         yield first, len(sizes)
 
 
-_PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
+_PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long, nth int"
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -194,8 +194,8 @@ def _cut(path: str, capacity: int, end_id: int):
                 first = 4 * (bounds[of] + start)
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(of)), pa.array(total[of]), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())],
-                    names=["doc_id", "doc_tokens", "start", "length", "ids_crc32"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(of)), pa.array(total[of]), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64()), pa.array(np.arange(len(of), dtype=np.int32))],
+                    names=["doc_id", "doc_tokens", "start", "length", "ids_crc32", "nth"],
                 )
 
     return run
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         nth = rank - at[:, 1]
         return pd.DataFrame({"sequence_id": at[:, 3] + nth // at[:, 2], "offset": at[:, 4] + nth % at[:, 2] * size})
 
-    ranked = number_within(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "_rank")
+    ranked = number_within(pieces, ["length"], "nth", ["doc_id", "start", "ids_crc32"], "_rank")
     return ranked.withColumn("_at", place("length", "_rank")).select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset")
     )

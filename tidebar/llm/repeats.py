@@ -48,7 +48,7 @@ from .scratch import settle, unsettle
 
 LENGTH = 200
 #: Contexts of one anchor that one task may hold.
-MAX_GROUP = 100_000
+MAX_GROUP = 8192
 #: Contexts that are indexed together, when groups are small.
 BATCH = 8192
 

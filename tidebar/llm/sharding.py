@@ -4,7 +4,8 @@ A shard tree over text metadata (bytes, characters per byte, words per
 character): every node is cut along its widest dimension at the point that
 halves its bytes, until the leaves reach the target.  The median is found by
 radix selection: each pass sums bytes by the next 12 bits of the sort key for
-all nodes of a level at once, so the driver sees at most nodes x 4096 sums.
+all nodes of a level at once, so the driver sees at most nodes x 4096 sums; once
+few rows are left to choose from, their whole keys are summed at once.
 
 Equal texts have equal coordinates and an equal hash in the low bits of the
 key, so a group of copies stays on one side of every cut.  Only a group heavier
@@ -29,6 +30,8 @@ from .scratch import settle
 DIMENSIONS = ["d_bytes", "d_script", "d_words"]
 DIM_BITS, HASH_BITS, CHUNK_BITS, DIGIT = 20, 28, 12, 12
 KEY_BITS = DIM_BITS + HASH_BITS + CHUNK_BITS
+#: So many rows of a node may send their keys to the driver.
+FEW = 50_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -65,8 +68,10 @@ def _chunked(points: DataFrame, target: float, tolerance: float) -> DataFrame:
 def cut(points: DataFrame, shards: int) -> Column:
     """The leaf number of each point as an expression; ``shards`` is a power of two.
 
-    ``points`` has size, chunk, h and the dimensions, and is settled: it is
-    scanned once for the extents and KEY_BITS / DIGIT times for each level.
+    ``points`` has size, chunk, h and the dimensions, and is settled.  Each level
+    scans it once for the extents, then for one digit of the keys after another,
+    until what is left of every node is at most ``FEW`` rows, whose whole keys
+    are summed in one last scan.
     """
     node = F.lit(0)
     for level in range(int(math.log2(shards))):
@@ -80,16 +85,20 @@ def cut(points: DataFrame, shards: int) -> Column:
             key = F.when(node == n, _key(d)).otherwise(key)
         keyed = points.select("size", node.alias("node"), key.alias("key"))
         below, prefix = dict.fromkeys(widest, 0), dict.fromkeys(widest, 0)
-        for shift in range(KEY_BITS - DIGIT, -1, -DIGIT):
+        known, left = KEY_BITS, None  # bits not yet known, rows of the greatest node that they leave
+        while known:
+            shift = 0 if left is not None and left <= FEW else known - DIGIT
             inside = F.lit(False)
             for n, p in prefix.items():
-                inside = inside | ((F.col("node") == n) & (F.shiftright("key", shift + DIGIT) == p))
-            sums: dict[int, list[tuple[int, int]]] = {}
-            for r in keyed.filter(inside).groupBy("node", F.pmod(F.shiftright("key", shift), F.lit(2**DIGIT)).alias("digit")).agg(F.sum("size").alias("w")).collect():  # nodes x 4096 rows at most
-                sums.setdefault(r["node"], []).append((r["digit"], r["w"]))
+                inside = inside | ((F.col("node") == n) & (F.shiftright("key", known) == p))
+            sums: dict[int, list[tuple[int, int, int]]] = {}
+            digit = F.shiftright("key", shift) - F.shiftleft(F.shiftright("key", known), known - shift)
+            for r in keyed.filter(inside).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows")).collect():  # nodes x 4096 or nodes x FEW rows at most
+                sums.setdefault(r["node"], []).append((r["digit"], r["w"], r["rows"]))
+            bits, known, left = known - shift, shift, 0
             for n, digits in sums.items():
                 run = below[n]
-                for digit, w in sorted(digits):
+                for digit, w, rows in sorted(digits):
                     last = run + w >= total[n] / 2
                     # at the last digit the nearer of the two sides of this key is taken
                     if last and (shift or abs(run + w - total[n] / 2) <= abs(run - total[n] / 2) or not run):
@@ -98,7 +107,7 @@ def cut(points: DataFrame, shards: int) -> Column:
                         digit -= 1
                         break
                     run += w
-                below[n], prefix[n] = run, (prefix[n] << DIGIT) + digit
+                below[n], prefix[n], left = run, (prefix[n] << bits) + digit, max(left, rows)
         side = F.lit(1)
         for n, d in widest.items():
             side = F.when((node == n) & (_key(d) <= prefix[n]), F.lit(0)).otherwise(side)
@@ -118,8 +127,8 @@ def shard(docs: DataFrame, shards: int | None = 8, tolerance: float = 0.0005, ta
     if not shards or shards & (shards - 1):
         raise ValueError(f"{shards} shards are no power of two")
     points = settle(_chunked(points, total / shards, tolerance))
-    dealt = settle(points.select("doc_id", "size", "text_crc32", "h", cut(points, shards).cast("int").alias("shard")))
-    return number_within(dealt, ["shard"], ["h", "doc_id"], "slot").select(
+    dealt = settle(points.select("doc_id", "size", "text_crc32", "h", cut(points, shards).cast("int").alias("shard"), F.monotonically_increasing_id().alias("nth")))
+    return number_within(dealt, ["shard"], "nth", ["h", "doc_id"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
