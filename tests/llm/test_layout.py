@@ -8,7 +8,7 @@ import pytest
 from corpus_words import prose
 
 from tidebar.llm import chat, packing, sharding
-from tidebar.llm.common import number_within
+from tidebar.llm.common import number_sorted, number_within
 
 DOCS = "doc_id long, text string"
 
@@ -101,10 +101,30 @@ def test_shards(spark, odd_docs, no_docs, clashing):
 
 def test_numbers_within_are_gapless(spark):
     rows = [(rng := i % 3, i, i % 5) for i in range(1000)] + [(None, 1, 1), (None, 1, 1)]
-    out = number_within(spark.createDataFrame(rows, "k int, i int, z int"), ["k"], ["i"], "n").toPandas()
+    rows += [(1, 5, 0)] * 300
+    df = spark.createDataFrame([(*r, u) for u, r in enumerate(rows)], "k int, i int, z int, u int")
+    out = number_within(df, ["k"], "u", ["i"], "n").toPandas()
     for _, part in out.groupby("k", dropna=False):
         assert sorted(part.n) == list(range(len(part)))
-    assert rng == 0
+    assert rng == 0 and list(out.columns) == ["k", "i", "z", "n"]
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(50), "x") for k in [None, 1, 2] for _ in range(400)] + [(1, 7, "y")] * 300
+    rng.shuffle(rows)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = number_sorted(spark.createDataFrame(rows, "k int, i int, z string").repartition(5), ["k"], ["i"], "n").toPandas()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(out) == len(rows)
+    for _, part in out.groupby("k", dropna=False):
+        by = part.sort_values("n")
+        assert by.n.tolist() == list(range(len(part))) and by.i.is_monotonic_increasing
 
 
 MESSAGES = "conv_id long, turn long, role string, text string, own_id string, follows_id string, tool string, arguments string, extra int"
