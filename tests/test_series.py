@@ -29,6 +29,40 @@ def test_ema_gap(spark):
     assert out.filter(F.isnan("e1")).count() == 0  # missing is NULL, never NaN
 
 
+def test_recursions_over_small_batches(spark):
+    """Batches of seven bars against the whole series at once, with gaps that span batches."""
+    import random
+
+    rng = random.Random(3)
+    closes = [None if rng.random() < 0.3 or 40 < i < 60 else rng.uniform(1, 9) for i in range(150)]
+    df = bars(spark, closes).unionByName(bars(spark, [None, None, 4.0, *closes[:90]], symbol="b")).repartition(3)
+    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = recursions(df.withColumn("volume", F.lit(0.25)), wanted).toPandas().sort_values(["symbol", "ts"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == 243
+    for _, part in out.groupby("symbol"):
+        x = part["close"].astype("float64").reset_index(drop=True)
+        e, w = (x.ewm(alpha=a, adjust=False, min_periods=n).mean() for a, n in ((0.2, 9), (0.2, 5)))
+        m = (e - w) / part["open"].astype("float64").reset_index(drop=True) * 100
+        for name, want in (("e", e), ("w", w), ("m", m), ("ms", m.ewm(alpha=0.4, adjust=False, min_periods=4).mean())):
+            pd.testing.assert_series_equal(part[name].astype("float64").reset_index(drop=True), want, check_names=False)
+        prev, vma = None, []
+        for v in x:
+            prev = prev if math.isnan(v) else v if prev is None else 0.25 * v + 0.75 * prev
+            vma.append(math.nan if math.isnan(v) else prev)
+        pd.testing.assert_series_equal(part["v"].astype("float64").reset_index(drop=True), pd.Series(vma), check_names=False)
+
+
+def test_recursions_reuse_the_partitioning_of_windows(spark):
+    df = bars(spark, [1.0, 2.0]).repartition("symbol").withColumn("s", frames.sma("close", 2))
+    plan = recursions(df, [Series("e", "ema", "close", 2)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") == 1
+
+
 def test_windows_need_all_values(spark):
     df = bars(spark, [1.0, None, 3.0, 4.0, 5.0])
     assert column(df.withColumn("v", frames.sma("close", 3)), "v") == [None, None, None, None, 4.0]

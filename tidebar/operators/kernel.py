@@ -1,8 +1,10 @@
-"""The one grouped-map kernel: linear recursions along a symbol's bars.
+"""The one Python kernel: linear recursions along a symbol's bars.
 
 All recursive series that a job needs are asked for in one call, so bars cross
-to Python once.  A group is one symbol's trailing window, whose length the
-timeframe bounds; symbols run in parallel.
+to Python once.  Symbols run in parallel; a symbol's bars come in order of time
+in batches, and only the state of each series (its last value, the bars since
+then and how many it has seen) is carried from one batch to the next, so memory
+does not grow with the history.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -31,44 +34,84 @@ class Series:
     over: str = ""
 
 
-def smooth(x: pd.Series, alpha: float, n: int) -> pd.Series:
-    """Exponential mean seeded with the first value, from the n-th value on."""
-    return x.ewm(alpha=alpha, adjust=False, min_periods=n).mean()
+class Smooth:
+    """Exponential mean seeded with the first value, from the n-th value on; over k missing bars the old value weighs (1 - alpha)^(k + 1) against alpha."""
 
+    #: After so many missing bars nothing of the old value is left.
+    GAP = 5000
 
-def adaptive(price: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    out, prev = np.full(len(price), np.nan), np.nan
-    for i in range(len(price)):
-        if not np.isnan(price[i]):
-            w = 0.0 if np.isnan(weight[i]) else weight[i]
-            prev = price[i] if np.isnan(prev) else w * price[i] + (1 - w) * prev
-            out[i] = prev
-    return out
+    def __init__(self, alpha: float, n: int):
+        self.alpha, self.n, self.value, self.gap, self.seen = alpha, n, np.nan, 0, 0
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        head = np.full(1 + min(self.gap, self.GAP), np.nan) if self.seen else np.zeros(0)
+        head[:1] = self.value
+        out = pd.Series(np.concatenate([head, x])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(head) :]
+        known = ~np.isnan(x)
+        seen = self.seen + np.cumsum(known)
+        if known.any():
+            last = np.flatnonzero(known)[-1]
+            self.value, self.gap = out[last], len(x) - 1 - last
+        else:
+            self.gap += len(x)
+        self.seen = int(seen[-1]) if len(x) else self.seen
+        return np.where(seen >= self.n, out, np.nan)
 
-def _one(pdf: pd.DataFrame, s: Series) -> np.ndarray:
-    x = pdf[s.source].astype("float64")
-    if s.kind == "ema":
-        return smooth(x, 2 / (s.n + 1), s.n).to_numpy()
-    if s.kind == "wilder":
-        return smooth(x, 1 / s.n, s.n).to_numpy()
-    if s.kind == "vma":
-        return adaptive(x.to_numpy(), pdf[s.by].to_numpy("float64"))
-    over = pdf[s.over].astype("float64").replace(0.0, np.nan)
-    return ((x - pdf[s.by]) / over * 100).to_numpy()
+
+class Adaptive:
+    """Mean whose weight changes from bar to bar; the first value stands as it is."""
+
+    def __init__(self) -> None:
+        self.value = np.nan
+
+    def __call__(self, price: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out, prev = np.full(len(price), np.nan), self.value
+        for i in range(len(price)):
+            if not np.isnan(price[i]):
+                w = 0.0 if np.isnan(weight[i]) else weight[i]
+                prev = price[i] if np.isnan(prev) else w * price[i] + (1 - w) * prev
+                out[i] = prev
+        self.value = prev
+        return out
+
+
+class States:
+    """The states of all wanted series of one symbol."""
+
+    def __init__(self, wanted: list[Series]):
+        makers = {"ema": lambda s: Smooth(2 / (s.n + 1), s.n), "wilder": lambda s: Smooth(1 / s.n, s.n), "vma": lambda s: Adaptive(), "macdv": lambda s: None}
+        self.steps = [(s, makers[s.kind](s)) for s in wanted]
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        made: dict[str, np.ndarray] = {}
+        column = lambda c: made[c] if c in made else pdf[c].to_numpy("float64", na_value=np.nan)
+        for s, state in self.steps:
+            x = column(s.source)
+            if s.kind == "macdv":
+                over = column(s.over)
+                made[s.out] = (x - column(s.by)) / np.where(over == 0, np.nan, over) * 100
+            else:
+                made[s.out] = state(x, column(s.by)) if s.kind == "vma" else state(x)
+        return pdf.assign(**{c: pd.Series(v, index=pdf.index).astype(object).where(~np.isnan(v), None) for c, v in made.items()})
 
 
 def recursions(df: DataFrame, wanted: list[Series], key: str = "symbol") -> DataFrame:
     """``df`` with the wanted series as doubles, NULL where undefined; equal requests are computed once."""
     wanted = list(dict.fromkeys(wanted))
     schema = T.StructType([*df.schema.fields, *[T.StructField(s.out, T.DoubleType()) for s in wanted]])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        for s in wanted:
-            pdf[s.out] = _one(pdf, s)
-        for s in wanted:
-            pdf[s.out] = pdf[s.out].astype(object).where(pdf[s.out].notna(), None)
-        return pdf
-
-    return df.groupBy(key).applyInPandas(run, schema)
+    columns = df.columns
+
+    def run(batches):
+        states = None
+        for pdf in batches:
+            numbers = pdf["_nth"].to_numpy()
+            starts = np.flatnonzero(numbers == 1)  # a symbol's first bar
+            cuts = np.unique(np.concatenate([[0], starts, [len(pdf)]]))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if numbers[a] == 1:
+                    states = States(wanted)
+                yield states(pdf.iloc[a:b][columns])
+
+    # the number clusters symbols and orders their bars, and where that is so already it costs no exchange and no sort
+    numbered = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("ts"))).sortWithinPartitions(key, "ts")
+    return numbered.mapInPandas(run, schema)
