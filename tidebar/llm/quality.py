@@ -208,8 +208,9 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     y = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     n = y.count()
     share = min(1.0, 2 * MAX_LABELLED / max(1, n))
-    ids = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share).select("doc_id").distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # 2 * MAX_LABELLED ids at most
+    ids = settle(y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share).select("doc_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= 4 * MAX_LABELLED else ids  # a sample of about 2 * MAX_LABELLED ids, counted
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     model = fit(settle(labelled(settle(measure(some)), y, "quality")))
 
     @F.pandas_udf("double")

@@ -8,7 +8,7 @@ entry must beat chance by more than the number of candidates tried.  Hits must
 start at a word boundary (whole words also end at one).  A hit inside an
 exception phrase does not count: a hit with the word before or after it is an
 exception if documents that hold this phrase are rather clean; these are
-learned, too.  The summed weight is normalised by length and calibrated by
+learned, besides a few that are given.  The summed weight is normalised by length and calibrated by
 isotonic regression.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1,
@@ -59,6 +59,8 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: Signs that stand for letters between letters.
 SIGNS = {"@": "a", "$": "s", "!": "i"}
+#: Phrases in which a lexicon word is harmless, whatever the labels show.
+EXCEPTIONS = ("clown fish", "trash bin", "trash can", "trash collection")
 
 
 def _folding() -> dict[int, str]:
@@ -250,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     learned = train.filter(~calibrates).select("text", "y")
     lexicon = learn(learned)
-    exceptions = learn_exceptions(learned, lexicon)
+    exceptions = (*EXCEPTIONS, *learn_exceptions(learned, lexicon))
     knots = isotonic(train.filter(calibrates).select("text", "y").mapInArrow(_densities(lexicon, ["y"], exceptions), "y int, density double"), "density", "y", LOW, HIGH)
     densities = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_densities(lexicon, ["doc_id"], exceptions), "doc_id long, density double")
 
