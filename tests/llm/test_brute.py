@@ -11,7 +11,7 @@ import pytest
 from corpus_words import prose
 from pyspark.sql import functions as F
 
-from tidebar.llm import decontam, licenses, quality, sharding, toxicity
+from tidebar.llm import chat, decontam, licenses, quality, sharding, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -213,3 +213,53 @@ def test_leaks_odd_rows_and_the_sql(spark, clashing):
     want = {(r[0], r[1]): tuple(r[2:]) for r in c.sql("select doc_id, item_id, score, question_overlap, answer_overlap, first_word from (" + decontam.OP3_SQL + ")").fetchall()}
     mine = {(r["doc_id"], r["item_id"]): tuple(round(x, 9) for x in r[2:]) for r in decontam.contamination(spark.createDataFrame(one_d, DOCS), spark.createDataFrame(one_b, "item_id long, text string")).collect()}
     assert mine.keys() == want.keys() and all(np.allclose(mine[k], want[k], atol=2e-9) for k in want) and len(want) > len(short)
+
+
+# ---- chats: every message followed to its root by hand
+def brute_chat(rows, schemas):
+    by_turn, owner = {}, {}
+    for conv, turn, *_ in rows:
+        by_turn.setdefault(conv, {})[turn] = None
+    for r in sorted(rows, key=lambda r: r[1]):
+        by_turn[r[0]][r[1]] = r
+        if r[4] is not None:
+            owner.setdefault((r[0], r[4]), r[1])
+    out = {}
+    for conv, messages in by_turn.items():
+        parent = {t: owner.get((conv, r[5])) if r[5] is not None else None for t, r in messages.items()}
+        keys = {}
+        for t in messages:
+            # a message that names itself follows nothing, but is linked
+            path, at = [t], parent[t]
+            while at is not None and at not in path and at != path[-1]:
+                path.append(at)
+                at = parent[at] if parent[at] != at else None
+            cyclic = at is not None and at in path and parent[t] != t
+            keys[t] = (t, 0, t, cyclic) if cyclic else (max(path), len(path) - 1, t, False)
+        for place, t in enumerate(sorted(messages, key=lambda t: keys[t][:3])):
+            r = messages[t]
+            status = "cycle" if keys[t][3] else "repeated id" if r[4] is not None and owner[conv, r[4]] != t else "orphan" if r[5] is not None and parent[t] is None else "linked" if parent[t] is not None else "root"
+            wrong = None if r[6] is None else chat.check_arguments(r[7], schemas.get(r[6])) or None
+            out[conv, t] = (place, status, parent[t], wrong)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chats_against_following_every_link(spark, seed):
+    rng = random.Random(seed)
+    schemas = {"add": {"required": ["x"], "properties": {"x": "integer", "s": "string"}}, "any": {"additional": True}}
+    rows = []
+    for conv in range(12):
+        n = rng.choice([1, 5, 40, 90])
+        for t in range(n):
+            own = rng.choice([None, f"m{t}", f"m{rng.randrange(n)}"])
+            follows = rng.choice([None, f"m{rng.randrange(n)}", f"m{max(0, t - 1)}", f"m{t + 1}", "nobody"])
+            tool = rng.choice([None, "add", "any", "other"])
+            args = rng.choice(['{"x": 1}', '{"x": "1"}', '{"x": 2, "s": "y"}', '{"y": 1}', "[]", "{", None, '{"x": 1.5}', '{"x": true}'])
+            rows.append((conv, t, rng.choice(["user", "assistant", "tool", None]), rng.choice([None, "", "text"]), own, follows, tool, args))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, own_id string, follows_id string, tool string, arguments string").repartition(4)
+    got = {(r["conv_id"], r["turn"]): (r["position"], r["status"], r["parent_turn"], r["arguments_error"]) for r in chat.format_chats(df, schemas).collect()}
+    want = brute_chat(rows, schemas)
+    assert got == want
+    assert {"cycle", "repeated id", "orphan", "linked", "root"} <= {v[1] for v in want.values()}
