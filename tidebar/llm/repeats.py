@@ -21,7 +21,7 @@ Which strings of ``length`` bytes start at two places of the corpus?
    shares, for all alignments that hold the anchor, which is exactly all.
 
 A group of contexts with one anchor goes to one task up to ``MAX_GROUP``
-contexts (some 3 MB), so that a line that stands between different neighbours in
+contexts (some 40 MB), so that a line that stands between different neighbours in
 a third of all documents is not gathered; larger groups take a path of the same
 result: a hash of each of their windows, counted with map-side combination.
 Contexts are told apart by 128 bits of hash beside the anchor's 64, windows of
@@ -48,7 +48,7 @@ from .scratch import settle, unsettle
 
 LENGTH = 200
 #: Contexts of one anchor that one task may hold.
-MAX_GROUP = 8192
+MAX_GROUP = 100_000
 #: Contexts that are indexed together, when groups are small.
 BATCH = 8192
 
