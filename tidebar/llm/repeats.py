@@ -23,7 +23,9 @@ Which strings of ``length`` bytes start at two places of the corpus?
 A group of contexts with one anchor goes to one task up to ``MAX_GROUP``
 contexts (some 40 MB), so that a line that stands between different neighbours in
 a third of all documents is not gathered; larger groups take a path of the same
-result: a hash of each of their windows, counted with map-side combination.
+result: first a hash of what all windows of a quarter of the starts hold, which
+leaves out contexts that share no more than the line, then a hash of each window
+of the others, both counted with map-side combination.
 Contexts are told apart by 128 bits of hash beside the anchor's 64, windows of
 large groups by 64 beside the anchor and the place.
 
@@ -49,6 +51,8 @@ from .scratch import settle, unsettle
 LENGTH = 200
 #: Contexts of one anchor that one task may hold.
 MAX_GROUP = 100_000
+#: Parts of the window starts of a context in a larger group.
+STRETCHES = 4
 #: Contexts that are indexed together, when groups are small.
 BATCH = 8192
 
@@ -271,18 +275,50 @@ def _index(length: int, batch_rows: int = BATCH):
     return run
 
 
-def _window_hashes(length: int):
-    """Contexts of a huge group to a row for each of their windows."""
+def _stretches(length: int) -> list[tuple[int, int]]:
+    """First and last column of the window starts, in ``STRETCHES`` parts."""
     reach = length - GRAM
+    step = -(-(reach + 1) // STRETCHES)
+    return [(s, min(s + step - 1, reach)) for s in range(0, reach + 1, step)]
+
+
+def _cores(length: int):
+    """Contexts of a huge group to a row for each stretch of window starts: a hash of the bytes that all these windows hold."""
+    parts = _stretches(length)
+
+    def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            rows = []
+            for a, _, doc, h, p, pad, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                for k, (lo, hi) in enumerate(parts):
+                    # where the text is too short for any window of the stretch there is none
+                    if max(lo, pad) <= min(hi, pad + len(raw) - length):
+                        rows.append((a, k, digest(raw[hi - pad : lo - pad + length]), doc, h, p))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(np.array(cols[2], dtype=_U).view(np.int64)), pa.array(cols[3]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())],
+                    names=["a", "k", "core", "doc", "h", "p"],
+                )
+
+    return run
+
+
+def _window_hashes(length: int):
+    """Contexts of a huge group to a row for each window of the stretches ``ks``."""
+    reach, parts = length - GRAM, _stretches(length)
 
     def run(batches):
         for batch in batches:
-            for a, single, doc, h, p, pad, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                n = len(raw) - length + 1
-                if n > 0:
-                    sums, down = prefix_sums(np.frombuffer(raw, dtype=np.uint8))
-                    w = mix((sums[length:] - sums[:-length]) * down[:n]).view(np.int64)
-                    off = np.arange(pad, pad + n, dtype=np.int32)
+            for a, single, doc, h, p, pad, raw, ks in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                sums, down = prefix_sums(np.frombuffer(raw, dtype=np.uint8))
+                for lo, hi in (parts[k] for k in ks):
+                    off = np.arange(max(lo, pad), min(hi, pad + len(raw) - length) + 1, dtype=np.int32)
+                    n, at = len(off), off - pad
+                    w = mix((sums[at + length] - sums[at]) * down[at]).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, a)), pa.array(np.full(n, single)), pa.array(np.full(n, doc)), pa.array(np.full(n, h, dtype=np.int32)), pa.array(off), pa.array(w), pa.array((p - reach + off).astype(np.int32))],
                         names=["a", "single", "doc", "h", "off", "w", "s"],
@@ -319,7 +355,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = usual.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), _SPAN)
     if usual is not texts:
-        windows = texts.join(huge, "a", "left_semi").mapInArrow(_window_hashes(length), "a long, single boolean, doc long, h int, off int, w long, s int")
+        large = settle(texts.join(huge, "a", "left_semi"))
+        cores = settle(large.mapInArrow(_cores(length), "a long, k int, core long, doc long, h int, p int"))
+        shared = cores.groupBy("a", "k", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "k", "core")
+        live = cores.join(shared, ["a", "k", "core"], "left_semi").groupBy("doc", "h", "p").agg(F.collect_set("k").alias("ks"))  # STRETCHES of them at most
+        windows = large.join(live, ["doc", "h", "p"]).select("a", "single", "doc", "h", "p", "pad", "bytes", "ks").mapInArrow(_window_hashes(length), "a long, single boolean, doc long, h int, off int, w long, s int")
         twice = windows.groupBy("a", "off", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "off", "w")
         spans = spans.unionByName(windows.filter("single").join(twice, ["a", "off", "w"], "left_semi").select("doc", "h", "s", (F.col("s") + length).alias("e")))
     return settle(whole.unionByName(settle(spans)).groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
