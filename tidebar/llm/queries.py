@@ -8,6 +8,7 @@ from . import scratch
 from .chat import OP7_SQL, op7_chat_tool_links
 from .decontam import OP3_SQL, op3_benchmark_leaks
 from .embeddings import OP4_SQL, op4_embedding_near_dedup
+from .factors import OP11_SQL, op11_copied_words
 from .licenses import op2_license_scan
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op5_pack_sequences
@@ -39,6 +40,7 @@ QUERIES = {
     "op8_toxicity_scores": op8_toxicity_scores,
     "op9_remove_repeats": op9_remove_repeats,
     "op10_kd_shards": op10_kd_shards,
+    "op11_copied_words": op11_copied_words,
 }
 QUERIES = {name: _tidy(query) for name, query in QUERIES.items()}
 
@@ -47,4 +49,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_leaks": OP3_SQL,
     "op4_embedding_near_dedup": OP4_SQL,
     "op7_chat_tool_links": OP7_SQL,
+    "op11_copied_words": OP11_SQL,
 }
