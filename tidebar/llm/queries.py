@@ -13,6 +13,7 @@ from .licenses import op2_license_scan
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op5_pack_sequences
 from .quality import op6_quality_scores
+from .ranking import OP12_SQL, op12_ranked_search
 from .repeats import op9_remove_repeats
 from .sharding import op10_kd_shards
 from .toxicity import op8_toxicity_scores
@@ -41,6 +42,7 @@ QUERIES = {
     "op9_remove_repeats": op9_remove_repeats,
     "op10_kd_shards": op10_kd_shards,
     "op11_copied_words": op11_copied_words,
+    "op12_ranked_search": op12_ranked_search,
 }
 QUERIES = {name: _tidy(query) for name, query in QUERIES.items()}
 
@@ -50,4 +52,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_near_dedup": OP4_SQL,
     "op7_chat_tool_links": OP7_SQL,
     "op11_copied_words": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
