@@ -17,6 +17,7 @@ from .ranking import OP12_SQL, op12_ranked_search
 from .repeats import op9_remove_repeats
 from .sharding import op10_kd_shards
 from .toxicity import op8_toxicity_scores
+from .turns import OP13_SQL, op13_repair_conversations
 
 
 
@@ -43,6 +44,7 @@ QUERIES = {
     "op10_kd_shards": op10_kd_shards,
     "op11_copied_words": op11_copied_words,
     "op12_ranked_search": op12_ranked_search,
+    "op13_repair_conversations": op13_repair_conversations,
 }
 QUERIES = {name: _tidy(query) for name, query in QUERIES.items()}
 
@@ -53,4 +55,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_tool_links": OP7_SQL,
     "op11_copied_words": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
+    "op13_repair_conversations": OP13_SQL,
 }
