@@ -49,7 +49,7 @@ WINDOW = 20
 #: Words of an anchor.
 GRAM = 6
 #: Phrases that one block may hold.
-MAX_BLOCK = 4096
+MAX_BLOCK = 512
 #: Phrases that are indexed together, when blocks are small.
 BATCH = 8192
 
