@@ -57,6 +57,62 @@ def test_recursions_over_small_batches(spark):
         pd.testing.assert_series_equal(part["v"].astype("float64").reset_index(drop=True), pd.Series(vma), check_names=False)
 
 
+@pytest.mark.parametrize("stretch", ["1 hour", "10 hours", "37 hours", "5000 hours"])
+def test_recursions_from_stretches(spark, stretch):
+    """Any cut of a symbol into stretches gives the rows of one walk: gaps across and around stretches, late starts, no values, no time order in the input."""
+    import random
+
+    rng = random.Random(5)
+    closes = [None if rng.random() < 0.3 or 40 < i < 75 else rng.uniform(1, 9) for i in range(150)]
+    df = bars(spark, closes).unionByName(bars(spark, [None] * 23 + [4.0, *closes[:90]], symbol="b")).unionByName(bars(spark, [None] * 30, symbol="c")).repartition(5)
+    df = df.withColumn("volume", F.when(F.hour("ts") % 5 != 0, F.hour("ts") / 30))
+    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4), Series("mm", "wilder", "ms", 3)]
+    one, many = (x.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (recursions(df, wanted), recursions(df, wanted, stretch=stretch)))
+    assert list(one.columns) == list(many.columns) and one["mm"].notna().sum() > 100
+    pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-12)
+
+
+def test_stretches_spread_one_symbol(spark):
+    """One symbol reaches several tasks, and batches of three bars change nothing."""
+    df = bars(spark, [float(k % 7) for k in range(400)])
+    wanted = [Series("e", "ema", "close", 5)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = recursions(df, wanted, stretch="20 hours")
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        small = out.orderBy("ts").toPandas()["e"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    pd.testing.assert_series_equal(small, recursions(df, wanted).orderBy("ts").toPandas()["e"])
+
+
+def test_composition_of_summaries():
+    """Summaries join in any grouping, and stand for the walk over their bars."""
+    import numpy as np
+
+    from tidebar.operators.kernel import Recursion
+
+    rng = np.random.default_rng(2)
+    for r in (Recursion(0.3, 4), Recursion(1.0, 1), Recursion()):
+        x, w = rng.uniform(1, 5, 60), rng.uniform(0, 1, 60)
+        x[rng.random(60) < 0.4] = np.nan
+        x[:5] = np.nan
+        cuts = [0, 3, 4, 11, 30, 31, 60]
+        parts = [r.summary(x[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        left = parts[0]
+        for p in parts[1:]:
+            left = r.joined(left, p)
+        right = parts[-1]
+        for p in parts[-2::-1]:
+            right = r.joined(p, right)
+        assert left == pytest.approx(right, rel=1e-12) and left == pytest.approx(r.summary(x, w), rel=1e-12)
+        assert r.after(r.START, left) == pytest.approx(r(r.START, x, w)[1], rel=1e-12)
+
+
 def test_recursions_reuse_the_partitioning_of_windows(spark):
     df = bars(spark, [1.0, 2.0]).repartition("symbol").withColumn("s", frames.sma("close", 2))
     plan = recursions(df, [Series("e", "ema", "close", 2)])._jdf.queryExecution().executedPlan().toString()

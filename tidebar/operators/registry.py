@@ -53,14 +53,14 @@ def validate(instances: list[Instance]) -> None:
             raise ValueError(f"{i.key}: missing {', '.join(missing)}")
 
 
-def prepared(df: DataFrame, series: list[Series]) -> DataFrame:
-    """Bars with numbers and counts, the sources of ``series``, and the series."""
+def prepared(df: DataFrame, series: list[Series], stretch: str | None = None) -> DataFrame:
+    """Bars with numbers and counts, the sources of ``series``, and the series; ``stretch`` as ``recursions`` takes it."""
     base = df.withColumns({"rn": F.row_number().over(f.by_time()), "bars": F.count(F.lit(1)).over(f.whole()), "_up": f.up("close"), "_down": f.down("close"), "tr": f.true_range()})
     weights = {s.by: k.vma_weight(s.n) for s in series if s.kind == "vma"}
     weights |= {c: F.coalesce(F.col(b), F.lit(0.0)) for c, b in (("_gain", "_up"), ("_loss", "_down")) if any(s.source == c for s in series)}
     shifted = {s.source: f.lag("close", int(s.source[6:])) for s in series if s.source.startswith("close_")}
     base = base.withColumns(weights | shifted) if weights | shifted else base
-    return recursions(base, series) if series else base
+    return recursions(base, series, stretch=stretch) if series else base
 
 
 def _series_of(instance: Instance) -> list[Series]:

@@ -191,15 +191,19 @@ def bollinger(s, d):
 
 
 # ---- recursive series, on hourly bars
-def _series(s, d, wanted: list[Series]) -> DataFrame:
-    return prepared(fx.hourly(s, d).repartition("symbol"), wanted)
+def _series(s, d, wanted: list[Series], stretch: str | None = None) -> DataFrame:
+    return prepared(fx.hourly(s, d).repartition("symbol"), wanted, stretch)
 
 
 def recursive(name: str, wanted: list[Series], columns: dict, sql_columns: str, src: str = "rs"):
-    def run(s, d):
-        return r6(_series(s, d, wanted).select("symbol", "ts", *[F.expr(c).alias(n) for n, c in columns.items()]), *columns)
+    """The series by one walk over each symbol, and as ``{name}_scan`` put together from stretches of ten bars."""
+
+    def made(stretch):
+        return lambda s, d: r6(_series(s, d, wanted, stretch).select("symbol", "ts", *[F.expr(c).alias(n) for n, c in columns.items()]), *columns)
 
-    query(name, o.sql(f"SELECT symbol, ts, {sql_columns} FROM {src}", src))(run)
+    sql = o.sql(f"SELECT symbol, ts, {sql_columns} FROM {src}", src)
+    query(name, sql)(made(None))
+    query(f"{name}_scan", sql)(made("10 hours"))
 
 
 recursive("ema", [Series("ema_21", "ema", "close", 21)], {"v": "ema_21"}, "round(e21, 6) AS v")
@@ -210,9 +214,9 @@ recursive("vma", k.needs_wyckoff(7), {"v": "vma_7"}, "round(vma, 6) AS v")
 recursive("keltner", k.needs_squeeze(20), {"lower": "ema_close_20 - 1.5 * atr_20", "upper": "ema_close_20 + 1.5 * atr_20"}, "round(e20 - 1.5 * a20, 6) AS lower, round(e20 + 1.5 * a20, 6) AS upper")
 
 
-@query("rsi", o.sql("SELECT symbol, ts, round(CASE WHEN l14 = 0 THEN 100.0 ELSE 100 - 100 / (1 + g14 / l14) END, 6) AS v FROM rs", "rs"))
-def rsi(s, d):
-    return r6(_series(s, d, k.needs_rsi(14)).select("symbol", "ts", k.rsi(14).alias("v")), "v")
+_RSI = o.sql("SELECT symbol, ts, round(CASE WHEN l14 = 0 THEN 100.0 ELSE 100 - 100 / (1 + g14 / l14) END, 6) AS v FROM rs", "rs")
+query("rsi", _RSI)(lambda s, d: r6(_series(s, d, k.needs_rsi(14)).select("symbol", "ts", k.rsi(14).alias("v")), "v"))
+query("rsi_scan", _RSI)(lambda s, d: r6(_series(s, d, k.needs_rsi(14), "10 hours").select("symbol", "ts", k.rsi(14).alias("v")), "v"))
 
 
 @query(
