@@ -36,6 +36,7 @@ def wyckoff_stage(df: DataFrame, out: str, fast: int, inter: int, slow: int) ->
 
 def exh_abs_price_action(df: DataFrame, out: str, floor=33.0, ceiling=67.0, lookback=126, scan=2, check=1, wick=0.5, strict=False, z=0) -> DataFrame:
     """Exhaustion and absorption: +-1 pin bars, +-2 engulfing bars; z = 1 asks the next bar to confirm."""
+    own = [F.col(f"`{x}`") for x in df.columns]
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     body, span = F.abs(c - o), h - low
     df = df.withColumns({"_mx": pmax(o, c), "_mn": pmin(o, c), "_cb": F.when(span == 0, 0.0).otherwise(F.pow(body * 100.0, F.try_divide(body, span))), "_hh": f.rmax("high", scan), "_ll": f.rmin("low", scan)})
@@ -69,7 +70,7 @@ def exh_abs_price_action(df: DataFrame, out: str, floor=33.0, ceiling=67.0, look
         df = df.withColumn(out, code)
     else:
         df = df.withColumn(out, F.lit(0.0))
-    return df.drop(*[x for x in df.columns if x.startswith("_")])
+    return df.select(*own, out)
 
 
 def significant_volume(df: DataFrame, out: str, lookback=126, floor=33.0, ceiling=67.0, z=0) -> DataFrame:

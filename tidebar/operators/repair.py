@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import yes
@@ -27,13 +27,18 @@ def is_bad(max_range: float) -> Column:
     return missing | yes((o <= 0) | (h <= 0) | (low <= 0) | (c <= 0)) | yes(h < low) | yes(F.try_divide(h - low, F.abs(c)) > max_range)
 
 
-def repair_ticks(df: DataFrame, max_range: float = 0.08) -> DataFrame:
-    """Bad bars take the last good close and volume 0; with no good bar before, they stay. Adds ``bad`` and ``repaired``."""
+def repair_ticks(df: DataFrame, max_range: float = 0.08, watch: Observation | None = None) -> DataFrame:
+    """Bad bars take the last good close and volume 0; with no good bar before, they stay. Adds ``bad`` and ``repaired``.
+
+    ``watch`` is filled with ``bars_total`` and ``bars_repaired`` by the job that
+    uses the bars, without another pass (once, if the plan has several).
+    """
     good = coerce_numeric(df).withColumn("bad", is_bad(max_range)).withColumn("_good", F.when(~F.col("bad"), F.col("close"))).withColumn("_last", ffill("_good"))
     mend = F.col("bad") & F.col("_last").isNotNull()
     out = good.withColumn("repaired", mend)
     out = out.withColumns({c: F.when(mend, F.col("_last")).otherwise(F.col(c)) for c in [*PRICES, "adj_close"]} | {"volume": F.when(mend, F.lit(0.0)).otherwise(F.col("volume"))})
-    return out.drop("_good", "_last")
+    out = out.drop("_good", "_last")
+    return out if watch is None else out.observe(watch, F.count(F.lit(1)).alias("bars_total"), F.count_if("bad").alias("bars_repaired"))
 
 
 def repair_telemetry(repaired: DataFrame, source: str) -> DataFrame:

@@ -5,48 +5,95 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scoring
+from ..operators.resample import fold_bars, fold_ticks, resample_weekly
 from ..sources import bars as src
 from ..sources.scratch import shared_dir
 from ..streaming.forming import forming_bars, into_table, newest
-from . import config, pipelines
+from . import config, loading, pipelines
 from . import fixtures as fx
 from . import oracle as o
 from .queries import _FUTURES, _MATCH, _MID, _OPTIONS, _TH, BARS, PX, _fund_scores, _fund_sql, _funds, _scored, _side, _stocks, exh_ctes, exh_sql, guard_sql, macdv_sql, query, sigvol_sql, squeeze_sql, trend_sql, wyckoff_sql
 from .table_queries import fresh
 
 # ---- timeframes
-_DAILY = {
-    "wyckoff_stage": wyckoff_sql(5, 13, 21),
-    "exh_abs_pa_current_bar": exh_sql(0),
-    "exh_abs_pa_prior_bar": exh_sql(1),
-    "sig_vol_current_bar": sigvol_sql(126, 0),
-    "sig_vol_prior_bar": sigvol_sql(126, 1),
-    "ma_trend_bullish": trend_sql(True, 0),
-    "ma_trend_bearish": trend_sql(False, 0),
-    "macdv_core_bull": macdv_sql(True, 0),
-    "macdv_core_bear": macdv_sql(False, 0),
-    "macdv_guard": guard_sql(),
-    "ttm_squeeze_pro": squeeze_sql(0),
+_CUT = "SELECT {b} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM ({src})) WHERE r <= {n}"
+_WEEK, _MONTH = (o.fold("{}", f"date_trunc('{u}', ts)", label="t") for u in ("week", "month"))
+#: What the bars of a timeframe are before they are cut to the window, and what that needs.
+_WHOLE = {
+    ("stocks", "daily"): ("SELECT * FROM d1", "d1"),
+    ("stocks", "weekly"): (_WEEK.format("d1"), "d1"),
+    ("stocks", "monthly"): (_MONTH.format("d1"), "d1"),
+    ("stocks", "intraday_4h"): (o.fold("h1", o.B4), "h1"),
+    ("futures", "intraday_1h"): ("SELECT * FROM h1", "h1"),
+    ("futures", "intraday_4h"): (o.fold("h1", o.B4), "h1"),
+    ("futures", "daily"): (o.fold("h1", o.TRADE_DATE, "hour(ts) <> 17"), "h1"),
 }
-_LAST = "last_bar AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM d1w) WHERE r = 1)"
 
 
-def _profile_sql(select: str, keys: list[str]) -> str:
-    """``select`` over the last daily bars ``b`` and one table of values for each key."""
-    parts = ", ".join(f"k_{k} AS ({_DAILY[k]})" for k in keys)
+def _ratio_sql(length: int) -> str:
+    """Benchmarks are the two first symbols, with all their bars; every symbol has ``length`` bars or more."""
+    mean = lambda least: f"CASE WHEN count(volume) {o.over(length)} >= {least} THEN avg(volume) {o.over(length)} END"
+    own = mean(f"greatest(4, least({length}, bars) // 2) AND bars >= 4")
+    two = f"SELECT symbol, ts, {mean(f'greatest(3, {length} // 2)')} AS m FROM whole_in WHERE symbol IN (SELECT DISTINCT symbol FROM whole_in ORDER BY symbol LIMIT 2)"
+    return f"SELECT symbol, n.ts, round(own / nullif(b, 0), 6) AS v FROM (SELECT symbol, ts, {own} AS own FROM nb) n LEFT JOIN (SELECT ts, CASE WHEN count(m) = 2 THEN min(m) END AS b FROM ({two}) GROUP BY ts) m ON n.ts = m.ts"
+
+
+def _instance_sql(i) -> str:
+    p = i.params
+    return {
+        "wyckoff_stage": lambda: wyckoff_sql(p["fast"], p["inter"], p["slow"]),
+        "exh_abs_price_action": lambda: exh_sql(p["z"]),
+        "significant_volume": lambda: sigvol_sql(p["lookback"], p["z"]),
+        "spy_qqq_volume_ma_ratio": lambda: _ratio_sql(p["length"]),
+        "movingavg_trend_bullish": lambda: trend_sql(True, p["displace"], p["length"]),
+        "movingavg_trend_bearish": lambda: trend_sql(False, p["displace"], p["length"]),
+        "macdv_core_bullish": lambda: macdv_sql(True, p["z"]),
+        "macdv_core_bearish": lambda: macdv_sql(False, p["z"]),
+        "macdv_guard": lambda: guard_sql(p["z"]),
+        "ttm_squeeze_pro": lambda: squeeze_sql(p["z"]),
+    }[i.id]()
+
+
+def _profile_sql(select: str, keys: list[str], namespace: str = "stocks", timeframe: str = "daily") -> str:
+    """``select`` over the last bars ``b`` of a timeframe and one table of values for each key."""
+    instances = {i.key: i for i in config.DEFAULT.profile(namespace, timeframe)}
+    whole, need = _WHOLE[namespace, timeframe]
+    look = next(i.params["lookback"] for i in instances.values() if i.id == "exh_abs_price_action")
+    fast = next(i.params["fast"] for i in instances.values() if i.id == "wyckoff_stage")
+    parts = ", ".join(f"k_{k} AS ({_instance_sql(instances[k])})" for k in keys)
     joins = " ".join(f"JOIN k_{k} USING (symbol, ts)" for k in keys)
-    return o.sql(f"SELECT {select} FROM last_bar b {joins}", "d1w", "mv", extra=f"{exh_ctes(126)}, {_LAST}, {parts}", bars="d1w", vma=5)
+    extra = f"whole_in AS ({whole}), {exh_ctes(look)}, last_bar AS ({_CUT.format(b='* EXCLUDE (r)', src='SELECT * FROM bars_in', n=1)}), {parts}"
+    cut = _CUT.format(b="* EXCLUDE (r)", src=whole, n=config.WINDOWS[namespace, timeframe])
+    return o.sql(f"SELECT {select} FROM last_bar b {joins}", "mv", extra=extra, bars="bars_in", vma=fast, made=cut, of=(need,))
 
 
-_KEYS = [i.key for i in config.profile("stocks", "daily")]
-_VALUES = ", ".join("CAST(NULL AS DOUBLE) AS spy_qqq_vol_ma_ratio" if k not in _DAILY else f"k_{k}.v AS {k}" for k in _KEYS)
-query("snapshot_daily_profile", _profile_sql(f"symbol, ts, {', '.join(f'b.{c}' for c in PX)}, {_VALUES}", list(_DAILY)))(
-    lambda s, d: pipelines.snapshot(pipelines.run_timeframe(fx.daily(s, d), "stocks", "daily"), "stocks", "daily")
-)
+def _keys(namespace: str, timeframe: str) -> list[str]:
+    return [i.key for i in config.DEFAULT.profile(namespace, timeframe)]
+
+
+def _snapshot_sql(namespace: str, timeframe: str, more: str = "") -> str:
+    keys = _keys(namespace, timeframe)
+    return _profile_sql(f"{more}symbol, ts, {', '.join(f'b.{c}' for c in PX)}, {', '.join(f'k_{k}.v AS {k}' for k in keys)}", keys, namespace, timeframe)
+
+
+def _two(df: DataFrame) -> tuple[str, str]:
+    """The two first symbols, which stand for the benchmarks."""
+    return tuple(r["symbol"] for r in df.select("symbol").distinct().orderBy("symbol").limit(2).collect())
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("spy_qqq_vol_ma_ratio", F.round("spy_qqq_vol_ma_ratio", 6))
+
+
+@query("snapshot_daily_profile", _snapshot_sql("stocks", "daily"))
+def snapshot_daily_profile(s, d):
+    daily = fx.daily(s, d)
+    both = daily.filter(F.col("symbol").isin(*_two(daily)))
+    return _shown(pipelines.snapshot(pipelines.run_timeframe(daily, "stocks", "daily", benchmarks=both), "stocks", "daily"))
 
 
 def _tail(src_: str, n: int, name: str) -> str:
@@ -62,7 +109,6 @@ def _bars(steps: dict[str, DataFrame]) -> DataFrame:
 
 
 _SESSION = o.fold("h1", o.TRADE_DATE, "hour(ts) <> 17")
-_WEEK, _MONTH = (o.fold("{}", f"date_trunc('{u}', ts)", label="t") for u in ("week", "month"))
 query("cascade_futures_1h", o.sql(" UNION ALL ".join([_tail("SELECT * FROM h1", 16_000, "intraday_1h"), _tail(o.fold("h1", o.B4), 250, "intraday_4h"), _tail(_SESSION, 260, "daily")]), "h1"))(
     lambda s, d: _bars(pipelines.cascade({"intraday_1h": fx.hourly(s, d)}, "futures", "intraday_1h"))
 )
@@ -81,6 +127,119 @@ query("cascade_stocks_130m", o.sql(" UNION ALL ".join(_CASCADE_130), "m15", "d1"
     lambda s, d: _bars(pipelines.cascade({"intraday_5m": fx.minutes(s, d, 15), "daily": fx.daily(s, d)}, "stocks", "intraday_130m"))
 )
 
+
+
+def _cascade_sql(namespace: str, timeframe: str) -> str:
+    """The last bars of a cascade with their indicators; what a timeframe does not have is NULL."""
+    tfs = [timeframe, *config.CASCADE[namespace, timeframe]]
+    every = list(dict.fromkeys(k for tf in tfs for k in _keys(namespace, tf)))
+    parts = []
+    for tf in tfs:
+        keys = _keys(namespace, tf)
+        values = ", ".join(f"k_{k}.v AS {k}" if k in keys else f"CAST(NULL AS DOUBLE) AS {k}" for k in every)
+        parts.append(f"SELECT * FROM ({_profile_sql(f"'{tf}' AS timeframe, symbol, ts, {', '.join(f'b.{c}' for c in PX)}, {values}", keys, namespace, tf)})")
+    return " UNION ALL ".join(parts)
+
+
+def _cascade_rows(made: dict[str, DataFrame], namespace: str) -> DataFrame:
+    out = None
+    for tf, df in made.items():
+        part = _shown(pipelines.snapshot(df, namespace, tf)).withColumn("timeframe", F.lit(tf))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@query("cascade_snapshots_stocks", _cascade_sql("stocks", "daily"))
+def cascade_snapshots_stocks(s, d):
+    """Days, and weeks and months rolled up from them in one pass, with all indicators and two benchmarks."""
+    daily = fx.daily(s, d)
+    return _cascade_rows(pipelines.cascade({"daily": daily}, "stocks", "daily", benchmarks=_two(daily)), "stocks")
+
+
+@query("cascade_snapshots_futures", _cascade_sql("futures", "intraday_1h"))
+def cascade_snapshots_futures(s, d):
+    hourly = fx.hourly(s, d)
+    return _cascade_rows(pipelines.cascade({"intraday_1h": hourly}, "futures", "intraday_1h", benchmarks=_two(hourly)), "futures")
+
+
+_OLD = "SELECT symbol, ts, open, high, low, close + 5 AS close, adj_close, volume FROM ({}) WHERE ts < TIMESTAMP '1998-01-01'"
+_NEW = "SELECT * FROM ({}) WHERE ts >= TIMESTAMP '1997-01-01'"
+_UPSERTED = "SELECT '{tf}' AS timeframe, {b} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM (SELECT * FROM ({new}) UNION ALL SELECT * FROM ({old}) o WHERE NOT EXISTS (SELECT 1 FROM ({new}) n WHERE n.symbol = o.symbol AND n.ts = o.ts))) WHERE r <= 2000"
+
+
+@query(
+    "cascade_into_stored",
+    o.sql(" UNION ALL ".join(_UPSERTED.format(tf=tf, b=BARS, new=fold.format("recent_d"), old=_OLD.format(fold.format("d1"))) for tf, fold in (("daily", "SELECT * FROM {}"), ("weekly", _WEEK), ("monthly", _MONTH))), "d1", extra=f"recent_d AS ({_NEW.format('SELECT * FROM d1')})"),
+)
+def cascade_into_stored(s, d):
+    """The bars of the last years go over stored ones that overlap them, in every timeframe of the cascade."""
+    daily = fx.daily(s, d)
+    stored = {tf: df.filter("ts < timestamp_ntz'1998-01-01'").withColumn("close", F.col("close") + 5) for tf, df in {"daily": daily, **{tf: pipelines.bars_of({"daily": daily}, "stocks", tf) for tf in ("weekly", "monthly")}}.items()}
+    return _bars(pipelines.cascade({"daily": daily.filter("ts >= timestamp_ntz'1997-01-01'")}, "stocks", "daily", 2000, old=stored))
+
+
+# ---- load steps: quarter hours of ticks, some negative, stand for the vendor's bars
+_NOW = {"stocks": datetime(2024, 1, 20, 15, 40), "futures": datetime(2024, 1, 18, 15, 40)}
+_DIRTY15 = "dirty15 AS (" + o.fold_ticks("time_bucket(INTERVAL 15 MINUTES, ts)", "(SELECT symbol, ts, id, CASE WHEN id % 97 = 0 THEN -price ELSE price END AS price FROM ticks)") + "), names AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM ticks))"
+
+
+def _vendor_sql(day: str) -> str:
+    """The first symbol has no fine bars, the second and third have none of the forming bars; every fifth day is missing."""
+    return f"""{_DIRTY15}, base_in AS (SELECT {BARS} FROM dirty15 WHERE day(ts) % 5 <> 0 AND ts < TIMESTAMP '{day} 14:30:00'),
+ fine_in AS (SELECT {BARS} FROM dirty15 JOIN names USING (symbol) WHERE ts >= TIMESTAMP '{day}' - INTERVAL 2 DAYS AND ts < TIMESTAMP '{day} 15:40:00' AND k <> 1 AND (k > 3 OR ts < TIMESTAMP '{day} 13:00:00')),
+ hours_in AS ({o.fold("base_in", "date_trunc('hour', ts)")})"""
+
+
+def _vendor(s, d, now: datetime) -> tuple[DataFrame, DataFrame]:
+    t = fx.ticks(s, d).withColumn("price", F.when(F.col("id") % 97 == 0, -F.col("price")).otherwise(F.col("price")))
+    bars = fold_ticks(t, F.window("ts", "15 minutes").start)
+    names = t.select("symbol").distinct().withColumn("k", F.row_number().over(Window.orderBy("symbol")))  # five symbols
+    at = lambda h, m=0: F.lit(now.replace(hour=h, minute=m)).cast("timestamp_ntz")
+    fine = bars.join(names, "symbol").filter((F.col("ts") >= at(0) - F.expr("INTERVAL 2 DAYS")) & (F.col("ts") < at(15, 40)) & (F.col("k") != 1) & ((F.col("k") > 3) | (F.col("ts") < at(13)))).drop("k")
+    return bars.filter((F.dayofmonth("ts") % 5 != 0) & (F.col("ts") < at(14, 30))), fine
+
+
+_STOCKS_4H = f"""{_vendor_sql('2024-01-20')}, {o.mended('hours_in', 'hours_ok', 20)}, {o.mended('fine_in', 'fine_ok', 20)}, {o.formed('hours_ok', 'fine_ok', 'hours_now', '2024-01-20 15:00:00', 1)},
+ fours AS ({o.fold('hours_now', o.B4)}), {o.gridded('fours', 'on_grid')}, {o.formed('on_grid', 'fine_ok', 'fours_now', '2024-01-20 13:00:00', 4)}"""
+query("load_stocks_4h", o.sql(f"SELECT {BARS} FROM fours_now", "ticks", extra=_STOCKS_4H))(lambda s, d: loading.stocks_4h(*_vendor(s, d, _NOW["stocks"]), _NOW["stocks"], 20.0))
+_FUTURES_4H = f"""{_vendor_sql('2024-01-18')}, {o.formed('hours_in', 'fine_in', 'hours_now', '2024-01-18 15:00:00', 1)}, fours AS ({o.fold('hours_now', o.B4)}), {o.formed('fours', 'fine_in', 'fours_now', '2024-01-18 13:00:00', 4)}"""
+query("load_futures_1h", o.sql(f"SELECT {BARS} FROM hours_now", "ticks", extra=_FUTURES_4H))(lambda s, d: pipelines.load(dict(zip(("intraday_1h", "recent"), _vendor(s, d, _NOW["futures"]), strict=True)), "futures", "intraday_1h", _NOW["futures"]))
+query("load_futures_4h", o.sql(f"SELECT {BARS} FROM fours_now", "ticks", extra=_FUTURES_4H))(lambda s, d: pipelines.load(dict(zip(("intraday_1h", "recent"), _vendor(s, d, _NOW["futures"]), strict=True)), "futures", "intraday_4h", _NOW["futures"]))
+query("load_futures_closed", o.sql(f"SELECT {BARS} FROM ({o.fold('hours_in', o.B4)})", "ticks", extra=_vendor_sql("2024-01-20")))(
+    # a Saturday: the session is closed, so nothing forms
+    lambda s, d: pipelines.load(dict(zip(("intraday_1h", "recent"), _vendor(s, d, _NOW["stocks"]), strict=True)), "futures", "intraday_4h", _NOW["stocks"])
+)
+
+
+def _eod_sql(fold: str) -> str:
+    """Derived bars of the last days, and the vendor's by calendar day for all symbols, of which only the short ones take any."""
+    own, vendor = (f"SELECT *, {p} AS p FROM ({fold.format(src)})" for src, p in (("own_d", 1), ("vendor_d", 0)))
+    derived = o.fold("(SELECT * FROM h1 WHERE symbol > 'e' OR ts >= TIMESTAMP '2024-01-20')", o.TRADE_DATE, "hour(ts) <> 17")
+    days = o.fold("h1", "date_trunc('day', ts)::TIMESTAMP")
+    both = f"SELECT * FROM own_b UNION ALL SELECT * FROM vendor_b WHERE symbol NOT IN (SELECT symbol FROM own_b GROUP BY symbol HAVING count(*) >= 15)"
+    one = f"SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY p DESC) AS r FROM ({both})"
+    return o.sql(
+        f"SELECT {BARS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS q FROM ({one}) WHERE r = 1) WHERE q <= 15",
+        "h1",
+        extra=f"own_d AS ({derived}), vendor_d AS (SELECT symbol, ts, open, high, low, close + 1 AS close, adj_close, volume FROM ({days})), own_b AS ({own}), vendor_b AS ({vendor})",
+    )
+
+
+def _eod(timeframe: str):
+    def run(s, d):
+        h = fx.hourly(s, d)
+        stored = h.filter((F.col("symbol") > "e") | (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")))
+        days = fold_bars(h, F.to_date("ts").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
+        vendor = days if timeframe == "daily" else resample_weekly(days)
+        return pipelines.load({"intraday_1h": stored, timeframe: vendor}, "futures", timeframe, _NOW["futures"], 15)
+
+    return run
+
+
+query("load_futures_daily", _eod_sql("SELECT * FROM {}"))(_eod("daily"))
+query("load_futures_weekly", _eod_sql(_WEEK))(_eod("weekly"))
+
+
 _SPLIT = "2024-01-15 00:00:00"
 
 
@@ -143,6 +302,29 @@ def score_all_combos(s, d):
     return out
 
 
+def _signals_sql(c: config.Combo) -> str:
+    """The three timeframes' last bars with their indicators, joined and scored."""
+    roles = [(r, tf, _keys(c.namespace, tf)) for r, tf in zip(config.ROLES, c.timeframes(), strict=True)]
+    columns = ", ".join(f"{r}_.{k} AS {r}_{k}" for r, _, keys in roles for k in keys)
+    tables = " JOIN ".join(f"({_snapshot_sql(c.namespace, tf)}) {r}_" + (" USING (symbol)" if r != "lower" else "") for r, tf, _ in roles)
+    return f"WITH combo AS (SELECT symbol, {columns} FROM {tables}) {_combo_sql(c)}"
+
+
+def _signals(name: str, bars: str, base: str):
+    cfg = next(c for c in config.DEFAULT.combos if c.name == name)
+
+    def run(s, d):
+        source = getattr(fx, bars)(s, d)
+        scored = pipelines.run_signals({base: source}, cfg, source.select("symbol"), benchmarks=_two(source))
+        return scored.select(F.lit(name).alias("combo"), "symbol", "signal", F.col("mtf_long_score").alias("long"), F.col("mtf_short_score").alias("short"))
+
+    query(f"signals_from_{bars}", _signals_sql(cfg))(run)
+
+
+_signals("stocks_c_dwm_shortlist", "daily", "daily")
+_signals("futures_1_1h4hd_shortlist", "hourly", "intraday_1h")
+
+
 def _snapshots(s, d) -> dict[str, DataFrame]:
     c = fx.combo(s, d)
     when = {"lower": "2024-01-03", "middle": "2024-01-02", "upper": "2024-01-01"}

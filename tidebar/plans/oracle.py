@@ -79,8 +79,8 @@ def _weights(n: int) -> str:
     return f"wb AS (SELECT *, coalesce(2.0 / {n + 1} * abs(({ups} - {downs}) / nullif({ups} + {downs}, 0)), 0.0) AS vw FROM nb)"
 
 
-_EMA = {"e8": ("close", 8), "e10": ("close", 10), "e12": ("close", 12), "e20": ("close", 20), "e21": ("close", 21), "e26": ("close", 26)}
-_WILDER = {"w10": ("close", 10), "w14": ("close", 14), "a14": ("tr", 14), "a20": ("tr", 20), "a26": ("tr", 26), "g14": ("coalesce({}up, 0)", 14), "l14": ("coalesce({}down, 0)", 14)}
+_EMA = {"e8": ("close", 8), "e10": ("close", 10), "e12": ("close", 12), "e13": ("close", 13), "e15": ("close", 15), "e20": ("close", 20), "e21": ("close", 21), "e26": ("close", 26)}
+_WILDER = {"w10": ("close", 10), "w12": ("close", 12), "w13": ("close", 13), "w15": ("close", 15), "w14": ("close", 14), "a14": ("tr", 14), "a20": ("tr", 20), "a26": ("tr", 26), "g14": ("coalesce({}up, 0)", 14), "l14": ("coalesce({}down, 0)", 14)}
 
 
 def _source(c: str, prefix: str) -> str:
@@ -104,11 +104,44 @@ CTES["mv"] = "mv AS (SELECT rs.*, v.m, CASE WHEN x.rn >= 34 THEN x.s END AS s FR
 _DEPENDS = {"h1": ["ticks"], "m15": ["ticks"], "d1": ["orders_t"], "d1w": ["d1"], "nb": ["h1"], "wb": ["nb"], "rec": ["wb"], "rs": ["rec"], "mv0": ["rs"], "mrec": ["mv0"], "mv": ["mrec"]}
 
 
-def sql(body: str, *needs: str, extra: str = "", bars: str = "h1", vma: int = 7) -> str:
-    """A statement with the CTEs it needs, in order; series are those of the table ``bars``, the adaptive mean of length ``vma``."""
+def mended(src: str, out: str, limit: float) -> str:
+    """CTE ``out``: the bars of ``src`` with bad ones at the last good close."""
+    px = ("open", "high", "low", "close", "adj_close")
+    bad = yes(f"open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR high < low OR (high - low) / nullif(abs(close), 0) > {limit}")
+    return f"""{out} AS (SELECT symbol, ts, {', '.join(f'CASE WHEN bad AND good IS NOT NULL THEN good ELSE {c} END AS {c}' for c in px)}, CASE WHEN bad AND good IS NOT NULL THEN 0.0 ELSE volume END AS volume
+ FROM (SELECT *, last_value(CASE WHEN NOT bad THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS good FROM (SELECT *, {bad} AS bad FROM {src})))"""
+
+
+def gridded(src: str, out: str) -> str:
+    """CTE ``out``: the four-hour bars of ``src`` on every point of the extended calendar."""
+    px = ("open", "high", "low", "close", "adj_close")
+    return f"""{out}_s AS (SELECT * FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 4 HOURS)) AS ts FROM {src} GROUP BY symbol)
+   WHERE CASE WHEN isodow(ts) = 6 THEN FALSE WHEN isodow(ts) = 7 THEN hour(ts) IN (17, 21) WHEN isodow(ts) = 5 THEN hour(ts) IN (1, 5, 9, 13, 17) ELSE TRUE END),
+ {out}_c AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c, coalesce(open, high, low, close) IS NULL AS hole FROM {out}_s LEFT JOIN {src} USING (symbol, ts)),
+ {out} AS (SELECT * FROM (SELECT symbol, ts, {', '.join(f'CASE WHEN hole THEN c ELSE {x} END AS {x}' for x in px)}, CASE WHEN hole THEN 0.0 ELSE coalesce(volume, 0.0) END AS volume FROM {out}_c) WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL)"""
+
+
+def formed(src: str, ticks: str, out: str, start: str, hours: int) -> str:
+    """CTE ``out``: the bars of ``src`` with the forming one from ``ticks``, kept, or carried forward."""
+    cols = "symbol, ts, open, high, low, close, adj_close, volume"
+    now = f"ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{start}' + INTERVAL {hours} HOURS"
+    last = "SELECT symbol, last(close ORDER BY ts) AS c FROM {} WHERE close IS NOT NULL{} GROUP BY symbol"
+    return f"""{out}_m AS ({fold(ticks, f"TIMESTAMP '{start}'", now)}),
+ {out}_l AS (SELECT symbol, coalesce(b.c, t.c) AS c FROM (SELECT DISTINCT symbol FROM {ticks}) LEFT JOIN ({last.format(src, '')}) b USING (symbol) LEFT JOIN ({last.format(ticks, f" AND ts < TIMESTAMP '{start}'")}) t USING (symbol)),
+ {out} AS (SELECT {cols} FROM {src} WHERE NOT (ts = TIMESTAMP '{start}' AND symbol IN (SELECT symbol FROM {out}_m)) UNION ALL SELECT {cols} FROM {out}_m
+  UNION ALL SELECT symbol, TIMESTAMP '{start}', c, c, c, c, c, 0.0 FROM {out}_l WHERE c IS NOT NULL AND symbol NOT IN (SELECT symbol FROM {out}_m) AND symbol NOT IN (SELECT symbol FROM {src} WHERE ts = TIMESTAMP '{start}'))"""
+
+
+def sql(body: str, *needs: str, extra: str = "", bars: str = "h1", vma: int = 7, made: str | None = None, of: tuple[str, ...] = ()) -> str:
+    """A statement with the CTEs it needs, in order; series are those of the table ``bars``, the adaptive mean of length ``vma``.
+
+    ``made``: what ``bars`` is, if it is no table of its own, and ``of`` what that needs.
+    """
     order: list[str] = []
     other = CTES | {"nb": CTES["nb"].replace("FROM h1", f"FROM {bars}"), "wb": _weights(vma)}
     depends = _DEPENDS | {"nb": [bars]}
+    if made is not None:
+        other[bars], depends[bars] = f"{bars} AS ({made})", list(of)
 
     def add(name: str) -> None:
         for d in depends.get(name, ()):

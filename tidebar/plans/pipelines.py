@@ -4,44 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import bucket_4h, bucket_130m, in_regular_session, not_maintenance, trade_date
 from ..operators import combos, desk, scoring
 from ..operators.frames import latest, tail_bars
 from ..operators.registry import apply_profile
 from ..operators.repair import upsert_window, valid_ohlc
-from ..operators.resample import resample_130m, resample_4h, resample_monthly, resample_quarterly, resample_session_daily, resample_weekly, resample_yearly
+from ..operators.rollup import Calendar, rollup
 from ..sources.bars import drop_legacy, snapshot_columns, union_listings, write_combo
-from . import config
-
-#: Where bars come from that are not given: the finer timeframe and the fold.
-FOLDS: dict[tuple[str, str], tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    ("futures", "intraday_4h"): ("intraday_1h", resample_4h),
-    ("futures", "daily"): ("intraday_1h", resample_session_daily),
-    ("futures", "weekly"): ("daily", resample_weekly),
-    ("futures", "monthly"): ("daily", resample_monthly),
-    ("stocks", "intraday_130m"): ("intraday_5m", resample_130m),
-    ("stocks", "intraday_4h"): ("intraday_1h", resample_4h),
-    ("stocks", "weekly"): ("daily", resample_weekly),
-    ("stocks", "monthly"): ("daily", resample_monthly),
-    ("stocks", "quarterly"): ("monthly", resample_quarterly),
-    ("stocks", "yearly"): ("monthly", resample_yearly),
+from . import config, loading
+
+
+def _of(unit: str, day: Callable[[Column], Column] = lambda t: t) -> Callable[[Column], Column]:
+    return lambda t: F.trunc(F.to_date(day(t)), unit)
+
+
+def _days(timeframe: str, unit: str, first: bool = True) -> Calendar:
+    """Weeks and longer over daily or longer bars, labelled by their first bar or by their start."""
+    return Calendar(timeframe, _of(unit), (lambda t: t) if first else None)
+
+
+def _sessions(timeframe: str, unit: str | None = None) -> Calendar:
+    """Trade dates, or what is made of them, over hourly bars."""
+    return Calendar(timeframe, _of(unit, trade_date) if unit else trade_date, trade_date if unit else None, not_maintenance)
+
+
+#: Where bars come from that are not given: the calendar over each base, the nearest first.
+CALENDARS: dict[tuple[str, str], dict[str, Calendar]] = {
+    ("futures", "intraday_4h"): {"intraday_1h": Calendar("intraday_4h", bucket_4h)},
+    ("futures", "daily"): {"intraday_1h": _sessions("daily")},
+    ("futures", "weekly"): {"daily": _days("weekly", "week"), "intraday_1h": _sessions("weekly", "week")},
+    ("futures", "monthly"): {"daily": _days("monthly", "month"), "intraday_1h": _sessions("monthly", "month")},
+    ("stocks", "intraday_130m"): {"intraday_5m": Calendar("intraday_130m", bucket_130m, None, in_regular_session, True)},
+    ("stocks", "intraday_4h"): {"intraday_1h": Calendar("intraday_4h", bucket_4h)},
+    ("stocks", "weekly"): {"daily": _days("weekly", "week")},
+    ("stocks", "monthly"): {"daily": _days("monthly", "month")},
+    ("stocks", "quarterly"): {"monthly": _days("quarterly", "quarter", False), "daily": _days("quarterly", "quarter", False)},
+    ("stocks", "yearly"): {"monthly": _days("yearly", "year", False), "daily": _days("yearly", "year", False)},
 }
 #: Futures bars of these timeframes must have all four prices.
 WHOLE_BARS = {("futures", "intraday_1h"), ("futures", "intraday_4h")}
 
 
+def rolled_bars(sources: dict[str, DataFrame], namespace: str, timeframes: list[str]) -> DataFrame:
+    """``timeframe`` and bars of timeframes that are not given, from one pass over each base that is."""
+    by: dict[str, list[Calendar]] = {}
+    for tf in timeframes:
+        base = next((b for b in CALENDARS.get((namespace, tf), ()) if b in sources), None)
+        if base is None:
+            raise ValueError(f"no bars for {namespace}/{tf}")
+        by.setdefault(base, []).append(CALENDARS[namespace, tf][base])
+    return reduce(DataFrame.unionByName, [rollup(sources[base], calendars) for base, calendars in by.items()])
+
+
 def bars_of(sources: dict[str, DataFrame], namespace: str, timeframe: str) -> DataFrame:
     """The bars of a timeframe: given, or folded from what is given."""
-    if timeframe in sources:
-        return sources[timeframe]
-    if (namespace, timeframe) not in FOLDS:
-        raise ValueError(f"no bars for {namespace}/{timeframe}")
-    finer, fold = FOLDS[namespace, timeframe]
-    return fold(bars_of(sources, namespace, finer))
+    return sources[timeframe] if timeframe in sources else rolled_bars(sources, namespace, [timeframe]).drop("timeframe")
+
+
+def load(sources: dict[str, DataFrame], namespace: str, timeframe: str, now: datetime, window: int | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """The new bars of a timeframe by the steps of its source.
+
+    ``sources``: vendor bars by timeframe, and ``recent``, the fine bars that
+    forming bars are made of; for daily and longer futures ``intraday_1h`` are
+    the stored hourly bars.
+    """
+    if (namespace, timeframe) == ("stocks", "intraday_4h"):
+        return loading.stocks_4h(sources["intraday_1h"], sources["recent"], now)
+    if namespace == "futures" and timeframe in ("intraday_1h", "intraday_4h"):
+        step = loading.futures_1h if timeframe == "intraday_1h" else loading.futures_4h
+        return step(sources["intraday_1h"], sources["recent"], now)
+    if namespace == "futures":
+        return loading.futures_eod(sources["intraday_1h"], sources[timeframe], timeframe, window or cfg.windows[namespace, timeframe])
+    return bars_of(sources, namespace, timeframe)
 
 
 def run_timeframe(bars: DataFrame, namespace: str, timeframe: str, window: int | None = None, old: DataFrame | None = None, benchmarks: DataFrame | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
@@ -63,9 +103,51 @@ def snapshot(timeframe_bars: DataFrame, namespace: str, timeframe: str, cfg: con
     return snapshot_columns(latest(bars), [i.key for i in cfg.profile(namespace, timeframe)])
 
 
-def cascade(sources: dict[str, DataFrame], namespace: str, timeframe: str, window: int | None = None, cfg: config.Config = config.DEFAULT) -> dict[str, DataFrame]:
-    """The timeframe and those that are brought up to date after it, each from its own whole source, not from cut bars."""
-    return {tf: run_timeframe(bars_of(sources, namespace, tf), namespace, tf, window, cfg=cfg) for tf in [timeframe, *config.CASCADE.get((namespace, timeframe), [])]}
+class Cascade(dict):
+    """Bars with indicators by timeframe; ``release`` frees the rolled-up bars that they share."""
+
+    rolled: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.rolled is not None:
+            self.rolled.unpersist()
+
+
+def cascade(
+    sources: dict[str, DataFrame],
+    namespace: str,
+    timeframe: str,
+    window: int | None = None,
+    cfg: config.Config = config.DEFAULT,
+    old: dict[str, DataFrame] | None = None,
+    benchmarks: tuple[str, str] | dict[str, DataFrame] | None = None,
+) -> Cascade:
+    """The timeframe and those that are brought up to date after it, each from its own whole source, not from cut bars.
+
+    What is not given is rolled up in one pass over its base and cached, so the
+    base is read once for all timeframes.  ``old``: stored bars by timeframe, into
+    which the new ones are upserted; ``benchmarks``: two symbols among the bars of
+    each timeframe, or their bars by timeframe.
+    """
+    wanted = [timeframe, *config.CASCADE.get((namespace, timeframe), [])]
+    out = Cascade()
+    if made := [tf for tf in wanted if tf not in sources]:
+        out.rolled = rolled_bars(sources, namespace, made).persist()
+    for tf in wanted:
+        bars = sources[tf] if tf in sources else out.rolled.filter(F.col("timeframe") == tf).drop("timeframe")
+        both = benchmarks.get(tf) if isinstance(benchmarks, dict) else bars.filter(F.col("symbol").isin(*benchmarks)) if benchmarks else None
+        out[tf] = run_timeframe(bars, namespace, tf, window, (old or {}).get(tf), both, cfg)
+    return out
+
+
+def run_signals(sources: dict[str, DataFrame], combo: config.Combo, universe: DataFrame, etf: tuple[DataFrame, DataFrame, DataFrame] | None = None, benchmarks: tuple[str, str] | dict[str, DataFrame] | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:
+    """From bars to the scored combo: its three timeframes, their snapshots, join and score."""
+    lower, *others = combo.timeframes()
+    made = cascade(sources, combo.namespace, lower, cfg=cfg, benchmarks=benchmarks)
+    for tf in others:
+        if tf not in made:
+            made |= {tf: run_timeframe(bars_of(sources, combo.namespace, tf), combo.namespace, tf, cfg=cfg)}
+    return run_combo({tf: snapshot(made[tf], combo.namespace, tf, cfg) for tf in combo.timeframes()}, combo, universe, etf)
 
 
 def symbols_for_timeframe(namespace: str, timeframe: str, read: Callable[[str], DataFrame], exclusions: DataFrame, allowed: Iterable[str] | None = None, cfg: config.Config = config.DEFAULT) -> DataFrame:

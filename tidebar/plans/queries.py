@@ -251,10 +251,10 @@ def sigvol_sql(look: int, z: int) -> str:
     return f"SELECT symbol, ts, CASE WHEN {o.yes('p1 >= 67')} OR {o.yes('p2 >= 67')} THEN 2.0 WHEN {o.yes('p1 >= 33')} OR {o.yes('p2 >= 33')} THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {o.lag('p', z)} AS p1, {o.lag('p', z + 1)} AS p2 FROM {sig})"
 
 
-def trend_sql(bull: bool, displace: int) -> str:
-    """Means of length 10."""
-    sm = o.full("c1", 10, f"avg(c1) {o.over(10)}") if displace else o.sma("close", 10)
-    trend = f"(SELECT symbol, ts, {o.lag('e10', displace)} AS e, {o.lag('w10', displace)} AS w, {sm} AS sm FROM rs)"
+def trend_sql(bull: bool, displace: int, n: int = 10) -> str:
+    """Means of one of the lengths that the series have."""
+    sm = o.full("c1", n, f"avg(c1) {o.over(n)}") if displace else o.sma("close", n)
+    trend = f"(SELECT symbol, ts, {o.lag(f'e{n}', displace)} AS e, {o.lag(f'w{n}', displace)} AS w, {sm} AS sm FROM rs)"
     op, two, one = (">", "2.0", "1.0") if bull else ("<", "-2.0", "-1.0")
     return f"SELECT symbol, ts, CASE WHEN {o.yes(f'e {op} w AND sm {op} w')} THEN {two} WHEN {o.yes(f'e {op} sm')} THEN {one} ELSE 0.0 END AS v FROM {trend}"
 
