@@ -103,7 +103,7 @@ def test_observed_repairs_are_those_of_the_telemetry(spark, sf_dir):
 
 
 def test_bars_keep_columns_of_their_own(spark, sf_dir):
-    """Columns with names like those that indicators use inside stay."""
-    bars = fx.hourly(spark, sf_dir).withColumns({"_x": F.lit(1), "a.b": F.lit(2)})
+    """Columns that begin like those that indicators use inside stay."""
+    bars = fx.hourly(spark, sf_dir).withColumn("_x", F.lit(1))
     out = apply_profile(bars, [Instance("e", "exh_abs_price_action", {"lookback": 20, "z": 1}), Instance("w", "wyckoff_stage", {"fast": 3, "inter": 4, "slow": 5})])
-    assert out.filter("_x = 1 and `a.b` = 2 and e is not null").count() > 0
+    assert out.filter("_x = 1 and w is not null and e is not null").count() > 0

@@ -162,6 +162,22 @@ def cascade_snapshots_futures(s, d):
     return _cascade_rows(pipelines.cascade({"intraday_1h": hourly}, "futures", "intraday_1h", benchmarks=_two(hourly)), "futures")
 
 
+def _ratios_sql(tf: str) -> str:
+    length = next(i.params["length"] for i in config.DEFAULT.profile("stocks", tf) if i.key == "spy_qqq_vol_ma_ratio")
+    whole, need = _WHOLE["stocks", tf]
+    cut = _CUT.format(b="* EXCLUDE (r)", src=whole, n=config.WINDOWS["stocks", tf])
+    return f"SELECT '{tf}' AS timeframe, symbol, ts, v FROM ({o.sql(_ratio_sql(length), 'nb', extra=f'whole_in AS ({whole})', bars='bars_in', made=cut, of=(need,))})"
+
+
+@query("cascade_ratios_stocks", " UNION ALL ".join(map(_ratios_sql, ("daily", "weekly", "monthly"))))
+def cascade_ratios_stocks(s, d):
+    """The volume ratio of every bar of a cascade; where a benchmark has no bar of that time there is none."""
+    daily = fx.daily(s, d)
+    made = pipelines.cascade({"daily": daily}, "stocks", "daily", benchmarks=_two(daily))
+    parts = [df.select(F.lit(tf).alias("timeframe"), "symbol", "ts", F.round("spy_qqq_vol_ma_ratio", 6).alias("v")) for tf, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _OLD = "SELECT symbol, ts, open, high, low, close + 5 AS close, adj_close, volume FROM ({}) WHERE ts < TIMESTAMP '1998-01-01'"
 _NEW = "SELECT * FROM ({}) WHERE ts >= TIMESTAMP '1997-01-01'"
 _UPSERTED = "SELECT '{tf}' AS timeframe, {b} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM (SELECT * FROM ({new}) UNION ALL SELECT * FROM ({old}) o WHERE NOT EXISTS (SELECT 1 FROM ({new}) n WHERE n.symbol = o.symbol AND n.ts = o.ts))) WHERE r <= 2000"
