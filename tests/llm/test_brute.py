@@ -239,7 +239,7 @@ def brute_chat(rows, schemas):
         for place, t in enumerate(sorted(messages, key=lambda t: keys[t][:3])):
             r = messages[t]
             status = "cycle" if keys[t][3] else "repeated id" if r[4] is not None and owner[conv, r[4]] != t else "orphan" if r[5] is not None and parent[t] is None else "linked" if parent[t] is not None else "root"
-            wrong = None if r[6] is None else chat.check_arguments(r[7], schemas.get(r[6])) or None
+            wrong = None if r[6] is None else chat.check_arguments(r[7], chat.checked_schema(schemas[r[6]]) if r[6] in schemas else None) or None
             out[conv, t] = (place, status, parent[t], wrong)
     return out
 
@@ -263,3 +263,50 @@ def test_chats_against_following_every_link(spark, seed):
     want = brute_chat(rows, schemas)
     assert got == want
     assert {"cycle", "repeated id", "orphan", "linked", "root"} <= {v[1] for v in want.values()}
+
+
+def test_schemas_are_checked_first(spark):
+    for bad in ({"properties": {"a": "date"}}, {"properties": {"a": {"type": "string", "format": "x"}}}, {"properties": {"a": {"items": 3}}}, {"required": "a"}, {"type": ["object", "thing"]}, {"properties": {"a": 7}}, {"properties": {"a": {"maxLength": True}}}):
+        with pytest.raises(ValueError):
+            chat.checked_schema(bad)
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string, own_id string, follows_id string, tool string, arguments string")
+    with pytest.raises(ValueError):
+        chat.format_chats(messages, {"t": {"properties": {"a": "date"}}})
+
+
+def test_nested_arguments():
+    schema = chat.checked_schema(
+        {
+            "required": ["q"],
+            "properties": {
+                "q": {"type": "string", "minLength": 2, "maxLength": 4},
+                "n": {"type": ["integer", "null"], "minimum": 1, "maximum": 9},
+                "unit": {"enum": ["c", "f", 1]},
+                "where": {"type": "object", "required": ["x"], "properties": {"x": "number", "tags": {"type": "array", "items": {"type": "string"}}}},
+                "free": "object",
+            },
+        }
+    )
+    cases = {
+        '{"q": "ab"}': "",
+        '{"q": "a"}': "q is too short",
+        '{"q": "abcde"}': "q is too long",
+        '{"n": 3}': "missing q",
+        '{"q": "ab", "n": null}': "",
+        '{"q": "ab", "n": true}': "n is no integer or null",
+        '{"q": "ab", "n": 0}': "n is too small",
+        '{"q": "ab", "n": 10}': "n is too large",
+        '{"q": "ab", "unit": true}': "unit is none of those allowed",
+        '{"q": "ab", "unit": 1}': "",
+        '{"q": "ab", "where": {}}': "missing where.x",
+        '{"q": "ab", "where": {"x": 1.5, "y": 2}}': "unknown where.y",
+        '{"q": "ab", "where": {"x": 1, "tags": ["a", 2]}}': "where.tags[1] is no string",
+        '{"q": "ab", "free": {"any": [1, {"thing": null}]}}': "",
+        '{"q": "ab", "z": 1}': "unknown z",
+        '{"q": "ab", "n": 1e999}': "no JSON",
+        '{"q": NaN}': "no JSON",
+        "[1]": "no object",
+    }
+    assert {raw: chat.check_arguments(raw, schema) for raw in cases} == cases
+    assert chat.parsed('{"a":1e999}') == '{"a":1e999}' and chat.parsed('{"a":1e9}') == {"a": 1e9}
+    assert chat.check_arguments('{"a":null}', chat.checked_schema({"properties": {"a": "null"}})) == ""
