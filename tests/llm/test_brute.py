@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
-from corpus_words import prose
+from corpus_words import WORDS, prose
 from pyspark.sql import functions as F
 
 from tidebar.llm import chat, decontam, licenses, quality, sharding, toxicity
@@ -310,3 +311,51 @@ def test_nested_arguments():
     assert {raw: chat.check_arguments(raw, schema) for raw in cases} == cases
     assert chat.parsed('{"a":1e999}') == '{"a":1e999}' and chat.parsed('{"a":1e9}') == {"a": 1e9}
     assert chat.check_arguments('{"a":null}', chat.checked_schema({"properties": {"a": "null"}})) == ""
+
+
+def brute_lexicon(rows):
+    """Entries by log-odds from whole texts in one process; two words of ten letters at most differ by more than their beginnings."""
+    toxic, clean = (sum(y == k for _, y in rows) for k in (1, 0))
+    counts = {}
+    for text, y in rows:
+        for w in set(re.findall(r"[^\W_]+", toxicity.fold(text))):
+            counts.setdefault(w, [0, 0])[1 - y] += 1
+    stems = {}
+    for w, (t, c) in counts.items():
+        for k in range(4, 9):
+            if len(w) > k:
+                s = stems.setdefault(w[:k], [0, 0, 0])
+                s[0], s[1], s[2] = s[0] + t, s[1] + c, s[2] + (t > 0)
+    prior, found = toxic / (toxic + clean), []
+    for whole, some in ((True, counts), (False, {w: x for w, x in stems.items() if x[2] >= 3})):
+        for w, (t, c, *_) in some.items():
+            if not t:
+                continue
+            q = t / (t + c)
+            gain = t * math.log(q / prior) + (c * math.log((1 - q) / (1 - prior)) if c else 0.0)
+            weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+            if weight >= 2.5 and gain > math.log(max(2, len(counts))) + 2:
+                found.append((-gain, whole, len(w), w, weight))
+    out = []
+    for _, whole, _, w, weight in sorted(found):
+        if not any(w == e or w.startswith(e) and not other or e.startswith(w) and not whole for e, other, _ in out):
+            out.append((w, whole, weight))
+    return sorted(out)
+
+
+def test_lexicon_against_counting_everything(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):
+        y = int(k % 5 == 0)
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(5, 30))]
+        if y:
+            words += rng.sample(["grobnik", "vexhound", "snarlfen", "snarlfot", "snarlfex", "snarlful", "Gr0bn1k"], 3)
+        elif rng.random() < 0.02:
+            words.append("vexhound")
+        rows.append((" ".join(words), y))
+    got = toxicity.learn(spark.createDataFrame(rows, "text string, y int").repartition(5))
+    want = brute_lexicon(rows)
+    assert [e[:2] for e in got] == [e[:2] for e in want] and len(want) >= 3
+    assert [e[2] for e in got] == pytest.approx([e[2] for e in want])
+    assert any(not whole and text.startswith("snar") for text, whole, _ in got)

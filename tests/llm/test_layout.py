@@ -205,3 +205,33 @@ def test_deep_chain_keeps_parents_first(spark):
     for r in rows:
         if r[5] and status[r[1]] == "linked":
             assert place[int(r[5][1:])] < place[r[1]]
+
+
+def test_queries_side_by_side_keep_their_tables(spark):
+    """Two threads of one session: neither drops what the other has made, and the session's setting is as before."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from tidebar.llm import scratch
+
+    both = Barrier(2, timeout=60)
+    before = spark.conf.get(scratch._CLEAN, None)
+
+    def query(k):
+        def make():
+            first = scratch.settle(spark.range(k, k + 10))
+            both.wait()
+            second = scratch.settle(first.filter("id % 2 = 0"))
+            both.wait()
+            return second
+
+        out = scratch.tidied(spark, make)
+        both.wait()
+        return sorted(r["id"] for r in out.collect()), out.inputFiles()
+
+    with ThreadPoolExecutor(2) as pool:
+        (a, of_a), (b, of_b) = pool.map(query, (0, 100))
+    assert a == [0, 2, 4, 6, 8] and b == [100, 102, 104, 106, 108]
+    assert os.path.dirname(of_a[0]) != os.path.dirname(of_b[0])
+    assert spark.conf.get(scratch._CLEAN, None) == before

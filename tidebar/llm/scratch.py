@@ -10,29 +10,39 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import shared_dir
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_SCOPES: list[list[str]] = []
+#: The open scopes of this thread (or other context), so that queries that run side by side keep their tables apart.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+#: Writes under way, and what the setting was before the first of them.
+_LOCK, _WRITES = Lock(), [0, None]
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return its reader."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidebar-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # this write's shuffle files go when it ends
+    with _LOCK:
+        _WRITES[0] += 1
+        if _WRITES[0] == 1:
+            _WRITES[1] = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")  # this write's shuffle files go when it ends
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-    for scope in _SCOPES:
+        with _LOCK:
+            _WRITES[0] -= 1
+            if not _WRITES[0]:
+                spark.conf.unset(_CLEAN) if _WRITES[1] is None else spark.conf.set(_CLEAN, _WRITES[1])
+    for scope in _SCOPES.get():
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,8 +72,8 @@ def tidied(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
 def scope():
     """Gather the scratch tables made inside, so the caller can drop them."""
     made: list[str] = []
-    _SCOPES.append(made)
+    before = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
-        _SCOPES[:] = [s for s in _SCOPES if s is not made]
+        _SCOPES.reset(before)

@@ -8,15 +8,16 @@ entry must beat chance by more than the number of candidates tried.  Hits must
 start at a word boundary (whole words also end at one).  A hit inside an
 exception phrase does not count: a hit with the word before or after it is an
 exception if documents that hold this phrase are rather clean; these are
-learned, besides a few that are given.  The summed weight is normalised by length and calibrated by
-isotonic regression.
+learned, and others can be given.  The summed weight is normalised by length and
+calibrated by isotonic regression.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1,
 at most ``MAX_LABELLED`` of them, chosen by a hash of the id; that bound is also
-what makes the labels' broadcast small.
+what makes the labels' broadcast small, and the sample's texts a table that is
+written once and read by every step of learning.
 
 Defined cases: a null text is an empty one; with no usable label the lexicon is
-empty and every score is 0.5; repeated rows are scored each; a null doc_id is
+empty and every score is exactly 0.5; repeated rows are scored each; a null doc_id is
 scored and counts as not held out.
 """
 
@@ -59,8 +60,6 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: Signs that stand for letters between letters.
 SIGNS = {"@": "a", "$": "s", "!": "i"}
-#: Phrases in which a lexicon word is harmless, whatever the labels show.
-EXCEPTIONS = ("clown fish", "trash bin", "trash can", "trash collection")
 
 
 def _folding() -> dict[int, str]:
@@ -242,23 +241,26 @@ def training(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Four fifths of the learned rows make the lexicon, the others calibrate it,
-    so that words met by chance do not look certain.
+    so that words met by chance do not look certain.  ``exceptions``: phrases in
+    which an entry is harmless, whatever the labels show.
     """
-    train = training(docs, labels)
+    train = settle(training(docs, labels))
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     learned = train.filter(~calibrates).select("text", "y")
     lexicon = learn(learned)
-    exceptions = (*EXCEPTIONS, *learn_exceptions(learned, lexicon))
+    exceptions = (*exceptions, *learn_exceptions(learned, lexicon))
     knots = isotonic(train.filter(calibrates).select("text", "y").mapInArrow(_densities(lexicon, ["y"], exceptions), "y int, density double"), "density", "y", LOW, HIGH)
     densities = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_densities(lexicon, ["doc_id"], exceptions), "doc_id long, density double")
 
+    fitted = bool(lexicon)
+
     @F.pandas_udf("double")
     def score(density: pd.Series) -> pd.Series:
-        return pd.Series(calibrated(density.to_numpy(np.float64), knots, LOW, HIGH))
+        return pd.Series(calibrated(density.to_numpy(np.float64), knots, LOW, HIGH) if fitted else np.full(len(density), 0.5))
 
     return densities.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score("density").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
