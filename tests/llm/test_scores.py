@@ -224,6 +224,19 @@ def test_whole_licence_files_and_the_root_folder(spark):
     assert all((got[i]["licence"], got[i]["basis"], got[i]["inherited_from"]) == ("MIT", "inherited", "") for i in (201, 202, *range(300, 330)))
 
 
+def test_repeated_rows_are_no_licence_files(spark):
+    """A text just under half of whose words state a licence is no licence file, however often its row repeats; with the line twice in it, it is."""
+    text = "Released under the MIT License.\nalpha beta gamma delta epsilon zeta eta theta."
+    twice = text + "\nReleased under the MIT License."
+    kind = "doc_id long, text string, path string"
+    for copies in (1, 2, 7):
+        files = [(1, text, "p/a")] * copies + [(2, "nothing here", "p/b"), (3, twice, "q/a"), (4, "nothing here", "q/b")]
+        out = licenses.scan(spark.createDataFrame(files, kind).repartition(3)).collect()
+        assert len(out) == copies + 3
+        got = {r["doc_id"]: (r["own_licence"], r["is_licence_file"], r["licence"], r["basis"]) for r in out}
+        assert got == {1: ("MIT", False, "MIT", "statement"), 2: (None, False, None, "none"), 3: ("MIT", True, "MIT", "statement"), 4: (None, False, "MIT", "inherited")}
+
+
 def test_templates_need_no_fixed_words(spark):
     files = spark.createDataFrame([(1, "Available under CC BY-SA 4.0", "a/x"), (2, "zork glub frob", "b/x"), (3, "plain prose of some kind", "c/x")], "doc_id long, text string, path string")
     assert {r["doc_id"]: r["licence"] for r in licenses.scan(files).collect()} == {1: "CC-BY-SA-4.0", 2: None, 3: None}

@@ -21,7 +21,7 @@ Defined cases: null and blank texts state nothing and may inherit; a null path
 has no ancestors; a text like a full licence text has that licence, whatever
 lines it holds; ties between templates go to the first name, between licence
 files of a directory to the better cosine and then the first name; repeated
-rows are scanned each; an empty table gives no rows.
+rows are scanned each, as if they stood alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ SENTENCE = r"\r\n|[\n\r]|(?<=[.!?])\s+"
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -60,13 +61,17 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under Creative Commons Zero."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "No part may be reproduced without permission."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 _SENTENCE, _BREAK = re.compile(SENTENCE), re.compile(r"[^\w.+-]+|_+|\.(?=\s|$)")
 
@@ -132,7 +137,7 @@ class Bound:
 
 
 def _find(shared):
-    """Rows (doc_id, path, h, words, whole, terms) of statements and whole texts that may reach the threshold."""
+    """Rows (doc_id, path, h, nth, words, whole, terms) of statements and whole texts that may reach the threshold; ``nth`` tells the statements of a text apart."""
 
     def run(batches):
         part, whole = unpacked(shared)
@@ -143,14 +148,14 @@ def _find(shared):
                 for at, text in enumerate(some.column(3).to_pylist()):
                     parts = _statements(text)
                     every = [t for terms in parts for t in terms]
-                    rows += [(at, len(every), False, terms) for terms in parts if part.reached(terms)]
+                    rows += [(at, nth, len(every), False, terms) for nth, terms in enumerate(parts) if part.reached(terms)]
                     if whole.reached(every):
-                        rows.append((at, len(every), True, every))
+                        rows.append((at, -1, len(every), True, every))
                 if rows:
-                    at, words, flags, terms = zip(*rows, strict=True)
+                    at, nth, words, flags, terms = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [*(some.column(c).take(pa.array(at, type=pa.int64())) for c in range(3)), pa.array(words, type=pa.int32()), pa.array(flags, type=pa.bool_()), pa.array(terms, type=pa.list_(pa.string()))],
-                        names=["doc_id", "path", "h", "words", "whole", "terms"],
+                        [*(some.column(c).take(pa.array(at, type=pa.int64())) for c in range(3)), pa.array(nth, type=pa.int32()), pa.array(words, type=pa.int32()), pa.array(flags, type=pa.bool_()), pa.array(terms, type=pa.list_(pa.string()))],
+                        names=["doc_id", "path", "h", "nth", "words", "whole", "terms"],
                     )
 
     return run
@@ -183,7 +188,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     least = weight(common[-1]["df"]) if len(common) == COMMON else weight(0)
     bounds = Bound([t for _, t, whole in known if not whole], weights, least, similarity), Bound([t for _, t, whole in known if whole], weights, least, WHOLE_SIMILARITY)
 
-    found = files.select("doc_id", "path", F.xxhash64("text").alias("h"), "text").mapInArrow(_find(carried(spark, bounds)), "doc_id long, path string, h long, words int, whole boolean, terms array<string>")
+    found = files.select("doc_id", "path", F.xxhash64("text").alias("h"), "text").mapInArrow(_find(carried(spark, bounds)), "doc_id long, path string, h long, nth int, words int, whole boolean, terms array<string>")
     marked = settle(found.withColumn("k1", F.xxhash64("whole", "terms")).withColumn("k2", F.hash("whole", "terms")))
     bags = settle(marked.groupBy("k1", "k2").agg(F.first("whole").alias("whole"), F.first("terms").alias("terms")))
     held = bags.select(F.explode("terms").alias("term")).distinct().unionByName(vocabulary).distinct()
@@ -194,9 +199,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     cosine = left.join(F.broadcast(right.withColumnRenamed("w", "v")), ["whole", "term"]).groupBy("k1", "k2", "whole", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
     near = cosine.filter(F.round("cosine", 9) >= F.when(F.col("whole"), WHOLE_SIMILARITY).otherwise(similarity))
     best = near.groupBy("k1", "k2").agg(F.max(F.struct(F.round("cosine", 9).alias("cosine"), (-F.col("template")).alias("first"), "licence")).alias("b")).select("k1", "k2", "b.cosine", "b.licence")
-    stated = marked.join(settle(best), ["k1", "k2"]).select("doc_id", "h", "path", "words", "whole", F.size("terms").alias("n"), "cosine", "licence")
+    stated = marked.join(settle(best), ["k1", "k2"]).select("doc_id", "h", "path", "nth", "words", F.size("terms").alias("n"), F.struct("whole", "cosine", "licence").alias("top"))
+    # a row that repeats gives each of its statements again; one text's words are held against one text's statements
+    stated = stated.groupBy("doc_id", "h", "path", "nth").agg(F.max("top").alias("top"), F.max("n").alias("n"), F.max("words").alias("words"))
     own = settle(
-        stated.groupBy("doc_id", "h", "path").agg(F.max(F.struct("whole", "cosine", "licence")).alias("top"), F.sum("n").alias("n"), F.first("words").alias("words")).select("doc_id", "h", "path", "top.cosine", "top.licence", (2 * F.col("n") >= F.col("words")).alias("is_file"))
+        stated.groupBy("doc_id", "h", "path").agg(F.max("top").alias("top"), F.sum("n").alias("n"), F.max("words").alias("words")).select("doc_id", "h", "path", "top.cosine", "top.licence", (2 * F.col("n") >= F.col("words")).alias("is_file"))
     )
 
     # licence files speak for their directory; the nearest of a path's ancestors wins
