@@ -174,15 +174,51 @@ def brute_leaves(points, shards):
     return {p["doc_id"]: n for n, g in enumerate(groups) for p in g}
 
 
-def test_shards_against_sorting_everything(spark):
+def brute_points(texts, shards):
+    """Sizes, hashes, coordinates and chunks of texts, whose numbers are their ids."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    points = []
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        size = len(raw) + 1
+        points.append({"doc_id": k, "size": size, "h": signed(xxhash.xxh64_intdigest(raw, seed=42)), "d_bytes": math.log2(size) / 40, "d_script": len(t) / len(raw) if raw else 1.0, "d_words": t.count(" ") / len(t) if t else 0.0})
+    total = sum(p["size"] for p in points)
+    limit = max(1.0, total / shards * 0.0005, 4 * total / len(points))
+    weight = Counter()
+    for p in points:
+        weight[p["h"]] += p["size"]
+    for p in points:
+        chunks = min(4096, math.ceil(weight[p["h"]] / limit)) if weight[p["h"]] > limit else 1
+        p["chunk"] = signed(xxhash.xxh64_intdigest(struct.pack("<q", p["doc_id"]), seed=42)) % chunks
+    return points
+
+
+def test_many_shards_in_few_passes(spark):
+    """1,024 shards take the same few jobs as 8 where nodes are small, and every leaf holds about as much."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, prose(rng, rng.randrange(5, 40))) for k in range(6000)], DOCS)
+    out = sharding.shard(df, 1024).groupBy("shard").agg(F.sum("size").alias("w"), F.max("slot").alias("top"), F.count("*").alias("n")).collect()
+    assert len(out) == 1024 and all(r["top"] == r["n"] - 1 for r in out)
+    mean = sum(r["w"] for r in out) / 1024
+    assert all(abs(r["w"] - mean) < 0.7 * mean for r in out)
+
+
+def test_shards_against_sorting_everything(spark, monkeypatch):
     rng = random.Random(7)
     texts = [prose(rng, int(rng.expovariate(1 / 30))) + rng.choice(["", "é" * rng.randrange(60), " " * rng.randrange(60)]) for _ in range(800)] + [prose(rng, 50)] * 120
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
     got = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 8).collect()}
-    points = sharding.measured(df)
-    total = points.agg(F.sum("size")).first()[0]
-    rows = [r.asDict() for r in sharding._chunked(points, total / 8, 0.0005).collect()]
+    rows = brute_points(texts, 8)
+    total = sum(r["size"] for r in rows)
     assert got == brute_leaves(rows, 8)
+    monkeypatch.setattr(sharding, "FEW", 60)  # most levels by joins and windows, the last ones in tasks
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(df, 8).collect()} == got
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(df, 64).collect()} == brute_leaves(brute_points(texts, 64), 64)
+    monkeypatch.undo()
     by_bytes = sharding.shard(df, target_bytes=total // 5)
     assert by_bytes.select("shard").distinct().count() == 8 and by_bytes.groupBy("shard").agg(F.sum("size").alias("w")).filter(F.col("w") > total // 5).count() == 0
     assert sharding.shard(df, target_bytes=10**12).select("shard").distinct().count() == 1
