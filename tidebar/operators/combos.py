@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_symbol, tokenize
 
+#: Tokens that more than this share of the funds hold make no pairs.
+COMMON = 0.5
+
+
 def with_role(df: DataFrame, role: str) -> DataFrame:
     return df.select("symbol", *[F.col(c).alias(f"{role}_{'date' if c == 'ts' else c}") for c in df.columns if c != "symbol"])
 
@@ -21,8 +25,10 @@ def build_combo(lower: DataFrame, middle: DataFrame, upper: DataFrame) -> DataFr
 
 
 def restrict(df: DataFrame, universe: DataFrame) -> DataFrame:
-    """Only symbols of the universe; an empty universe does not restrict."""
-    return df if universe.isEmpty() else df.join(universe.select("symbol").distinct(), "symbol", "left_semi")
+    """Only symbols of the universe; an empty universe does not restrict, which the job itself finds out."""
+    listed = universe.select("symbol").distinct()
+    none = listed.agg(F.count(F.lit(1)) == 0).scalar()
+    return df.join(listed.withColumn("_listed", F.lit(True)), "symbol", "left").filter(F.col("_listed").isNotNull() | none).drop("_listed")
 
 
 def symbols_for(universes: dict[str, DataFrame], exclusions: DataFrame, shortlists: tuple[str, ...] = ("shortlist_stocks", "shortlist_futures")) -> DataFrame:
@@ -44,16 +50,34 @@ def match_by_tokens(stocks: DataFrame, etfs: DataFrame, overrides: DataFrame | N
     """Best ETF of each stock by token similarity of industry and of sector.
 
     An inverted index instead of all pairs: distinct texts are tokenised once,
-    tokens meet by an equi-join, and shared tokens are counted.  ``etfs`` has
-    symbol, name and pos (its order, which breaks ties).
+    tokens meet by an equi-join, and shared tokens are counted.  Tokens of more
+    than ``COMMON`` of the funds make no pairs: they are carried along and counted
+    where a rarer token has met, and funds that share nothing else with a text
+    are told apart by their common tokens and size only, so the first fund of
+    each such kind stands for all.  ``etfs`` has symbol, name and pos (its order,
+    which breaks ties).
     """
     stocks = stocks.filter("sector is not null and industry is not null")
     funds = etfs.select(F.col("symbol").alias("etf"), F.col("name").alias("etf_name"), "pos", tokenize(F.col("name")).alias("ft")).filter(F.size("ft") > 0)
-    by_token = funds.select("etf", "etf_name", "pos", F.size("ft").alias("nf"), F.explode("ft").alias("token"))
+    counts = funds.select(F.explode("ft").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # at most 1 / COMMON times the tokens of a mean name
+    common = counts.filter(F.col("n") > COMMON * funds.agg(F.count(F.lit(1))).scalar()).agg(F.collect_list("token")).scalar()
+
+    def split(df: DataFrame, tokens: str, size: str, hot: str, cold: str) -> DataFrame:
+        return df.withColumns({size: F.size(tokens), hot: F.sort_array(F.array_intersect(tokens, common)), cold: F.array_except(tokens, common)})
+
+    funds = split(funds, "ft", "nf", "fh", "fc")
+    by_token = funds.select("etf", "etf_name", "pos", "nf", "fh", F.explode("fc").alias("token"))
+    by_kind = funds.groupBy("fh", "nf").agg(F.min(F.struct("pos", "etf", "etf_name")).alias("f")).select("fh", "nf", "f.*", F.explode("fh").alias("token"))
+    both = F.size(F.array_intersect("th", "fh"))
 
     def best(column: str) -> DataFrame:
-        texts = stocks.select(column).distinct().withColumn("t", tokenize(F.col(column)))
-        hits = texts.select(column, F.size("t").alias("nt"), F.explode("t").alias("token")).join(by_token, "token").groupBy(column, "nt", "etf", "etf_name", "pos", "nf").agg(F.count(F.lit(1)).alias("k"))
+        texts = split(stocks.select(column).distinct().withColumn("t", tokenize(F.col(column))), "t", "nt", "th", "tc")
+        names = ["etf", "etf_name", "pos", "nf"]
+        rare = texts.select(column, "nt", "th", F.explode("tc").alias("token")).join(by_token, "token").groupBy(column, "nt", *names, both.alias("kh")).agg(F.count(F.lit(1)).alias("kc")).select(column, "nt", *names, (F.col("kh") + F.col("kc")).alias("k"))
+        # what shares common tokens only: kinds of texts against kinds of funds, of which the first stands for all
+        kinds = texts.select("nt", "th").distinct().withColumn("token", F.explode("th")).join(by_kind, "token").select("nt", "th", *names, both.alias("k")).distinct()
+        hits = rare.unionByName(texts.select(column, "nt", "th").join(kinds, ["nt", "th"]).select(column, "nt", *names, "k"))
         scored = hits.withColumn("score", F.col("k") / (F.col("nt") + F.col("nf") - F.col("k")))
         top = scored.groupBy(column).agg(F.max_by(F.struct("etf", "etf_name", "score"), F.struct("score", -F.col("pos"))).alias("b"))
         return top.select(column, F.col("b.etf").alias(f"{column}_etf"), F.col("b.etf_name").alias(f"{column}_etf_name"), F.col("b.score").alias(f"{column}_score"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import session as ss
 from ..functions import text as tx
 from ..operators import combos, desk, frames, repair, resample
+from ..operators.asof import asof_join
 from ..sources import bars as src
 from ..sources.scratch import shared_dir
 from . import fixtures as fx
@@ -63,6 +64,40 @@ def combo_history(s, d):
     return src.read_combo_asof(s, path, "stocks", "c", "2024-01-02T18-00-00").unionByName(src.read_combo_asof(s, path, "stocks", "c")).select("symbol", "x", "asof")
 
 
+_AT = "TIMESTAMP '2024-01-02 00:00:00' + INTERVAL (c_custkey % 60) HOURS"
+
+
+@query(
+    "combo_history_at",
+    o.sql(f"SELECT r.custkey, r.asof, strftime(h.day, '%Y-%m-%dT%H-%M-%S') AS seen_asof, c.symbol, c.macdv_guard + h.k AS x FROM (SELECT c_custkey AS custkey, strftime({_AT}, '%Y-%m-%dT%H-%M-%S') AS asof, {_AT} AS moment FROM customer) r ASOF JOIN (VALUES {', '.join(f"(TIMESTAMP '{day}', {k})" for k, day in enumerate(_DAYS, 1))}) h(day, k) ON r.moment >= h.day JOIN combo c ON c.symbol = CAST(r.custkey AS VARCHAR)", "combo"),
+)
+def combo_history_at(s, d):
+    """Each customer asks for its combo at a moment of its own."""
+    path = fresh(s)
+    for k, day in enumerate(_DAYS, 1):
+        src.write_combo(fx.combo(s, d).select("symbol", (F.col("macdv_guard") + k).alias("x")), path, "stocks", "c", day)
+    moment = F.lit("2024-01-02").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("c_custkey") % 60).cast("int"))
+    asked = fx.table(s, d, "customer").select(F.lit("stocks").alias("namespace"), F.lit("c").alias("combo"), F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss").alias("asof"), F.col("c_custkey").alias("custkey"))
+    return src.combo_history_at(s, path, asked).filter(F.col("symbol") == F.col("custkey").cast("string")).select("custkey", "asof", "seen_asof", "symbol", "x")
+
+
+_ASOF = o.sql("SELECT e.event_id, e.event_type AS symbol, e.ts, b.ts AS bar_ts, b.close AS bar_close FROM (SELECT event_id, event_type, ts FROM events) e ASOF LEFT JOIN m15 b ON b.symbol = e.event_type AND e.ts >= b.ts + INTERVAL 15 MINUTES", "m15")
+
+
+def _asof(stretch: str | None):
+    def run(s, d):
+        """The last quarter hour that was over when a tick came."""
+        bars = fx.minutes(s, d, 15).select("symbol", (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("at"), "ts", "close")
+        ticks = fx.table(s, d, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("ts").cast("timestamp_ntz").alias("at"))
+        return asof_join(ticks, bars, ["symbol"], "at", stretch, "bar_").select("event_id", "symbol", "ts", "bar_ts", "bar_close")
+
+    return run
+
+
+query("asof_bars", _ASOF)(_asof(None))
+query("asof_bars_stretched", _ASOF)(_asof("6 hours"))
+
+
 def _csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).csv(path)
 

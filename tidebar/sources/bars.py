@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_symbol
+from ..operators.asof import asof_join
 from ..operators.resample import BAR
 
 SCHEMA = "namespace string, timeframe string, symbol string, ts timestamp_ntz, open double, high double, low double, close double, adj_close double, volume double"
@@ -51,13 +52,29 @@ def write_combo(df: DataFrame, path: str, namespace: str, combo: str, asof: date
     return key
 
 
-def read_combo_asof(spark: SparkSession, path: str, namespace: str, combo: str, asof: str | None = None) -> DataFrame:
-    """The latest history of a combo, or the latest no later than ``asof``."""
+def _history(spark: SparkSession, path: str) -> DataFrame:
     # dates such as 2024-01-02T03-04-05 must stay strings
-    history = spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/history").filter((F.col("namespace") == namespace) & (F.col("combo") == combo)).withColumn("asof", F.col("asof").cast("string"))
+    return spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/history").withColumn("asof", F.col("asof").cast("string"))
+
+
+def read_combo_asof(spark: SparkSession, path: str, namespace: str, combo: str, asof: str | None = None) -> DataFrame:
+    """The latest history of a combo, or the latest no later than ``asof``; found by the job that reads it."""
+    history = _history(spark, path).filter((F.col("namespace") == namespace) & (F.col("combo") == combo))
     history = history.filter(F.col("asof") <= asof) if asof else history
-    last = history.agg(F.max("asof")).first()[0]
-    return history.filter(F.col("asof") == last)
+    return history.filter(F.col("asof") == history.agg(F.max("asof")).scalar())
+
+
+def combo_history_at(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """The history that each request (namespace, combo, asof, and any other columns) would have seen, for all of them at once.
+
+    ``asof`` is the request's moment, ``seen_asof`` the date of what it saw;
+    requests before the first date, and of unknown combos, give no rows.
+    """
+    history = _history(spark, path)
+    dates = history.select("namespace", "combo", "asof").distinct()
+    seen = asof_join(requests, dates, ["namespace", "combo"], "asof", prefix="seen_").filter("seen_asof is not null")
+    rows = history.withColumnRenamed("asof", "seen_asof")
+    return seen.join(rows, ["namespace", "combo", "seen_asof"])
 
 
 def symbol_dim(df: DataFrame) -> DataFrame:
