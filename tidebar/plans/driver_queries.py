@@ -12,7 +12,7 @@ from ..operators import scoring
 from ..operators.resample import fold_bars, fold_ticks, resample_weekly
 from ..sources import bars as src
 from ..sources.scratch import shared_dir
-from ..streaming.forming import forming_bars, into_table, newest
+from ..streaming.forming import forming_bars, forming_bars_with_stubs, into_table, newest
 from . import config, loading, pipelines
 from . import fixtures as fx
 from . import oracle as o
@@ -472,3 +472,25 @@ def stream_late_ticks(s, d):
         q = into_table(forming_bars(stream), f"{path}/bars", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return newest(s, f"{path}/bars")
+
+
+_STUBBED = """mark AS (SELECT max(ts) - INTERVAL 10 MINUTES AS m FROM ticks), hours AS (SELECT symbol, unnest(generate_series(min(ts), greatest(max(ts), date_trunc('hour', (SELECT m FROM mark))), INTERVAL 1 HOUR)) AS ts FROM h1 GROUP BY symbol),
+ whole AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM hours LEFT JOIN h1 USING (symbol, ts))"""
+
+
+@query("stream_stubs", o.sql(f"SELECT symbol, ts, {', '.join(f'coalesce({x}, c) AS {x}' for x in PX[:5])}, coalesce(volume, 0.0) AS volume FROM whole", "h1", extra=_STUBBED))
+def stream_stubs(s, d):
+    """The events as a stream to its end, with a stub for every hour in which a symbol falls silent."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    source = fx.table(s, d, "events")
+    t = s.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    t = t.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("id"))
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = into_table(forming_bars_with_stubs(t), f"{path}/bars", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        s.conf.set(store, before)
+    return newest(s, f"{path}/bars")
