@@ -66,7 +66,7 @@ def test_recursions_from_stretches(spark, stretch):
     closes = [None if rng.random() < 0.3 or 40 < i < 75 else rng.uniform(1, 9) for i in range(150)]
     df = bars(spark, closes).unionByName(bars(spark, [None] * 23 + [4.0, *closes[:90]], symbol="b")).unionByName(bars(spark, [None] * 30, symbol="c")).repartition(5)
     df = df.withColumn("volume", F.when(F.hour("ts") % 5 != 0, F.hour("ts") / 30))
-    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4), Series("mm", "wilder", "ms", 3)]
+    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4), Series("mm", "wilder", "ms", 3), Series("r", "pctrank", "close", 4), Series("rr", "pctrank", "e", 60)]
     one, many = (x.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (recursions(df, wanted), recursions(df, wanted, stretch=stretch)))
     assert list(one.columns) == list(many.columns) and one["mm"].notna().sum() > 100
     pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-12)
@@ -90,6 +90,22 @@ def test_stretches_spread_one_symbol(spark):
     pd.testing.assert_series_equal(small, recursions(df, wanted).orderBy("ts").toPandas()["e"])
 
 
+def test_percent_rank_is_that_of_the_window(spark):
+    """Ties, gaps, a frame longer than the series, batches of five: as over the window."""
+    import random
+
+    rng = random.Random(9)
+    df = bars(spark, [None if rng.random() < 0.1 else float(rng.randrange(6)) for _ in range(90)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        for n in (1, 2, 7, 100):
+            out = recursions(df, [Series("r", "pctrank", "close", n)]).withColumn("w", frames.pctrank("close", n)).orderBy("ts").collect()
+            assert [r["r"] for r in out] == [r["w"] for r in out]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_composition_of_summaries():
     """Summaries join in any grouping, and stand for the walk over their bars."""
     import numpy as np

@@ -34,15 +34,28 @@ def wyckoff_stage(df: DataFrame, out: str, fast: int, inter: int, slow: int) ->
     return df.withColumn(out, F.when(F.col("bars") >= max(fast, inter, slow), code)).drop("_f", "_i", "_s", "_v1")
 
 
+def body_weight() -> Column:
+    """How much of a bar its body is: (100 body) to the power of body / range, 0 without a range."""
+    body, span = F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
+    return F.when(span == 0, 0.0).otherwise(F.pow(body * 100.0, F.try_divide(body, span)))
+
+
+def needs_exh(lookback: int = 126, **_) -> list[Series]:
+    return [Series(f"pct_body_{lookback}", "pctrank", "body_weight", lookback), *needs_volume_rank(lookback)]
+
+
+def needs_volume_rank(lookback: int = 126, **_) -> list[Series]:
+    return [Series(f"pct_volume_{lookback}", "pctrank", "volume", lookback)]
+
+
 def exh_abs_price_action(df: DataFrame, out: str, floor=33.0, ceiling=67.0, lookback=126, scan=2, check=1, wick=0.5, strict=False, z=0) -> DataFrame:
     """Exhaustion and absorption: +-1 pin bars, +-2 engulfing bars; z = 1 asks the next bar to confirm."""
     own = [F.col(f"`{x}`") for x in df.columns]
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    body, span = F.abs(c - o), h - low
-    df = df.withColumns({"_mx": pmax(o, c), "_mn": pmin(o, c), "_cb": F.when(span == 0, 0.0).otherwise(F.pow(body * 100.0, F.try_divide(body, span))), "_hh": f.rmax("high", scan), "_ll": f.rmin("low", scan)})
+    df = df.withColumns({"_mx": pmax(o, c), "_mn": pmin(o, c), "_hh": f.rmax("high", scan), "_ll": f.rmin("low", scan)})
     lags = {f"_{n}{k}": f.lag(n if n[0] != "_" else F.col(n), k) for n in ("_mx", "_mn") for k in (1, 2, 3)}
     lags |= {f"_{n}1": f.lag(n) for n in ("open", "close", "high", "low")} | {f"{n}{k}": f.lag(F.col(n), k) for n in ("_hh", "_ll") for k in (1, 2)}
-    df = df.withColumns({"_cp": f.pctrank("_cb", lookback), "_vp": f.pctrank("volume", lookback)} | lags)
+    df = df.withColumns({"_cp": F.col(f"pct_body_{lookback}"), "_vp": F.col(f"pct_volume_{lookback}")} | lags)
     g = F.col
     exh = yes((floor - F.floor(g("_vp"))) + (floor - F.floor(g("_cp"))) >= 0)
     absorb = yes((F.ceil(g("_vp")) - ceiling) + (floor - F.floor(g("_cp"))) >= 0)
@@ -74,7 +87,7 @@ def exh_abs_price_action(df: DataFrame, out: str, floor=33.0, ceiling=67.0, look
 
 
 def significant_volume(df: DataFrame, out: str, lookback=126, floor=33.0, ceiling=67.0, z=0) -> DataFrame:
-    df = df.withColumn("_p", F.ceil(f.pctrank("volume", lookback)))
+    df = df.withColumn("_p", F.ceil(F.col(f"pct_volume_{lookback}")))
     df = df.withColumns({"_p0": f.lag(F.col("_p"), z), "_p1": f.lag(F.col("_p"), z + 1)})
     either = lambda t: yes(F.col("_p0") >= t) | yes(F.col("_p1") >= t)
     return df.withColumn(out, F.when(either(ceiling), 2.0).when(either(floor), 1.0).otherwise(0.0)).drop("_p", "_p0", "_p1")

@@ -13,6 +13,10 @@ that has a source value.  Chains compose, so nothing has to walk bar by bar:
   the state so found.  A symbol with all the bars there are is spread over as
   many tasks as it has stretches.
 
+The percent rank over a sliding frame goes with them: what it hands on is the
+frame's values but one, and an order-statistic structure (a skip list) makes its
+cost independent of the frame's length.
+
 All series that a job needs are asked for in one call.  With stretches a series
 over another one (the signal line) waits for it: one such pass for each level.
 """
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Series:
-    """A recursive series: out = kind(source, n).
+    """A series along a symbol's bars: out = kind(source, n).
 
     kinds: ``ema`` (weight 2/(n+1)), ``wilder`` (weight 1/n), ``vma`` (weight
     from column ``by``, first value as it is), ``macdv`` (100 (source - by) / over,
@@ -64,8 +68,6 @@ class Recursion:
     own (none is 0), and missing bars have no mean.
     """
 
-    #: Numbers of a summary: bars, missing bars before the first value, first value, its weight, the chain after it (a, b), values, missing bars after the last.
-    SUMMARY = 8
     #: Numbers of a state: value, bars since, values seen.
     START = (np.nan, 0.0, 0.0)
 
@@ -81,6 +83,7 @@ class Recursion:
         return old / (old + self.alpha), self.alpha * x / (old + self.alpha)
 
     def summary(self, x: np.ndarray, w: np.ndarray) -> tuple[float, ...]:
+        """Bars, missing bars before the first value, first value, its weight, the chain after it (a, b), values, missing bars after the last."""
         at = np.flatnonzero(~np.isnan(x))
         if not len(at):
             return len(x), len(x), 0.0, 0.0, 1.0, 0.0, 0.0, len(x)
@@ -126,8 +129,30 @@ class Recursion:
         return out, (mean[-1], float(len(x) - 1 - at[-1]), seen + len(at))
 
 
-def recursion(s: Series) -> Recursion | None:
-    return {"ema": lambda: Recursion(2 / (s.n + 1), s.n), "wilder": lambda: Recursion(1 / s.n, s.n), "vma": Recursion, "macdv": lambda: None}[s.kind]()
+class Rank:
+    """Percentage of the last n values that are no greater than the last, where all n are there; states and summaries are the last n - 1."""
+
+    START = ()
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def summary(self, x: np.ndarray, w: np.ndarray) -> tuple[float, ...]:
+        return tuple(x[max(0, len(x) - self.n + 1) :].tolist())
+
+    def joined(self, s, t) -> tuple[float, ...]:
+        return (*s, *t)[max(0, len(s) + len(t) - self.n + 1) :]
+
+    after = joined
+
+    def __call__(self, state, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, tuple[float, ...]]:
+        frame = np.concatenate([np.asarray(state, dtype=float), x])
+        rank = pd.Series(frame).rolling(self.n, min_periods=self.n).rank(method="max").to_numpy()[len(state) :]
+        return rank * 100.0 / self.n, self.summary(frame, frame)
+
+
+def recursion(s: Series) -> Recursion | Rank | None:
+    return {"ema": lambda: Recursion(2 / (s.n + 1), s.n), "wilder": lambda: Recursion(1 / s.n, s.n), "vma": Recursion, "macdv": lambda: None, "pctrank": lambda: Rank(s.n)}[s.kind]()
 
 
 def levels(wanted: list[Series]) -> list[list[Series]]:
@@ -143,7 +168,7 @@ class States:
 
     def __init__(self, wanted: list[Series], states: list | None = None):
         self.steps = [(s, recursion(s)) for s in wanted]
-        self.held = states or [Recursion.START] * len(wanted)
+        self.held = states or [None if step is None else step.START for _, step in self.steps]
 
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         made: dict[str, np.ndarray] = {}
@@ -179,9 +204,10 @@ def recursions(df: DataFrame, wanted: list[Series], key: str = "symbol", stretch
     """
     wanted = list(dict.fromkeys(wanted))
     if stretch is not None:
+        given = df.columns
         for level in levels(wanted):
             df = _scanned(df, level, key, stretch)
-        return df
+        return df.select(*given, *[s.out for s in wanted])
     schema = T.StructType([*df.schema.fields, *[T.StructField(s.out, T.DoubleType()) for s in wanted]])
     columns = df.columns
 
@@ -206,11 +232,11 @@ def _scanned(df: DataFrame, level: list[Series], key: str, stretch: str) -> Data
     chains = [(s, r) for s in level if (r := recursion(s)) is not None]
     columns, names = df.columns, {f.name: f for f in df.schema.fields}
     cut = df.withColumn("_stretch", F.window("ts", stretch).start)
-    place = T.StructType([names[key], T.StructField("_stretch", cut.schema["_stretch"].dataType), T.StructField("_state", T.ArrayType(T.DoubleType()))])
+    place = T.StructType([names[key], T.StructField("_stretch", cut.schema["_stretch"].dataType), T.StructField("_state", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def summed(batches):
         last, held = None, []
-        frame = lambda: pd.DataFrame({key: [last[0]], "_stretch": [last[1]], "_state": [[float(v) for s in held for v in s]]})
+        frame = lambda: pd.DataFrame({key: [last[0]], "_stretch": [last[1]], "_state": [[[float(v) for v in s] for s in held]]})
         for pdf in batches:
             for at, part in _runs(pdf, [key, "_stretch"]):
                 new = [r.summary(_numbers(part, s.source), _numbers(part, s.by or s.source)) for s, r in chains]
@@ -229,10 +255,10 @@ def _scanned(df: DataFrame, level: list[Series], key: str, stretch: str) -> Data
             out = []
             for (at,), part in _runs(pdf, [key]):
                 if at != last or not states:
-                    last, states = at, [Recursion.START] * len(chains)
+                    last, states = at, [r.START for _, r in chains]
                 for sums in part["_state"]:
-                    out.append([float(v) for s in states for v in s])
-                    states = [r.after(s, sums[k * r.SUMMARY : (k + 1) * r.SUMMARY]) for k, ((_, r), s) in enumerate(zip(chains, states, strict=True))]
+                    out.append([[float(v) for v in s] for s in states])
+                    states = [r.after(s, t.tolist()) for (_, r), s, t in zip(chains, states, sums, strict=True)]
             yield pdf.assign(_state=out)
 
     def applied(batches):
@@ -240,14 +266,14 @@ def _scanned(df: DataFrame, level: list[Series], key: str, stretch: str) -> Data
         for pdf in batches:
             for _, part in _runs(pdf, [key, "_stretch"]):
                 if part["_state"].iat[0] is not None:
-                    flat = iter(np.asarray(part["_state"].iat[0], dtype=float).reshape(-1, 3).tolist())
-                    states, part = States(level, [tuple(next(flat)) if recursion(s) else None for s in level]), part.iloc[1:]
+                    given = iter(part["_state"].iat[0])
+                    states, part = States(level, [None if recursion(s) is None else tuple(next(given).tolist()) for s in level]), part.iloc[1:]
                 if len(part):
                     yield states(part[columns])
 
     sums = cut.select(key, "_stretch", "ts", *dict.fromkeys(c for s, _ in chains for c in (s.source, s.by) if c)).repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "ts").mapInPandas(summed, place)
     states = sums.repartition(key).sortWithinPartitions(key, "_stretch").mapInPandas(strung, place)
     # states come as rows before the bars of their stretch, so that what belongs together is dealt out whole
-    both = cut.withColumn("_state", F.lit(None).cast("array<double>")).unionByName(states, allowMissingColumns=True).withColumn("_own", F.col("_state").isNull())
+    both = cut.withColumn("_state", F.lit(None).cast("array<array<double>>")).unionByName(states, allowMissingColumns=True).withColumn("_own", F.col("_state").isNull())
     dealt = both.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_own", "ts")
     return dealt.mapInPandas(applied, T.StructType([*df.schema.fields, *[T.StructField(s.out, T.DoubleType()) for s in level]]))

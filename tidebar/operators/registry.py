@@ -23,8 +23,8 @@ from .kernel import Series, recursions
 
 REGISTRY = {
     "wyckoff_stage": (k.wyckoff_stage, k.needs_wyckoff),
-    "exh_abs_price_action": (k.exh_abs_price_action, None),
-    "significant_volume": (k.significant_volume, None),
+    "exh_abs_price_action": (k.exh_abs_price_action, k.needs_exh),
+    "significant_volume": (k.significant_volume, k.needs_volume_rank),
     "spy_qqq_volume_ma_ratio": (k.volume_ma_ratio, None),
     "movingavg_trend_bullish": (k.movingavg_trend_bullish, k.needs_trend),
     "movingavg_trend_bearish": (k.movingavg_trend_bearish, k.needs_trend),
@@ -58,6 +58,7 @@ def prepared(df: DataFrame, series: list[Series], stretch: str | None = None) ->
     base = df.withColumns({"rn": F.row_number().over(f.by_time()), "bars": F.count(F.lit(1)).over(f.whole()), "_up": f.up("close"), "_down": f.down("close"), "tr": f.true_range()})
     weights = {s.by: k.vma_weight(s.n) for s in series if s.kind == "vma"}
     weights |= {c: F.coalesce(F.col(b), F.lit(0.0)) for c, b in (("_gain", "_up"), ("_loss", "_down")) if any(s.source == c for s in series)}
+    weights |= {"body_weight": k.body_weight()} if any(s.source == "body_weight" for s in series) else {}
     shifted = {s.source: f.lag("close", int(s.source[6:])) for s in series if s.source.startswith("close_")}
     base = base.withColumns(weights | shifted) if weights | shifted else base
     return recursions(base, series, stretch=stretch) if series else base

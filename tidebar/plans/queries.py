@@ -177,7 +177,6 @@ windowed("sma_adaptive", lambda: frames.sma_adaptive("volume", 26), f"CASE WHEN
 windowed("slope_n", lambda: frames.slope_n("close", 5), f"(close - {o.lag('close', 5)}) / 5")
 windowed("ols_slope", lambda: frames.ols_slope("close", 14), o.full("close", 14, f"regr_slope(close, rn) {o.over(14)}"))
 windowed("linreg", lambda: frames.linreg("close", 20), o.full("close", 20, f"regr_intercept(close, rn) {o.over(20)} + regr_slope(close, rn) {o.over(20)} * rn"))
-windowed("pctrank", lambda: frames.pctrank("volume", 115), o.pctrank("volume", 115))
 windowed("donchian", lambda: frames.donchian(20), f"({o.full('high', 20, f'max(high) {o.over(20)}')} + {o.full('low', 20, f'min(low) {o.over(20)}')}) / 2")
 windowed("vwma", lambda: frames.vwma(15), f"{o.rsum('volume * close', 15)} / nullif({o.rsum('volume', 15)}, 0)", digits=9)
 windowed("true_range", frames.true_range, "tr")
@@ -206,6 +205,10 @@ def recursive(name: str, wanted: list[Series], columns: dict, sql_columns: str,
     query(f"{name}_scan", sql)(made("10 hours"))
 
 
+_RANK = o.sql(f"SELECT symbol, ts, round({o.pctrank('volume', 115)}, 6) AS v FROM nb", "nb")
+for _name, _stretch in (("pctrank", None), ("pctrank_scan", "3 days")):
+    query(_name, _RANK)(lambda s, d, stretch=_stretch: r6(_series(s, d, [Series("v", "pctrank", "volume", 115)], stretch).select("symbol", "ts", "v"), "v"))
+windowed("pctrank_window", lambda: frames.pctrank("volume", 20), o.pctrank("volume", 20))
 recursive("ema", [Series("ema_21", "ema", "close", 21)], {"v": "ema_21"}, "round(e21, 6) AS v")
 recursive("wilder", [Series("w", "wilder", "close", 14)], {"v": "w"}, "round(w14, 6) AS v")
 recursive("atr", [Series("a", "wilder", "tr", 14)], {"v": "a"}, "round(a14, 6) AS v")
