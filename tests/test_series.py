@@ -65,8 +65,8 @@ def test_recursions_from_stretches(spark, stretch):
     rng = random.Random(5)
     closes = [None if rng.random() < 0.3 or 40 < i < 75 else rng.uniform(1, 9) for i in range(150)]
     df = bars(spark, closes).unionByName(bars(spark, [None] * 23 + [4.0, *closes[:90]], symbol="b")).unionByName(bars(spark, [None] * 30, symbol="c")).repartition(5)
-    df = df.withColumn("volume", F.when(F.hour("ts") % 5 != 0, F.hour("ts") / 30))
-    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4), Series("mm", "wilder", "ms", 3), Series("r", "pctrank", "close", 4), Series("rr", "pctrank", "e", 60)]
+    df = df.withColumns({"volume": F.when(F.hour("ts") % 5 != 0, F.hour("ts") / 30), "dense": (F.hour("ts") * 7 % 11).cast("double")})
+    wanted = [Series("e", "ema", "close", 9), Series("w", "wilder", "close", 5), Series("v", "vma", "close", 5, by="volume"), Series("m", "macdv", "e", by="w", over="open"), Series("ms", "ema", "m", 4), Series("mm", "wilder", "ms", 3), Series("r", "pctrank", "close", 4), Series("rr", "pctrank", "dense", 60)]
     one, many = (x.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (recursions(df, wanted), recursions(df, wanted, stretch=stretch)))
     assert list(one.columns) == list(many.columns) and one["mm"].notna().sum() > 100
     pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-12)
