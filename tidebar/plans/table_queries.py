@@ -14,6 +14,7 @@ from ..operators import combos, desk, frames, repair, resample
 from ..operators.asof import asof_join
 from ..sources import bars as src
 from ..sources.scratch import shared_dir
+from ..sources.store import BarStore
 from . import fixtures as fx
 from . import oracle as o
 from . import pipelines
@@ -38,6 +39,26 @@ def bars_round_trip(s, d):
     return src.read_bars(s, path, "futures", "intraday_1h").unionByName(src.read_bars(s, path, "stocks", "daily")).select(*BARS.split(", "))
 
 
+_STORED = "SELECT symbol, ts, open, high, low, close + {k} AS close, adj_close, volume FROM h1 WHERE {where}"
+_LOADS = ["ts < TIMESTAMP '2024-01-15'", "ts >= TIMESTAMP '2024-01-10' AND symbol < 'm'", "ts >= TIMESTAMP '2024-01-20' AND symbol >= 'm'"]
+
+
+@query(
+    "bar_store",
+    o.sql(
+        f"SELECT {BARS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS q FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY k DESC) AS r FROM ({' UNION ALL '.join(f'SELECT *, {k} AS k FROM ({_STORED.format(k=k, where=w)})' for k, w in enumerate(_LOADS))})) WHERE r = 1) WHERE q <= 300",
+        "h1",
+    ),
+)
+def bar_store(s, d):
+    """Three upserts into a bucketed table, two of which touch some symbols only."""
+    store = BarStore(s, fresh(s), 8)
+    for k, where in enumerate(_LOADS):
+        store.upsert(_tagged(fx.hourly(s, d).filter(where.replace("TIMESTAMP", "TIMESTAMP_NTZ")).withColumn("close", F.col("close") + k), "futures", "intraday_1h"), 300)
+    store.vacuum()
+    return store.read("futures", "intraday_1h").select(*BARS.split(", "))
+
+
 @query("bars_in_lookback", o.sql(f"SELECT {BARS} FROM d1 WHERE ts >= TIMESTAMP '1997-07-01' - INTERVAL 390 DAYS AND symbol IN ('1-URGENT', '2-HIGH', '5-LOW')", "d1"))
 def bars_in_lookback(s, d):
     path = fresh(s)
