@@ -21,13 +21,14 @@ Which strings of ``length`` bytes start at two places of the corpus?
    shares, for all alignments that hold the anchor, which is exactly all.
 
 A group of contexts with one anchor goes to one task up to ``MAX_GROUP``
-contexts (some 40 MB), so that a line that stands between different neighbours in
-a third of all documents is not gathered; larger groups take a path of the same
-result: first a hash of what all windows of a quarter of the starts hold, which
-leaves out contexts that share no more than the line, then a hash of each window
-of the others, both counted with map-side combination.
-Contexts are told apart by 128 bits of hash beside the anchor's 64, windows of
-large groups by 64 beside the anchor and the place.
+contexts (some 3 MB), so that a line that stands between different neighbours in a
+third of all documents is not gathered.  A larger group is dealt into groups by
+what its windows share: one for each half of the window starts and for each
+string that all windows of that half hold.  Of what is equal throughout a half
+one context goes on, as in step 2; what is alone with its string matches
+nothing; the rest are groups, which are dealt again until they are small.
+Contexts are told apart by 128 bits of hash beside the anchor's 64, halves of
+contexts of larger groups by 64 beside the group's 64.
 
 Defined cases: a null text is an empty one; texts under ``length`` bytes lose
 nothing; repeated rows are documents of their own, so both lose everything they
@@ -37,6 +38,7 @@ share; a null doc_id is kept and identified by its text's hash.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +51,8 @@ from .hashing import mix, prefix_sums
 from .scratch import settle, unsettle
 
 LENGTH = 200
-#: Contexts of one anchor that one task may hold.
-MAX_GROUP = 100_000
-#: Parts of the window starts of a context in a larger group.
-STRETCHES = 4
+#: Contexts of one group that one task may hold.
+MAX_GROUP = 8192
 #: Contexts that are indexed together, when groups are small.
 BATCH = 8192
 
@@ -275,56 +275,60 @@ def _index(length: int, batch_rows: int = BATCH):
     return run
 
 
-def _stretches(length: int) -> list[tuple[int, int]]:
-    """First and last column of the window starts, in ``STRETCHES`` parts."""
-    reach = length - GRAM
-    step = -(-(reach + 1) // STRETCHES)
-    return [(s, min(s + step - 1, reach)) for s in range(0, reach + 1, step)]
+_GROUPED = "a long, lo int, hi int, single boolean, doc long, h int, p int, pad int, bytes binary"
+
 
+def _halves(length: int):
+    """Contexts of a large group to a row for each half of its window starts in which they have a window.
 
-def _cores(length: int):
-    """Contexts of a huge group to a row for each stretch of window starts: a hash of the bytes that all these windows hold."""
-    parts = _stretches(length)
+    A row has the group of its half (by the string that all its windows hold), a
+    hash of all that it holds of that half, and the span of its windows.
+    """
+    reach = length - GRAM
 
     def run(batches):
+        import struct
+
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            rows = []
-            for a, _, doc, h, p, pad, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                for k, (lo, hi) in enumerate(parts):
-                    # where the text is too short for any window of the stretch there is none
-                    if max(lo, pad) <= min(hi, pad + len(raw) - length):
-                        rows.append((a, k, digest(raw[hi - pad : lo - pad + length]), doc, h, p))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(np.array(cols[2], dtype=_U).view(np.int64)), pa.array(cols[3]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())],
-                    names=["a", "k", "core", "doc", "h", "p"],
-                )
+            out = []
+            for a, lo, hi, single, doc, h, p, pad, raw in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                mid = (lo + hi) // 2
+                for x, y in ((lo, mid), (mid + 1, hi)):
+                    first, last = max(x, pad), min(y, pad + len(raw) - length)
+                    if first <= last:
+                        group = digest(struct.pack("<qii", a, x, y) + raw[y - pad : x - pad + length]) - (1 << 63)
+                        whole = digest(raw[first - pad : last - pad + length], seed=((first - x) << 16) + last - x) - (1 << 63)
+                        out.append((group, x, y, single, doc, h, p, pad, raw, whole, p - reach + first, p - reach + last + length))
+            for k in range(0, len(out), 5_000):
+                cols = list(zip(*out[k : k + 5_000], strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "lo", "hi", "single", "doc", "h", "p", "pad", "bytes", "whole", "s", "e"])
 
     return run
 
 
-def _window_hashes(length: int):
-    """Contexts of a huge group to a row for each window of the stretches ``ks``."""
-    reach, parts = length - GRAM, _stretches(length)
-
-    def run(batches):
-        for batch in batches:
-            for a, single, doc, h, p, pad, raw, ks in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                sums, down = prefix_sums(np.frombuffer(raw, dtype=np.uint8))
-                for lo, hi in (parts[k] for k in ks):
-                    off = np.arange(max(lo, pad), min(hi, pad + len(raw) - length) + 1, dtype=np.int32)
-                    n, at = len(off), off - pad
-                    w = mix((sums[at + length] - sums[at]) * down[at]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, a)), pa.array(np.full(n, single)), pa.array(np.full(n, doc)), pa.array(np.full(n, h, dtype=np.int32)), pa.array(off), pa.array(w), pa.array((p - reach + off).astype(np.int32))],
-                        names=["a", "single", "doc", "h", "off", "w", "s"],
-                    )
-
-    return run
+def _dealt(texts: DataFrame, length: int, max_group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts in groups of ``max_group`` at most, and the spans of those that repeat throughout half of a larger group."""
+    groups = texts.select("a", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), "single", "doc", "h", "p", "pad", "bytes")
+    small, spans = [], []
+    while True:
+        huge = settle(groups.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > max_group).select("a"))
+        if huge.isEmpty():
+            return [*small, groups], spans
+        small.append(groups.join(huge, "a", "left_anti"))
+        large = groups.join(huge, "a", "left_semi").select("a", "lo", "hi", "single", "doc", "h", "p", "pad", "bytes")
+        halves = settle(large.mapInArrow(_halves(length), f"{_GROUPED}, whole long, s int, e int"))
+        place = F.struct("doc", "h", "p")
+        kinds = settle(halves.groupBy("a", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")))
+        again = kinds.filter("n > 1").select("a", "whole")
+        spans.append(settle(halves.filter("single").select("a", "whole", "doc", "h", "s", "e").join(again, ["a", "whole"], "left_semi").select("doc", "h", "s", "e")))
+        alive = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a")
+        reps = kinds.join(alive, "a", "left_semi").select("a", "whole", "n", "rep")
+        before, groups = halves, settle(halves.join(reps, ["a", "whole"]).filter(place == F.col("rep")).withColumn("single", F.col("single") & (F.col("n") == 1)).select("a", "lo", "hi", "single", "doc", "h", "p", "pad", "bytes"))
+        unsettle(before)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
@@ -348,21 +352,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     mixed = F.broadcast(joined.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0").select("a"))
     wanted = contexts.join(ends, "a", "left_anti").select("a", "single", "doc", "h", "p").unionByName(joined.join(mixed, "a", "left_semi").select("a", (F.col("n") == 1).alias("single"), "rep.*"))
     reps = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("a", "single", "p")).alias("reps"))  # of one text
-    huge = settle(wanted.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > max_group).select("a"))
     texts = settle(keyed.join(reps, ["doc", "h"]).select("text", "doc", "h", "reps").mapInArrow(_contexts(length), _CONTEXT))
     # a text that repeats under one key gives its contexts twice; one of them stands for all
-    usual = texts if huge.isEmpty() else texts.join(huge, "a", "left_anti")
+    small, spans = _dealt(texts, length, max_group)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = usual.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), _SPAN)
-    if usual is not texts:
-        large = settle(texts.join(huge, "a", "left_semi"))
-        cores = settle(large.mapInArrow(_cores(length), "a long, k int, core long, doc long, h int, p int"))
-        shared = cores.groupBy("a", "k", "core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "k", "core")
-        live = cores.join(shared, ["a", "k", "core"], "left_semi").groupBy("doc", "h", "p").agg(F.collect_set("k").alias("ks"))  # STRETCHES of them at most
-        windows = large.join(live, ["doc", "h", "p"]).select("a", "single", "doc", "h", "p", "pad", "bytes", "ks").mapInArrow(_window_hashes(length), "a long, single boolean, doc long, h int, off int, w long, s int")
-        twice = windows.groupBy("a", "off", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "off", "w")
-        spans = spans.unionByName(windows.filter("single").join(twice, ["a", "off", "w"], "left_semi").select("doc", "h", "s", (F.col("s") + length).alias("e")))
-    return settle(whole.unionByName(settle(spans)).groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
+    columns = ["a", "single", "doc", "h", "p", "pad", "bytes"]
+    usual = reduce(DataFrame.unionByName, [part.select(*columns) for part in small])
+    found = settle(usual.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), _SPAN))
+    return settle(reduce(DataFrame.unionByName, [whole, found, *spans]).groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
 
 
 def merged(spans: list | None, size: int) -> list[tuple[int, int]]:
