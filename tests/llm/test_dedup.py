@@ -194,7 +194,7 @@ def vectors(seed, labels=3, n=400, d=16):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_vectors_against_all_pairs(spark, seed):
+def test_vectors_against_all_pairs(spark, seed, monkeypatch):
     rows = vectors(seed)
     data = [(i, x.tolist(), label) for i, (label, x) in enumerate(rows)]
     x = np.array([r[1] for r in rows])
@@ -204,6 +204,7 @@ def test_vectors_against_all_pairs(spark, seed):
     link = (cos >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(rows), dtype=bool)
     want = brute_components(len(rows), list(zip(*np.nonzero(link), strict=True)))
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    monkeypatch.setattr(embeddings, "SPREAD", 3)
     out = {r["vec_id"]: r for r in embeddings.near_vectors(df, block=64).collect()}
     assert [out[i]["n_links"] for i in range(len(rows))] == link.sum(1).tolist()
     assert [out[i]["component_id"] for i in range(len(rows))] == want

@@ -122,6 +122,10 @@ def _blocks(size: int):
     return run
 
 
+#: Blocks of a label that meet each of its blocks under one key.
+SPREAD = 64
+
+
 def links_between(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (i, j) of two blocks whose cosine reaches the similarity."""
     width, need = calibration(similarity)
@@ -197,11 +201,15 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, block: int
     ordered = settle(ordered).repartitionByRange("label", "d", "p0").sortWithinPartitions("label", "d", "p0")
     blocks = settle(ordered.mapInArrow(_blocks(block), "block string, label string, d int, lo double, hi double, ids array<long>, weights array<long>, vectors binary"))
 
-    # ranges of blocks that come within seven deviations; a label's blocks are rows / BLOCK
+    # ranges of blocks that come within seven deviations; a label's blocks are rows / BLOCK, and its pairs are
+    # dealt by groups of SPREAD of their second blocks, so that a hot label's are not made under one key
+    groups = settle(blocks.groupBy("label", "d").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")))
     reach = 7 * math.sqrt(max(2 - 2 * similarity, 1e-12))
     x = blocks.select("label", "d", F.col("block").alias("bx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
     y = blocks.select("label", "d", F.col("block").alias("by"), F.col("lo").alias("ly"), F.col("hi").alias("hy"))
-    near = x.join(y, ["label", "d"]).filter((F.col("bx") <= F.col("by")) & (F.col("ly") - F.col("hx") <= reach) & (F.col("lx") - F.col("hy") <= reach)).select("bx", "by")
+    x = x.join(groups, ["label", "d"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    y = y.join(groups, ["label", "d"]).withColumn("group", F.pmod(F.xxhash64("by"), "groups").cast("int")).drop("groups")
+    near = x.join(y, ["label", "d", "group"]).filter((F.col("bx") <= F.col("by")) & (F.col("ly") - F.col("hx") <= reach) & (F.col("lx") - F.col("hy") <= reach)).select("bx", "by")
     one = blocks.select(F.col("block").alias("bx"), "d", F.col("ids").alias("ix"), F.col("weights").alias("wx"), F.col("vectors").alias("vx"))
     two = blocks.select(F.col("block").alias("by"), F.col("ids").alias("iy"), F.col("weights").alias("wy"), F.col("vectors").alias("vy"))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
