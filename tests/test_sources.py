@@ -134,3 +134,28 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,512]", "spark://h:7077"):
         with pytest.raises(ValueError, match="checkpoint"):
             shared_dir(spark(master, None))
+
+
+def test_universe_filters_bars_before_the_exchange(spark, tmp_path):
+    """A bloom filter of the universe drops other symbols' bars where they are scanned; rows are those of a plain restriction."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    bars = spark.range(4000).select(F.lit("n").alias("namespace"), F.lit("1h").alias("timeframe"), F.concat(F.lit("s"), F.col("id") % 400).alias("symbol"), (F.lit(t0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") / 400).cast("int"))).alias("ts"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "adj_close", "volume")])
+    src.write_bars(bars, str(tmp_path / "bars"))
+    spark.range(40).select(F.concat(F.lit("s"), F.col("id")).alias("symbol"), (F.col("id") % 4).alias("kind")).write.parquet(str(tmp_path / "universe"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        universe = spark.read.parquet(str(tmp_path / "universe")).filter("kind = 1")
+        out = src.read_bars(spark, str(tmp_path / "bars"), "n", "1h", since=t0 + timedelta(hours=2), universe=universe)
+        got = sorted((r["symbol"], r["ts"]) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "might_contain" in plan
+    assert len(got) == 10 * 8 and {s for s, _ in got} == {f"s{k}" for k in range(40) if k % 4 == 1}
+    assert src.read_bars(spark, str(tmp_path / "bars"), "n", "1h", universe=universe.limit(0)).count() == 0

@@ -66,6 +66,16 @@ def bars_in_lookback(s, d):
     return src.read_bars(s, path, "stocks", "daily", symbols=["1-URGENT", "2-HIGH", "5-LOW"], window=260, asof=datetime(1997, 7, 1, 15)).select(*BARS.split(", "))
 
 
+@query("bars_of_universe", o.sql(f"SELECT {BARS} FROM h1 WHERE symbol IN (SELECT event_type FROM events WHERE value > (SELECT quantile_cont(value, 0.9999) FROM events))", "h1"))
+def bars_of_universe(s, d):
+    """Only the symbols that had one of the greatest values."""
+    path = fresh(s)
+    src.write_bars(_tagged(fx.hourly(s, d), "futures", "intraday_1h"), path)
+    events = fx.table(s, d, "events")
+    top = events.filter(F.col("value") > events.agg(F.percentile("value", 0.9999)).scalar()).select(F.col("event_type").alias("symbol"))
+    return src.read_bars(s, path, "futures", "intraday_1h", universe=top).select(*BARS.split(", "))
+
+
 @query("snapshot_round_trip", o.sql(f"SELECT {BARS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM h1) WHERE r = 1", "h1"))
 def snapshot_round_trip(s, d):
     path = fresh(s)

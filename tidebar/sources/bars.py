@@ -18,9 +18,15 @@ DAYS_PER_BAR = {"daily": 1.5, "weekly": 7.0}
 LONG_LOOKBACK_DAYS = 19_000
 
 
-def read_bars(spark: SparkSession, path: str, namespace: str, timeframe: str, symbols: list[str] | None = None, since: datetime | None = None, window: int | None = None, asof: datetime | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, namespace: str, timeframe: str, symbols: list[str] | None = None, since: datetime | None = None, window: int | None = None, asof: datetime | None = None, universe: DataFrame | None = None) -> DataFrame:
     """Bars of one namespace and timeframe; both prune partitions, the rest reaches the Parquet scan.
 
+    ``universe``: a table of symbols too many to list.  They are joined as they
+    are, so that Spark can broadcast a small one, and where bars must be shuffled
+    build a bloom filter of a filtered one (``spark.sql.optimizer.runtime.bloomFilter``)
+    and drop other bars where they are scanned, before the exchange.  No job
+    runs for it beforehand, and an empty one leaves no bars.
+
     With ``window`` only what must be read to hold so many bars up to ``asof`` (now, if not given).
     """
     if window is not None:
@@ -28,7 +34,8 @@ def read_bars(spark: SparkSession, path: str, namespace: str, timeframe: str, sy
         since = start if since is None else max(since, start)
     df = spark.read.schema(SCHEMA).parquet(path).filter((F.col("namespace") == namespace) & (F.col("timeframe") == timeframe))
     df = df.filter(F.col("symbol").isin(symbols)) if symbols else df
-    return df.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz")) if since else df
+    df = df.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz")) if since else df
+    return df if universe is None else df.join(universe.select("symbol"), "symbol", "left_semi").select(df.columns)
 
 
 def write_bars(df: DataFrame, path: str) -> None:
