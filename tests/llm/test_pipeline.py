@@ -112,9 +112,59 @@ def test_empty_and_odd_documents(spark, no_docs, odd_docs):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
 
 
+def test_run_against_the_same_in_one_process(spark, tmp_path):
+    """Copies, near copies, a passage of several documents and leaks: what run() packs is what plain Python leaves, id by id."""
+    import random
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from corpus_words import prose
+    from test_dedup import brute_components, edited, shingle_set
+    from tokenizers import Tokenizer
+
+    from tidebar.llm import packing
+
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(50, 130)) for _ in range(40)]
+    texts += [texts[3], texts[3], edited(rng, texts[5], 1), edited(rng, texts[6], 2), edited(rng, texts[7], 40)]
+    passage = prose(rng, 60)
+    texts += [f"{prose(rng, 40)} {passage} é{prose(rng, 30)}" for _ in range(4)]
+    items = [prose(rng, 25) for _ in range(4)]
+    texts += [f"{prose(rng, 30)} {item} {prose(rng, 30)}" for item in items[:3]] + ["", None, "short"]
+    docs = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # so that every document is good enough
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    sets = [shingle_set(t) for t in texts]
+    component = brute_components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    left = {k: (texts[k] or "").encode() for k in range(len(texts)) if component[k] == k}
+    assert len(left) < len(texts) - 2
+    before = len(left)
+    windows = Counter(raw[s : s + 200] for raw in left.values() for s in range(len(raw) - 199))
+    assert any(n > 1 for n in windows.values())
+    for k, raw in left.items():
+        gone = np.zeros(len(raw), dtype=bool)
+        for s in range(len(raw) - 199):
+            if windows[raw[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        left[k] = bytes(np.frombuffer(raw, np.uint8)[~gone]).decode("utf-8", "ignore")
+    left = {k: t for k, t in left.items() if not any(item in t for item in items)}
+    assert len(left) == before - 3
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    want = {k: np.array([*t.encode(text, add_special_tokens=False).ids, packing.END_ID], dtype="<u4") for k, text in left.items()}
+    got: dict = {}
+    for r in cp.run(spark, str(tmp_path)).collect():
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {k: len(ids) for k, ids in want.items()}
+
+
 def test_entry_has_all_queries():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert os.path.exists(cp.__file__) and quality.MAX_LABELLED
