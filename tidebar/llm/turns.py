@@ -225,13 +225,13 @@ def _rendered(turns: bool):
     def run(batches):
         def made():
             last, digest, some = None, None, False
-            for (conv, stretch), rows in _grouped(batches, 2, 7):
+            for (conv, stretch), rows in _grouped(batches, 2, 6):
                 if not turns and (conv,) != last:
                     if last is not None:
                         yield *last, digest.hexdigest()
                     last, digest, some = (conv,), hashlib.sha256(), False
-                state, audit = next((pos, text) for mark, pos, _, text, _ in rows if mark == 0)
-                for k, (role, text) in enumerate(applied([(role, text) for mark, _, role, text, _ in rows if mark], audit, state)):
+                state, audit = next((pos, text) for mark, pos, _, text in rows if mark == 0)
+                for k, (role, text) in enumerate(applied([(role, text) for mark, _, role, text in rows if mark], audit, state)):
                     if turns:
                         yield conv, stretch, k, role, text
                     else:
@@ -271,7 +271,7 @@ def _long(rows: DataFrame, turns: bool, stretch: int, fold: int) -> DataFrame:
     passed = here.join(after, F.col("c").eqNullSafe(F.col("c2")) & (F.col("s") == F.col("s2"))).select("c", "s", "from", "to")
     on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")) & (F.col("p") == F.col("from")) & (F.col("q") == F.col("to"))
     chosen = found.join(passed, on).select("conv_id", "stretch", F.lit(0).alias("mark"), F.col("p").alias("pos"), none.alias("role"), F.col("audit").alias("text"))
-    stream = numbered.unionByName(chosen).withColumn("x", F.lit(0))
+    stream = numbered.unionByName(chosen)
     if turns:
         return dealt(stream, ["conv_id", "stretch"], ["mark", "pos"]).mapInArrow(_rendered(True), _kind(_TURNS))
     hashes = stream.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "mark", "pos").mapInArrow(_rendered(False), "conv_id long, repaired_sha256 string")
