@@ -32,7 +32,7 @@ from .scratch import settle
 CAPACITY = 4096
 END_ID = 2
 #: Words a worker remembers; with more, all but those of the last texts are forgotten.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are cut into words at once (one longer text alone).
 CHUNK_BYTES = 4_000_000
 #: Signs that end a word and whose ids follow the word's own; an apostrophe may belong to a suffix.
