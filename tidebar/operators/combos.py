@@ -27,7 +27,7 @@ def build_combo(lower: DataFrame, middle: DataFrame, upper: DataFrame) -> DataFr
 def restrict(df: DataFrame, universe: DataFrame) -> DataFrame:
     """Only symbols of the universe; an empty universe does not restrict, which the job itself finds out."""
     listed = universe.select("symbol").distinct()
-    none = listed.agg(F.count(F.lit(1)) == 0).scalar()
+    none = universe.select("symbol").limit(1).agg(F.count(F.lit(1)) == 0).scalar()
     return df.join(listed.withColumn("_listed", F.lit(True)), "symbol", "left").filter(F.col("_listed").isNotNull() | none).drop("_listed")
 
 
@@ -56,27 +56,32 @@ def match_by_tokens(stocks: DataFrame, etfs: DataFrame, overrides: DataFrame | N
     are told apart by their common tokens and size only, so the first fund of
     each such kind stands for all.  ``etfs`` has symbol, name and pos (its order,
     which breaks ties).
+
+    Nothing filters on tokens before they are exploded, and none of them can be
+    NULL: such a filter would be pushed below ``distinct``, and every row of
+    ``stocks`` be tokenised for it.
     """
     stocks = stocks.filter("sector is not null and industry is not null")
-    funds = etfs.select(F.col("symbol").alias("etf"), F.col("name").alias("etf_name"), "pos", tokenize(F.col("name")).alias("ft")).filter(F.size("ft") > 0)
-    counts = funds.select(F.explode("ft").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    funds = etfs.select(F.col("symbol").alias("etf"), F.col("name").alias("etf_name"), "pos", tokenize(F.col("name")).alias("ft"))
+    counts = funds.select(F.explode_outer("ft").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # at most 1 / COMMON times the tokens of a mean name
-    common = counts.filter(F.col("n") > COMMON * funds.agg(F.count(F.lit(1))).scalar()).agg(F.collect_list("token")).scalar()
+    common = counts.filter(F.col("n") > COMMON * funds.agg(F.count(F.when(F.size("ft") > 0, 1))).scalar()).agg(F.collect_list("token")).scalar()
+    common = F.coalesce(common, F.array().cast("array<string>"))
 
     def split(df: DataFrame, tokens: str, size: str, hot: str, cold: str) -> DataFrame:
         return df.withColumns({size: F.size(tokens), hot: F.sort_array(F.array_intersect(tokens, common)), cold: F.array_except(tokens, common)})
 
     funds = split(funds, "ft", "nf", "fh", "fc")
-    by_token = funds.select("etf", "etf_name", "pos", "nf", "fh", F.explode("fc").alias("token"))
-    by_kind = funds.groupBy("fh", "nf").agg(F.min(F.struct("pos", "etf", "etf_name")).alias("f")).select("fh", "nf", "f.*", F.explode("fh").alias("token"))
+    by_token = funds.select("etf", "etf_name", "pos", "nf", "fh", F.explode_outer("fc").alias("token"))
+    by_kind = funds.groupBy("fh", "nf").agg(F.min(F.struct("pos", "etf", "etf_name")).alias("f")).select("fh", "nf", "f.*", F.explode_outer("fh").alias("token"))
     both = F.size(F.array_intersect("th", "fh"))
 
     def best(column: str) -> DataFrame:
         texts = split(stocks.select(column).distinct().withColumn("t", tokenize(F.col(column))), "t", "nt", "th", "tc")
         names = ["etf", "etf_name", "pos", "nf"]
-        rare = texts.select(column, "nt", "th", F.explode("tc").alias("token")).join(by_token, "token").groupBy(column, "nt", *names, both.alias("kh")).agg(F.count(F.lit(1)).alias("kc")).select(column, "nt", *names, (F.col("kh") + F.col("kc")).alias("k"))
+        rare = texts.select(column, "nt", "th", F.explode_outer("tc").alias("token")).join(by_token, "token").groupBy(column, "nt", *names, both.alias("kh")).agg(F.count(F.lit(1)).alias("kc")).select(column, "nt", *names, (F.col("kh") + F.col("kc")).alias("k"))
         # what shares common tokens only: kinds of texts against kinds of funds, of which the first stands for all
-        kinds = texts.select("nt", "th").distinct().withColumn("token", F.explode("th")).join(by_kind, "token").select("nt", "th", *names, both.alias("k")).distinct()
+        kinds = texts.select("nt", "th").distinct().withColumn("token", F.explode_outer("th")).join(by_kind, "token").select("nt", "th", *names, both.alias("k")).distinct()
         hits = rare.unionByName(texts.select(column, "nt", "th").join(kinds, ["nt", "th"]).select(column, "nt", *names, "k"))
         scored = hits.withColumn("score", F.col("k") / (F.col("nt") + F.col("nf") - F.col("k")))
         top = scored.groupBy(column).agg(F.max_by(F.struct("etf", "etf_name", "score"), F.struct("score", -F.col("pos"))).alias("b"))

@@ -1,4 +1,4 @@
-"""Combo scores as CASE expressions over role-prefixed snapshot columns."""
+"""Combo scores as CASE expressions over role-prefixed snapshot columns, made step by step."""
 
 from __future__ import annotations
 
@@ -16,8 +16,12 @@ def _points(conditions: list[Column]) -> Column:
     return sum((F.when(c, 1.0).otherwise(0.0) for c in conditions), F.lit(0.0))
 
 
-def _blocks(df: DataFrame, exh: str) -> tuple[Column, Column]:
-    """The four points of each side: regime, cloud, exhaustion, momentum."""
+def _with_points(df: DataFrame, exh: str) -> DataFrame:
+    """``_long`` and ``_short``: the four points of each side (regime, cloud, exhaustion, momentum).
+
+    What later steps use more than once is a column, not an expression that each
+    use repeats: repeated, the rules grow to code that the JVM only interprets.
+    """
     up, up_exh = _c(df, "upper_wyckoff_stage"), _c(df, "upper_exh_abs_pa_prior_bar")
     mid, mid_exh = _c(df, "middle_wyckoff_stage"), _c(df, "middle_exh_abs_pa_prior_bar")
     squeeze, bull, bear, low = _c(df, "lower_ttm_squeeze_pro"), _c(df, "lower_macdv_core_bull"), _c(df, "lower_macdv_core_bear"), _c(df, exh)
@@ -37,23 +41,29 @@ def _blocks(df: DataFrame, exh: str) -> tuple[Column, Column]:
             yes(bear == -2) | yes(bear == -1) & yes(squeeze <= 0),
         ]
     )
-    return long, short
+    return df.withColumns({"_long": long, "_short": short})
+
+
+def _plus(df: DataFrame, signal: Column, bonus: Column) -> DataFrame:
+    """The signal of the bare points as ``_signal``, then the bonus on both sides."""
+    out = df.withColumns({"_signal": signal, "_bonus": bonus})
+    return out.withColumns({"_long": F.col("_long") + F.col("_bonus"), "_short": F.col("_short") + F.col("_bonus")}).drop("_bonus")
 
 
-def _result(signal: Column, long: Column, short: Column) -> Column:
-    return F.struct(signal.alias("signal"), long.alias("long"), short.alias("short"))
+def _cut() -> Column:
+    """The signal where its side has five points."""
+    signal = F.col("_signal")
+    return F.when((signal == "long") & (F.col("_long") < 5), "none").when((signal == "short") & (F.col("_short") < 5), "none").otherwise(signal)
 
 
-def stocks_shortlist(df: DataFrame, exh: str, sigvol: str) -> Column:
+def stocks_shortlist(df: DataFrame, exh: str, sigvol: str) -> DataFrame:
     """Short overrides long at four points each; volume then adds a point to both scores."""
-    long, short = _blocks(df, exh)
-    signal = F.when(short >= 4, "short").when(long >= 4, "long").otherwise("none")
+    signal = F.when(F.col("_short") >= 4, "short").when(F.col("_long") >= 4, "long").otherwise("none")
     known = _c(df, "upper_wyckoff_stage").isNotNull()
     loud = F.lit(False)
     for vol, ratio in ((_c(df, "middle_sig_vol_current_bar"), _c(df, "middle_spy_qqq_vol_ma_ratio")), (_c(df, sigvol), _c(df, "lower_spy_qqq_vol_ma_ratio"))):
         loud = loud | yes(vol == 2) & yes(ratio > F.when(known, 0.05).otherwise(0.10)) | yes(vol == 1) & yes(ratio > 0.25)
-    bonus = F.when(loud, 1.0).otherwise(0.0)
-    return _result(signal, long + bonus, short + bonus)
+    return _plus(_with_points(df, exh), signal, F.when(loud, 1.0).otherwise(0.0))
 
 
 def etf_score(*columns: Column) -> Column:
@@ -65,12 +75,10 @@ def _etf_side(df: DataFrame, side: str) -> Column:
     return etf_score(*[_c(df, f"etf_{tf}_{rank}_{side}_score") for tf in ("lower", "middle") for rank in ("primary", "secondary")])
 
 
-def stocks_options(df: DataFrame, exh: str, sigvol: str) -> Column:
+def stocks_options(df: DataFrame, exh: str, sigvol: str) -> DataFrame:
     """The shortlist score cut at five points, then held against the ETF trend where that is known."""
-    base = stocks_shortlist(df, exh, sigvol)
-    signal, long, short = (base.getField(x) for x in ("signal", "long", "short"))
-    cut = F.when((signal == "long") & (long < 5), "none").when((signal == "short") & (short < 5), "none").otherwise(signal)
-    etf_long, etf_short = _etf_side(df, "long"), _etf_side(df, "short")
+    out = stocks_shortlist(df, exh, sigvol).withColumns({"_signal": _cut(), "_etf_long": _etf_side(df, "long"), "_etf_short": _etf_side(df, "short")})
+    cut, etf_long, etf_short = F.col("_signal"), F.col("_etf_long"), F.col("_etf_short")
     guarded = (
         F.when((cut == "long") & yes(etf_short >= 4), "anti")
         .when((cut == "short") & yes(etf_long >= 4), "anti")
@@ -78,31 +86,28 @@ def stocks_options(df: DataFrame, exh: str, sigvol: str) -> Column:
         .when((cut == "short") & yes(etf_short < 4), "watch")
         .otherwise(cut)
     )
-    return _result(guarded, long, short)
+    return out.withColumn("_signal", guarded).drop("_etf_long", "_etf_short")
 
 
-def futures_base(df: DataFrame, exh: str, sigvol: str) -> Column:
-    long, short = _blocks(df, exh)
-    return _result(F.when(long >= 4, "long").when(short >= 4, "short").otherwise("none"), long, short)
+def futures_base(df: DataFrame, exh: str, sigvol: str) -> DataFrame:
+    return _with_points(df, exh).withColumn("_signal", F.when(F.col("_long") >= 4, "long").when(F.col("_short") >= 4, "short").otherwise("none"))
 
 
-def _with_volume(df: DataFrame, exh: str, sigvol: str, volumes: list[Column]) -> Column:
+def _with_volume(df: DataFrame, exh: str, sigvol: str, volumes: list[Column]) -> DataFrame:
     base = futures_base(df, exh, sigvol)
-    signal, long, short = (base.getField(x) for x in ("signal", "long", "short"))
-    live = signal.isin("long", "short") & _c(df, "upper_wyckoff_stage").isNotNull()
+    live = F.col("_signal").isin("long", "short") & _c(df, "upper_wyckoff_stage").isNotNull()
     some, much = F.lit(False), F.lit(False)
     for v in volumes:
         some, much = some | yes(v >= 1), much | yes(v == 2)
     bonus = F.when(live & some, 1.0).otherwise(0.0) + F.when(live & much, 1.0).otherwise(0.0)
-    long, short = long + bonus, short + bonus
-    return _result(F.when((signal == "long") & (long < 5) | (signal == "short") & (short < 5), "none").otherwise(signal), long, short)
+    return _plus(base, F.col("_signal"), bonus).withColumn("_signal", _cut())
 
 
-def futures_4h_d_w(df: DataFrame, exh: str, sigvol: str) -> Column:
+def futures_4h_d_w(df: DataFrame, exh: str, sigvol: str) -> DataFrame:
     return _with_volume(df, exh, sigvol, [_c(df, "middle_sig_vol_current_bar")])
 
 
-def futures_d_w_m(df: DataFrame, exh: str, sigvol: str) -> Column:
+def futures_d_w_m(df: DataFrame, exh: str, sigvol: str) -> DataFrame:
     return _with_volume(df, exh, sigvol, [_c(df, "middle_sig_vol_current_bar"), _c(df, sigvol)])
 
 
@@ -124,8 +129,8 @@ def score_combo(combo: DataFrame, evaluator, exh: str = "lower_exh_abs_pa_prior_
     """Add signal, signal_side and both scores; with no evaluator none, 0 and 0 and no side."""
     if evaluator is None:
         return combo.withColumns({"signal": F.lit("none"), "mtf_long_score": F.lit(0.0), "mtf_short_score": F.lit(0.0)})
-    out = combo.withColumn("_r", evaluator(combo, exh, sigvol))
-    return out.withColumns({"signal": F.col("_r.signal"), "signal_side": F.col("_r.signal"), "mtf_long_score": F.col("_r.long"), "mtf_short_score": F.col("_r.short")}).drop("_r")
+    out = evaluator(combo, exh, sigvol)
+    return out.withColumns({"signal": F.col("_signal"), "signal_side": F.col("_signal"), "mtf_long_score": F.col("_long"), "mtf_short_score": F.col("_short")}).drop("_signal", "_long", "_short")
 
 
 def etf_trend(snapshot: DataFrame, volume_column: str = "significant_volume") -> DataFrame:

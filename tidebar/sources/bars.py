@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_symbol
@@ -51,11 +52,18 @@ def read_snapshot(spark: SparkSession, path: str, namespace: str, timeframe: str
 
 
 def write_combo(df: DataFrame, path: str, namespace: str, combo: str, asof: datetime | None = None) -> str:
-    """The current combo, and a dated copy of it in the history; returns the date's key (UTC)."""
+    """The current combo, and a dated copy of it in the history; returns the date's key (UTC).
+
+    ``df`` is made once, for the history, of which the current combo is a copy.
+    Where it has no rows, what the two tables hold stays.
+    """
     key = (asof or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H-%M-%S")
-    tagged = df.withColumns({"namespace": F.lit(namespace), "combo": F.lit(combo)})
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "combo").parquet(f"{path}/current")
-    tagged.withColumn("asof", F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "combo", "asof").parquet(f"{path}/history")
+    keys = {k: F.lit(v) for k, v in (("namespace", namespace), ("combo", combo), ("asof", key))}  # as literals they need no sort before they partition
+    dated, made = df.withColumns(keys), Observation()
+    dated.observe(made, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/history")
+    written = df.sparkSession.read.schema(dated.schema).parquet(f"{path}/history")
+    copy = reduce(DataFrame.filter, [F.col(k) == v for k, v in keys.items()], written).withColumns(keys) if made.get["n"] else dated.limit(0)
+    copy.drop("asof").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "combo").parquet(f"{path}/current")
     return key
 
 
